@@ -77,7 +77,7 @@ def simplify_type_name(name: Column) -> Column:
             text = F.replace(text, F.lit(f"[{full}]"), F.lit(f"[{short}]"))
         text = F.regexp_replace(text, r"\[[^\[\]<>`]*\.([^\[\]<>.`]+)\]", "[$1]")
         for arity in range(1, ARITY + 1):
-            args = ",".join([r"\[([^\[\]]*)\]"] * arity)
+            args = ",".join([r"\[([^\[\],]*)\]"] * arity)
             shown = _SEP.join(f"${i + 2}" for i in range(arity))
             text = F.regexp_replace(
                 text, r"(?:[^\[\]`,]*\.)?([^\[\]`.,]+)`\d+\[" + args + r"\]", f"$1<{shown}>"

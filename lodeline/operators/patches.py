@@ -50,7 +50,7 @@ def patch_conflicts(patches: DataFrame) -> DataFrame:
         F.when(is_insert, F.col("start_line") + 1).otherwise(F.col("end_line")).alias("last"),
     )
     paired = with_next(
-        spans, ["path"], [F.col("first"), F.col("seq")], {"next_seq": "seq", "next_first": "first"}
+        spans, ["path"], [F.col("first"), F.col("seq"), F.col("last")], {"next_seq": "seq", "next_first": "first"}
     )
     return paired.where(F.col("next_seq").isNotNull() & (F.col("last") >= F.col("next_first")))
 

@@ -67,7 +67,7 @@ def _words(text: Column) -> Column:
 def _commas(text: Column) -> Column:
     """Parts between commas that are not inside angle brackets, parentheses or quotes."""
     outside = r",(?![^<>]*>)(?![^(]*\))(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-    return F.filter(F.transform(F.split(text, outside), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, outside), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def type_chunks(files: DataFrame) -> DataFrame:

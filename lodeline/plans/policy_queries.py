@@ -242,10 +242,10 @@ def last_siblings(spark, d):
 @query(
     "folder_listing",
     f"""WITH {V.FILES}, {SHELF} SELECT project, path, {NAME} AS name FROM shelf_v
-    WHERE {FOLDER} = 'src1/2' AND contains(lower({NAME}), '7')""",
+    WHERE {FOLDER} = 'src1/2' AND contains(lower({NAME}), '1')""",
 )
 def folder_listing(spark, d):
-    return I.folder_listing(shelf(spark, d), "src1/2", " 7 ").select("project", "path", "name")
+    return I.folder_listing(shelf(spark, d), "src1/2", " 1 ").select("project", "path", "name")
 
 
 @query(

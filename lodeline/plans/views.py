@@ -307,7 +307,7 @@ CHANGES = """changes_v AS (
          'u/' || user_id || '_old.cs' AS old_path, user_id,
          CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted'
                          WHEN 'purchase' THEN 'renamed' ELSE 'changed' END AS action,
-         epoch_us(ts) AS at, ts
+         epoch_us(ts) AS at_us, ts
   FROM events)"""
 
 
@@ -322,7 +322,7 @@ def changes(source: DataFrame) -> DataFrame:
         "user_id",
         F.when(kind == "signup", "created").when(kind == "error", "deleted")
         .when(kind == "purchase", "renamed").otherwise("changed").alias("action"),
-        epoch_micros(F.col("ts")).alias("at"),
+        epoch_micros(F.col("ts")).alias("at_us"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
 

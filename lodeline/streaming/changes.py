@@ -14,17 +14,15 @@ def change_feed(events: DataFrame, ext: str = ".cs") -> DataFrame:
     A rename deletes the old path and upserts the new one. Upserts in excluded
     folders are left out; deletes are kept wherever they are.
     """
-    path = F.col("path")
+    path, gone = F.col("path"), F.col("old_path")
+    step = lambda action, at: F.struct(F.lit(action).alias("action"), at.alias("path"))
     steps = (
-        F.when(F.col("action").isin("created", "changed"), F.array(F.struct(F.lit("upsert"), path)))
-        .when(F.col("action") == "deleted", F.array(F.struct(F.lit("delete"), path)))
-        .when(
-            F.col("action") == "renamed",
-            F.array(F.struct(F.lit("delete"), F.col("old_path")), F.struct(F.lit("upsert"), path)),
-        )
+        F.when(F.col("action").isin("created", "changed"), F.array(step("upsert", path)))
+        .when(F.col("action") == "deleted", F.array(step("delete", path)))
+        .when(F.col("action") == "renamed", F.array(step("delete", gone), step("upsert", path)))
     )
     rows = events.withColumn("_step", F.explode(steps)).select(
-        "project", F.col("_step.col2").alias("path"), F.col("_step.col1").alias("action"), "ts"
+        "project", "_step.path", "_step.action", "ts"
     )
     watched = extension(F.col("path")) == ext
     return rows.where(

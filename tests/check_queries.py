@@ -28,7 +28,7 @@ for name in queries:
         else:
             found = [] if queries[name](spark, f"/root/testdata/sf{sf}").count() else ["no rows"]
     except Exception as e:  # noqa: BLE001
-        found = [f"{type(e).__name__}: {str(e)[:700]}"]
+        found = [f"{type(e).__name__}: {str(e)[:400]}"]
     took = time.time() - start
     if found or took > 6:
         print(name, "ok" if not found else "FAIL", f"{took:.1f}s", *found, sep="\n   ", flush=True)
