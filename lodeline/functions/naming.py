@@ -26,8 +26,8 @@ TYPE_ALIASES = {
 }
 
 NESTING = 4
-ARITY = 8
-_SEP, _ARRAY = "\u0001", "\u0002"
+# stand for the separator, "[]", and the ends of a finished argument
+_SEP, _ARRAY, _OPEN, _CLOSE = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def parameter_list(params: Column, defaults: bool = True) -> Column:
@@ -63,34 +63,41 @@ def type_info(base: Column, interfaces: Column, tiered: bool = True) -> Column:
     )
 
 
-def simplify_type_name(name: Column) -> Column:
-    """Short form of a runtime type name such as ``Ns.List`1[[System.Int32, lib]]``.
+def _alias_or_last(plain: Column) -> Column:
+    """Alias, or last dotted segment, of a name without generic arguments."""
+    bare = F.trim(F.substring_index(plain, ",", 1))
+    table = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, bare), F.substring_index(bare, ".", -1))
+
+
+def _fold_generics(name: Column) -> Column:
+    """Short form of ``Ns.List`1[[System.Int32, lib]]`` and deeper nests.
 
     Each pass cuts the innermost arguments down to their short names and folds
-    the generic that holds them, so ``NESTING`` passes cover that depth. Deeper
-    names are left as they are.
+    the generic that holds them, so ``NESTING`` passes cover that depth.
     """
     text = F.concat(F.lit("["), F.replace(name, F.lit("[]"), F.lit(_ARRAY)), F.lit("]"))
+    for full, short in TYPE_ALIASES.items():
+        text = F.replace(text, F.lit(f"[{full},"), F.lit(f"[{short},"))
+        text = F.replace(text, F.lit(f"[{full}]"), F.lit(f"[{short}]"))
     for _ in range(NESTING):
         text = F.regexp_replace(text, r"\[([^\[\],]+),[^\[\]]*\]", "[$1]")
-        for full, short in TYPE_ALIASES.items():
-            text = F.replace(text, F.lit(f"[{full}]"), F.lit(f"[{short}]"))
-        text = F.regexp_replace(text, r"\[[^\[\]<>`]*\.([^\[\]<>.`]+)\]", "[$1]")
-        for arity in range(1, ARITY + 1):
-            args = ",".join([r"\[([^\[\],]*)\]"] * arity)
-            shown = _SEP.join(f"${i + 2}" for i in range(arity))
-            text = F.regexp_replace(
-                text, r"(?:[^\[\]`,]*\.)?([^\[\]`.,]+)`\d+\[" + args + r"\]", f"$1<{shown}>"
-            )
-    text = F.regexp_replace(text, r"^\[([^\[\]]*)\]$", "$1")
-    text = F.replace(F.replace(text, F.lit(_SEP), F.lit(", ")), F.lit(_ARRAY), F.lit("[]"))
+        text = F.regexp_replace(text, r"\[[^\[\]<>`,]*\.([^\[\]<>.`,]+)\]", "[$1]")
+        text = F.regexp_replace(text, r"\[([^\[\]`,]*)\]", f"{_OPEN}$1{_CLOSE}")
+        text = F.regexp_replace(text, r"(?:[^\[\]`,]*\.)?([^\[\]`.,]+)`\d+\[([^\[\]]*)\]", "$1<$2>")
+        text = F.replace(text, F.lit(f"{_CLOSE},{_OPEN}"), F.lit(_SEP))
+    text = F.regexp_replace(text, f"^\\[([^\\[\\]]*)\\]$|[{_OPEN}{_CLOSE}]", "$1")
+    return F.replace(F.replace(text, F.lit(_SEP), F.lit(", ")), F.lit(_ARRAY), F.lit("[]"))
+
+
+def simplify_type_name(name: Column) -> Column:
+    """Short form of a runtime type name. Names nested deeper than the passes stay long."""
     nullable = F.regexp_extract(name, r"System\.Nullable`1\[\[([^,\]]+)", 1)
-    aliases = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
-    inner = F.coalesce(F.try_element_at(aliases, nullable), F.substring_index(nullable, ".", -1))
     return (
         F.when(name.isNull() | (name == ""), F.lit("void"))
-        .when(nullable != "", F.concat(inner, F.lit("?")))
-        .otherwise(text)
+        .when(~F.contains(name, F.lit("`")), _alias_or_last(name))
+        .when(nullable != "", F.concat(_alias_or_last(nullable), F.lit("?")))
+        .otherwise(_fold_generics(name))
     )
 
 

@@ -171,7 +171,8 @@ def depth_floor(path: Column) -> Column:
 
 
 def inside_root(path: Column) -> Column:
-    return depth_floor(path) >= 0
+    # few paths have a step upwards, and only those are walked
+    return F.when(F.contains(path, F.lit("..")), depth_floor(path) >= 0).otherwise(F.lit(True))
 
 
 def write_reason(path: Column) -> Column:

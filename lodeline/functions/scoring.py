@@ -31,13 +31,31 @@ def initials_prefix(name: Column, query: str, case_sensitive: bool = False) -> C
 
 
 def word_prefix(name: Column, query: str, case_sensitive: bool = False) -> Column:
-    """Some word of the name, cut before each ASCII capital, starts with the query."""
+    """Some word of the name, cut before each ASCII capital, starts with the query.
 
-    def hit(word: Column) -> Column:
-        column, text = _fold(word, query, case_sensitive)
-        return F.startswith(column, F.lit(text))
+    A word holds an ASCII capital only as its first character, so the test is one
+    pattern: the first character at the start of the name or as a capital, the
+    others as anything but capitals.
+    """
+    if not query:
+        return F.lit(True)
+    text = query if case_sensitive else query.lower()
+    first, rest = text[0], text[1:]
+    capital = lambda c: "A" <= c <= "Z"
+    if any(capital(c) for c in rest):
+        return F.lit(False)
 
-    return F.exists(F.split(name, "(?=[A-Z])"), lambda word: (word != "") & hit(word))
+    def any_case(c: str) -> str:
+        return re.escape(c) if c.isascii() else f"(?iu:{re.escape(c)})"
+
+    if case_sensitive:
+        head = first if capital(first) else f"^{re.escape(first)}"
+        tail = re.escape(rest)
+    elif "a" <= first <= "z":
+        head, tail = f"(?:^{first}|{first.upper()})", "".join(any_case(c) for c in rest)
+    else:
+        head, tail = f"^{any_case(first)}", "".join(any_case(c) for c in rest)
+    return F.rlike(name, F.lit(head + tail))
 
 
 def all_tokens(name: Column, query: str, case_sensitive: bool = False) -> Column:

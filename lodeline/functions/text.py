@@ -36,6 +36,14 @@ def contains_fold(text: Column, needle: str) -> Column:
     return F.contains(F.lower(text), F.lit(needle.lower()))
 
 
+def captures(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of every match, as an array of arrays, from one pass over the text."""
+    marks = "\u0003" + "\u0004".join(f"${i}" for i in range(1, groups + 1)) + "\u0003"
+    pieces = F.split(F.regexp_replace(text, pattern, marks), "\u0003")
+    found = F.filter(pieces, lambda _, i: i % 2 == 1)
+    return F.transform(found, lambda piece: F.split(piece, "\u0004"))
+
+
 def one_decimal(value: Column) -> Column:
     return F.regexp_replace(F.format_string("%.1f", value), r"\.0$", "")
 

@@ -5,29 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.text import contains_fold
+from lodeline.functions.text import captures, contains_fold
 
 # Fixed value: format of a compiler diagnostic.
 DIAGNOSTIC = r"(?i)^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s+(\w+):\s*(.+?)(?:\s+\[.+\])?$"
 
 
 def parse_diagnostics(log: DataFrame, *keep: str, line: str = "line") -> DataFrame:
-    """Diagnostics found in log lines; other lines are dropped."""
+    """Diagnostics found in log lines; other lines are dropped. Each line is matched once."""
     text = F.regexp_replace(line, r"^\s+|\s+$", "")
-    part = lambda i: F.regexp_extract("_text", DIAGNOSTIC, i)
+    part = lambda i: F.col("_part")[i - 1]
     file = F.ltrim(F.replace(F.trim(part(1)), F.lit("\\"), F.lit("/")), F.lit("/"))
-    return (
-        log.select(*keep, text.alias("_text"))
-        .where(F.rlike("_text", F.lit(DIAGNOSTIC)))
-        .select(
-            *keep,
-            F.lower(part(4)).alias("severity"),
-            part(5).alias("code"),
-            file.alias("file"),
-            F.coalesce(part(2).try_cast("int"), F.lit(-1)).alias("line"),
-            F.coalesce(part(3).try_cast("int"), F.lit(-1)).alias("col"),
-            F.trim(part(6)).alias("message"),
-        )
+    return log.select(*keep, F.explode(captures(text, DIAGNOSTIC, 6)).alias("_part")).select(
+        *keep,
+        F.lower(part(4)).alias("severity"),
+        part(5).alias("code"),
+        file.alias("file"),
+        F.coalesce(part(2).try_cast("int"), F.lit(-1)).alias("line"),
+        F.coalesce(part(3).try_cast("int"), F.lit(-1)).alias("col"),
+        F.trim(part(6)).alias("message"),
     )
 
 

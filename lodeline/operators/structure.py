@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.functions.text import captures
+
 # Words that may stand before a declaration, and words that begin a statement.
 MODIFIERS = (
     "public|private|protected|internal|static|virtual|override|abstract|async|sealed|partial"
@@ -26,6 +28,7 @@ STATEMENT_WORDS = (
 
 _N = "\u0001"  # between a line number and its line
 _CUT = "\u0002"  # before a type
+_EDGE = "\u0005"  # around a member
 _LINE = rf"\d+{_N}"
 _ATTRS = rf"(?:{_LINE}[ \t]*\[[^\n]*\][ \t]*\n)*"
 _MODS = rf"(?:(?:{MODIFIERS})[ \t]+)*"
@@ -41,8 +44,6 @@ PROPERTY = (
 )
 FIELD = rf"(?m)^{_ATTRS}{_LINE}[ \t]*{_MODS}{_TYPE}[ \t]+\w+[ \t]*(?:=(?!>)[^\n]*|,[^\n]*)?;"
 
-_HEAD = rf"(?m)^{_ATTRS}{_LINE}[ \t]*"
-
 
 def _numbered(content: Column) -> Column:
     lines = F.transform(
@@ -73,43 +74,49 @@ def _commas(text: Column) -> Column:
 def type_chunks(files: DataFrame) -> DataFrame:
     """One row per class or interface: its attributes, head and members as numbered text."""
     marked = F.regexp_replace(_numbered(F.col("content")), rf"(?m)^({TYPE_HEAD})", f"{_CUT}$1")
-    chunks = F.split(marked, _CUT)
-    head = rf"(?m)^{_LINE}[ \t]*({_MODS})(class|interface)[ \t]+(\w+)(?:<[^\n{{:]*>)?[ \t]*(?::([^\n{{]*))?"
+    chunks = F.filter(F.split(marked, _CUT), lambda _, i: i > 0)
+    head = rf"(?m)\A{_ATTRS}{_LINE}[ \t]*({_MODS})(class|interface)[ \t]+(\w+)(?:<[^\n{{:]*>)?[ \t]*(?::([^\n{{]*))?"
+    part = lambda i: F.get(F.col("_head")[0], F.lit(i - 1))
     return (
-        files.select("project", "path", F.explode(F.slice(chunks, 2, F.size(chunks))).alias("chunk"))
-        .withColumn("_head", F.regexp_extract("chunk", rf"(?m)^({_LINE}[ \t]*{_MODS}(?:class|interface)[^\n]*)$", 1))
+        files.select("project", "path", F.explode(chunks).alias("chunk"))
+        .select("project", "path", "chunk", captures(F.col("chunk"), head, 4).alias("_head"))
         .select(
             "project",
             "path",
             "chunk",
-            F.regexp_extract("_head", head, 3).alias("type_name"),
-            F.regexp_extract("_head", head, 2).alias("kind"),
-            _words(F.regexp_extract("_head", head, 1)).alias("modifiers"),
-            _commas(F.regexp_replace(F.regexp_extract("_head", head, 4), r"\bwhere\b.*$", "")).alias("bases"),
+            part(3).alias("type_name"),
+            part(2).alias("kind"),
+            _words(part(1)).alias("modifiers"),
+            _commas(F.regexp_replace(part(4), r"\bwhere\b.*$", "")).alias("bases"),
             _first_line(F.col("chunk")).alias("line"),
         )
     )
 
 
+def _base(bases: Column, kind: Column) -> Column:
+    generic = lambda b: F.rlike(b, F.lit(r"^I\w*<"))
+    return F.when(kind == "class", F.try_element_at(F.filter(bases, lambda b: ~generic(b)), F.lit(1)))
+
+
+def _interfaces(bases: Column, kind: Column) -> Column:
+    listed = F.filter(bases, lambda b: F.rlike(b, F.lit(r"^I\w*$")) | F.rlike(b, F.lit(r"^I\w*<")))
+    return F.when(kind == "class", listed).otherwise(bases)
+
+
 def extract_types(files: DataFrame) -> DataFrame:
     """Classes and interfaces with modifiers, base, interfaces and first line.
 
     A leading plain name such as ``IStore`` counts as base and as interface.
     """
-    bases = F.col("bases")
-    plain_interface = lambda b: F.rlike(b, F.lit(r"^I\w*$"))
-    generic_interface = lambda b: F.rlike(b, F.lit(r"^I\w*<"))
-    base = F.try_element_at(F.filter(bases, lambda b: ~generic_interface(b)), F.lit(1))
-    listed = F.filter(bases, lambda b: plain_interface(b) | generic_interface(b))
-    is_class = F.col("kind") == "class"
+    bases, kind = F.col("bases"), F.col("kind")
     return type_chunks(files).select(
         "project",
         "path",
         "type_name",
         "kind",
         "modifiers",
-        F.when(is_class, base).alias("base"),
-        F.when(is_class, listed).otherwise(bases).alias("interfaces"),
+        _base(bases, kind).alias("base"),
+        _interfaces(bases, kind).alias("interfaces"),
         "line",
     )
 
@@ -127,37 +134,50 @@ def _parameters(text: Column) -> Column:
     )
 
 
-def _members(files: DataFrame, pattern: str, without: list[str]) -> DataFrame:
-    text = F.col("chunk")
-    for other in without:
-        text = F.regexp_replace(text, other, "")
-    return type_chunks(files).select(
-        "project",
-        "path",
-        "type_name",
-        "kind",
-        F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("member"),
+def _take(df: DataFrame, pattern: str, name: str) -> DataFrame:
+    """Move the matches of a pattern out of ``_rest`` into an array, in one pass."""
+    pieces = F.split(F.regexp_replace("_rest", pattern, f"{_EDGE}$0{_EDGE}"), _EDGE)
+    return (
+        df.withColumn("_pieces", pieces)
+        .withColumn(name, F.filter("_pieces", lambda _, i: i % 2 == 1))
+        .withColumn("_rest", F.array_join(F.filter("_pieces", lambda _, i: i % 2 == 0), ""))
+        .drop("_pieces")
     )
 
 
-def _method_texts(files: DataFrame) -> DataFrame:
-    return _members(files, METHOD, [])
+def type_members(files: DataFrame) -> DataFrame:
+    """Types with the texts of their methods, constructors, properties and fields."""
+    out = type_chunks(files).withColumn("_rest", F.col("chunk"))
+    for pattern, name in ((METHOD, "methods"), (CTOR, "ctors"), (PROPERTY, "properties"), (FIELD, "fields")):
+        out = _take(out, pattern, name)
+    return out.drop("_rest")
+
+
+def _each(files: DataFrame, texts: str, head: str, groups: int) -> DataFrame:
+    """One row per member text with the groups of its head."""
+    member = type_members(files).select("project", "path", "type_name", "kind", F.explode(texts).alias("member"))
+    return member.withColumn("_head", captures(F.col("member"), r"(?m)\A" + head, groups)[0])
+
+
+def _modifiers() -> Column:
+    return F.when(F.col("kind") == "interface", F.array(F.lit("public"))).otherwise(_words(F.col("_head")[0]))
+
+
+_DECLARED = rf"{_ATTRS}{_LINE}[ \t]*({_MODS})({_TYPE})[ \t]+"
+_METHOD_HEAD = _DECLARED + r"(\w+)(?:<[^\n(]*>)?\(([^\n]*?)\)[ \t]*(?:[{;]|=>|where\b|$)"
 
 
 def extract_methods(files: DataFrame) -> DataFrame:
     """Methods with return type, parameters, modifiers and line span."""
-    head = _HEAD + rf"({_MODS})({_TYPE})[ \t]+(\w+)(?:<[^\n(]*>)?\(([^\n]*?)\)[ \t]*(?:[{{;]|=>|where\b|$)"
-    part = lambda i: F.regexp_extract("member", head, i)
-    return _method_texts(files).select(
+    head = F.col("_head")
+    return _each(files, "methods", _METHOD_HEAD, 4).select(
         "project",
         "path",
         "type_name",
-        part(3).alias("name"),
-        part(2).alias("returns"),
-        F.when(F.col("kind") == "interface", F.array(F.lit("public")))
-        .otherwise(_words(part(1)))
-        .alias("modifiers"),
-        _parameters(part(4)).alias("params"),
+        head[2].alias("name"),
+        head[1].alias("returns"),
+        _modifiers().alias("modifiers"),
+        _parameters(head[3]).alias("params"),
         _first_line(F.col("member")).alias("line_start"),
         _last_line(F.col("member")).alias("line_end"),
     )
@@ -165,19 +185,16 @@ def extract_methods(files: DataFrame) -> DataFrame:
 
 def extract_properties(files: DataFrame) -> DataFrame:
     """Properties with accessor flags; expression-bodied ones have neither."""
-    head = _HEAD + rf"({_MODS})({_TYPE})[ \t]+(\w+)"
-    part = lambda i: F.regexp_extract("member", head, i)
+    head = F.col("_head")
     block = F.regexp_extract("member", rf"(?s){_LINE}[^\n=]*?(\{{.*)$", 1)
     has = lambda word: F.rlike(block, F.lit(rf"\b{word}\b"))
-    return _members(files, PROPERTY, [METHOD, CTOR]).select(
+    return _each(files, "properties", _DECLARED + r"(\w+)", 3).select(
         "project",
         "path",
         "type_name",
-        part(3).alias("name"),
-        part(2).alias("value_type"),
-        F.when(F.col("kind") == "interface", F.array(F.lit("public")))
-        .otherwise(_words(part(1)))
-        .alias("modifiers"),
+        head[2].alias("name"),
+        head[1].alias("value_type"),
+        _modifiers().alias("modifiers"),
         has("get").alias("has_getter"),
         has("set").alias("has_setter"),
         _first_line(F.col("member")).alias("line_start"),
@@ -187,36 +204,59 @@ def extract_properties(files: DataFrame) -> DataFrame:
 
 def extract_fields(files: DataFrame) -> DataFrame:
     """One row per declared variable. Interfaces have no fields."""
-    head = _HEAD + rf"({_MODS})({_TYPE})[ \t]+([^\n]*);"
-    part = lambda i: F.regexp_extract("member", head, i)
-    modifiers = _words(part(1))
+    head = F.col("_head")
     return (
-        _members(files, FIELD, [METHOD, CTOR, PROPERTY])
+        _each(files, "fields", _DECLARED + r"([^\n]*);", 3)
         .where("kind = 'class'")
         .select(
             "project",
             "path",
             "type_name",
-            F.explode(_commas(part(3))).alias("variable"),
-            part(2).alias("value_type"),
-            modifiers.alias("modifiers"),
+            F.explode(_commas(head[2])).alias("_variable"),
+            head[1].alias("value_type"),
+            _words(head[0]).alias("modifiers"),
             _first_line(F.col("member")).alias("line_start"),
             _last_line(F.col("member")).alias("line_end"),
         )
-        .withColumn("name", F.regexp_extract("variable", r"^(\w+)", 1))
+        .withColumn("name", F.regexp_extract("_variable", r"^(\w+)", 1))
         .withColumn("is_readonly", F.array_contains("modifiers", "readonly"))
         .withColumn("is_static", F.array_contains("modifiers", "static"))
         .withColumn("is_const", F.array_contains("modifiers", "const"))
-        .drop("variable")
+        .drop("_variable")
     )
 
 
-def _attribute_rows(texts: DataFrame, parent: Column, text: str) -> DataFrame:
-    """Attributes in front of a declaration, with their arguments as a map."""
-    before = F.regexp_extract(text, rf"(?s)^((?:{_LINE}[ \t]*\[[^\n]*\][ \t]*\n)*)", 1)
+def _declarations(files: DataFrame) -> DataFrame:
+    """Types and all their members as (what, text) rows, from one reading of the files."""
+    tagged = lambda what, texts: F.transform(texts, lambda t: F.struct(F.lit(what).alias("what"), t.alias("text")))
+    rows = F.concat(
+        tagged("Class", F.array("chunk")),
+        tagged("Method", F.col("methods")),
+        tagged("Property", F.col("properties")),
+        tagged("Field", F.col("fields")),
+    )
+    return (
+        type_members(files)
+        .select("project", "path", "type_name", "kind", "bases", F.explode(rows).alias("_d"))
+        .select("project", "path", "type_name", "kind", "bases", "_d.what", "_d.text")
+    )
+
+
+def _names(text: Column) -> Column:
+    """Names a member declares: several for a field, one otherwise."""
+    listed = captures(text, r"(?m)\A" + _DECLARED + r"([^\n(]*)", 3)[0][2]
+    return F.transform(_commas(listed), lambda v: F.regexp_extract(v, r"^(\w+)", 1))
+
+
+def _attribute_texts(text: Column) -> Column:
+    """Attributes in front of a declaration, each as its own text."""
+    before = F.regexp_extract(text, rf"(?s)\A((?:{_LINE}[ \t]*\[[^\n]*\][ \t]*\n)*)", 1)
     lists = F.regexp_extract_all(before, F.lit(rf"(?m)^{_LINE}[ \t]*\[([^\n]*)\][ \t]*$"), F.lit(1))
-    each = F.flatten(F.transform(lists, _commas))
-    args = F.regexp_extract("attribute", r"(?s)^[\w.]+\((.*)\)$", 1)
+    return F.flatten(F.transform(lists, lambda l: _commas(l)))
+
+
+def _arguments(attribute: Column) -> Column:
+    """Arguments by name; those without one are ``arg0``, ``arg1``, …"""
     named = r"^(\w+)\s*=(?!=)\s*(.*)$"
     trimmed = lambda v: F.trim(v, F.lit('"'))
 
@@ -229,46 +269,47 @@ def _attribute_rows(texts: DataFrame, parent: Column, text: str) -> DataFrame:
             trimmed(F.when(is_named, F.regexp_extract(arg, named, 2)).otherwise(arg)),
         )
 
+    inside = F.regexp_extract(attribute, r"(?s)^[\w.]+\((.*)\)$", 1)
+    return F.map_from_entries(F.transform(_commas(inside), entry))
+
+
+def extract_attributes(files: DataFrame) -> DataFrame:
+    """Attributes of types, methods, properties and fields; interface members have none.
+
+    The attribute of a field that declares several variables is given for each.
+    """
+    text = F.col("text")
+    is_type = F.col("what") == "Class"
+    owners = F.when(is_type, F.array(F.lit(None).cast("string"))).otherwise(_names(text))
     return (
-        texts.select(
+        _declarations(files)
+        .where("what = 'Class' or kind = 'class'")
+        .select(
             "project",
             "path",
             "type_name",
-            parent.alias("parent_member"),
-            _first_line(F.col(text)).alias("line"),
-            F.explode(each).alias("attribute"),
+            _first_line(text).alias("line"),
+            F.explode(_attribute_texts(text)).alias("_attribute"),
+            "text",
+            "what",
         )
-        .withColumn("name", F.regexp_extract("attribute", r"^([\w.]+)", 1))
-        .withColumn("args", F.map_from_entries(F.transform(_commas(args), entry)))
-        .drop("attribute")
+        .select("project", "path", "type_name", "line", "_attribute", F.explode(owners).alias("parent_member"))
+        .withColumn("name", F.regexp_extract("_attribute", r"^([\w.]+)", 1))
+        .withColumn("args", _arguments(F.col("_attribute")))
+        .drop("_attribute")
     )
 
 
-def extract_attributes(files: DataFrame) -> DataFrame:
-    """Attributes of types, methods, properties and fields; interface members have none."""
-    name_after = lambda pattern: F.regexp_extract("member", _HEAD + pattern, 1)
-    member = rf"{_MODS}{_TYPE}[ \t]+(\w+)"
-    in_class = lambda df: df.where("kind = 'class'")
-    parts = [
-        _attribute_rows(type_chunks(files), F.lit(None).cast("string"), "chunk"),
-        _attribute_rows(in_class(_method_texts(files)), name_after(member), "member"),
-        _attribute_rows(in_class(_members(files, PROPERTY, [METHOD, CTOR])), name_after(member), "member"),
-        _attribute_rows(in_class(_members(files, FIELD, [METHOD, CTOR, PROPERTY])), name_after(member), "member"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def extract_ctor_params(files: DataFrame) -> DataFrame:
     """Parameters of the first public constructor of each class."""
-    texts = F.regexp_extract_all(F.col("chunk"), F.lit(CTOR), F.lit(0))
-    public = F.filter(texts, lambda t: F.rlike(t, F.lit(_HEAD + rf"(?:(?:{MODIFIERS})[ \t]+)*public\b")))
+    head = rf"(?m)\A{_ATTRS}{_LINE}[ \t]*(?:(?:{MODIFIERS})[ \t]+)+"
+    public = F.filter(
+        "ctors", lambda t: F.rlike(t, F.lit(rf"(?m)\A{_ATTRS}{_LINE}[ \t]*(?:(?:{MODIFIERS})[ \t]+)*public\b"))
+    )
     first = F.try_element_at(public, F.lit(1))
-    inside = F.regexp_extract(first, _HEAD + rf"(?:(?:{MODIFIERS})[ \t]+)+\w+\(([^\n]*?)\)[ \t]*(?:[{{;:]|=>|$)", 1)
+    inside = F.regexp_extract(first, head + r"\w+\(([^\n]*?)\)[ \t]*(?:[{;:]|=>|$)", 1)
     return (
-        type_chunks(files)
+        type_members(files)
         .where("kind = 'class'")
         .select("project", "path", "type_name", F.posexplode(_parameters(inside)).alias("pos", "p"))
         .select("project", "path", "type_name", "pos", "p.type", "p.name", "p.default")
@@ -291,24 +332,19 @@ def extract_bodies(files: DataFrame) -> DataFrame:
     lines = F.transform(
         F.split("member", "\n"), lambda line: F.regexp_replace(line, rf"^\d+{_N}", "")
     )
-    opens = F.transform(lines, lambda line: F.rtrim(line).endswith("{"))
+    opens = F.transform("_lines", lambda line: F.rtrim(line).endswith("{"))
     at = F.array_position(opens, F.lit(True)).cast("int")
-    head = _HEAD + rf"({_MODS}){_TYPE}[ \t]+(\w+)"
-    modifiers = F.when(F.col("kind") == "interface", F.array(F.lit("public"))).otherwise(
-        _words(F.regexp_extract("member", head, 1))
-    )
-    out = _method_texts(files).select(
+    rest = F.filter("_lines", lambda _, i: i >= at)
+    out = _each(files, "methods", _METHOD_HEAD, 4).withColumn("_lines", lines).select(
         "project",
         "path",
         F.col("type_name").alias("class_name"),
-        F.regexp_extract("member", head, 2).alias("method_name"),
+        F.col("_head")[2].alias("method_name"),
         _first_line(F.col("member")).alias("line"),
-        F.array_join(lines, "\n").alias("full_code"),
-        F.when(at > 0, F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n"))
-        .otherwise(F.lit(""))
-        .alias("body"),
+        F.array_join("_lines", "\n").alias("full_code"),
+        F.when(at > 0, F.array_join(rest, "\n")).otherwise(F.lit("")).alias("body"),
         *[
-            F.array_contains(modifiers, word).alias(f"is_{word}")
+            F.array_contains(_modifiers(), word).alias(f"is_{word}")
             for word in ("async", "static", "virtual", "override", "abstract")
         ],
     )
@@ -322,20 +358,22 @@ def extract_call_sites(files: DataFrame) -> DataFrame:
     are not seen. The receiver is null for a call on another expression.
     """
     words = "if|while|for|foreach|switch|catch|using|lock|return|typeof|sizeof|default|when"
-    call = rf"(?<![\w.?])(?<!\bnew[ ])(?:\)[ ]*\.)?(?:[A-Za-z_]\w*\.)*[A-Za-z_]\w*\("
-    chained = rf"\)[ ]*\.[A-Za-z_]\w*\("
-    head = _HEAD + rf"{_MODS}{_TYPE}[ \t]+(\w+)"
-    declaration = _HEAD + rf"{_MODS}{_TYPE}[ \t]+\w+(?:<[^\n(]*>)?\([^\n]*?\)[ \t]*(?=[{{;]|=>|where\b|$)"
+    plain = r"(?<![\w.?])(?<!\bnew[ ])((?:[A-Za-z_]\w*\.)*)([A-Za-z_]\w*)\("
+    chained = r"(\)[ ]*\.)([A-Za-z_]\w*)\("
+    # the declaration itself is no call
     number = F.regexp_extract("member", rf"(?m)^{_ATTRS}(\d+){_N}", 1)
-    code = F.regexp_replace("member", declaration, F.concat(number, F.lit(_N)))
+    code = F.regexp_replace("member", r"(?m)\A" + _METHOD_HEAD, F.concat(number, F.lit(f"{_N} ")))
+    quiet = F.regexp_replace("_line", rf"^\d+{_N}|\"[^\"]*\"", " ")
+    found = F.col("_call")
+    prefix = F.concat(found[0], found[2])
     return (
-        _method_texts(files)
+        _each(files, "methods", _METHOD_HEAD, 4)
         .where("kind = 'class'")
         .select(
             "project",
             "path",
             F.col("type_name").alias("caller_class"),
-            F.regexp_extract("member", head, 1).alias("caller_method"),
+            F.col("_head")[2].alias("caller_method"),
             F.explode(F.split(code, "\n")).alias("_line"),
         )
         .select(
@@ -344,23 +382,20 @@ def extract_call_sites(files: DataFrame) -> DataFrame:
             "caller_class",
             "caller_method",
             _first_line(F.col("_line")).alias("line"),
-            F.explode(
-                F.regexp_extract_all(
-                    F.regexp_replace(F.regexp_replace("_line", rf"^\d+{_N}", " "), '"[^"]*"', '""'),
-                    F.lit(rf"{chained}|{call}"),
-                    F.lit(0),
-                )
-            ).alias("_call"),
+            F.explode(captures(quiet, f"{chained}|{plain}", 4)).alias("_call"),
         )
-        .withColumn("callee_method", F.regexp_extract("_call", r"(\w+)\($", 1))
-        .where(~F.rlike("callee_method", F.lit(rf"^(?:{words})$")))
-        .withColumn(
-            "receiver",
-            F.when(F.startswith("_call", F.lit(")")), F.lit(None).cast("string")).otherwise(
-                F.regexp_extract("_call", r"^(.*?)\.?\w+\($", 1)
-            ),
+        .select(
+            "project",
+            "path",
+            "caller_class",
+            "caller_method",
+            "line",
+            F.concat(found[1], found[3]).alias("callee_method"),
+            F.when(F.startswith(prefix, F.lit(")")), F.lit(None).cast("string"))
+            .otherwise(F.rtrim(prefix, F.lit(".")))
+            .alias("receiver"),
         )
-        .drop("_call")
+        .where(~F.rlike("callee_method", F.lit(rf"^(?:{words})$")))
     )
 
 
@@ -380,33 +415,36 @@ def visibility_view(members: DataFrame, include_private: bool = False) -> DataFr
 
 
 def member_index(files: DataFrame) -> DataFrame:
-    """The long search index of a source collection."""
+    """The long search index of a source collection, from one reading of the files."""
     none = F.lit(None).cast("string")
-    types = extract_types(files)
+    text, what, owner = F.col("text"), F.col("what"), F.col("type_name")
+    is_type, is_class = what == "Class", F.col("kind") == "class"
+    empty = F.array().cast("array<string>")
 
-    def rows(df: DataFrame, kind: str, name: str, parent: Column, line: str) -> DataFrame:
-        return df.select(
-            "project",
-            "path",
-            parent.alias("parent"),
-            F.lit(kind).alias("member_type"),
-            F.col(name).alias("name"),
-            F.col(line).cast("bigint").alias("line"),
+    def rows(kind: Column, names: Column, parent: Column) -> Column:
+        return F.transform(
+            names, lambda n: F.struct(kind.alias("member_type"), n.alias("name"), parent.alias("parent"))
         )
 
-    owner = F.col("type_name")
-    parts = [
-        rows(types, "Class", "type_name", none, "line"),
-        rows(types.withColumn("name", F.explode("interfaces")), "Interface", "name", owner, "line"),
-        rows(extract_methods(files), "Method", "name", owner, "line_start"),
-        rows(extract_properties(files), "Property", "name", owner, "line_start"),
-        rows(extract_fields(files), "Field", "name", owner, "line_start"),
-        rows(extract_attributes(files), "Attribute", "name", owner, "line"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    interfaces = F.when(is_type, _interfaces(F.col("bases"), F.col("kind"))).otherwise(empty)
+    attributes = F.transform(
+        F.when(is_type | is_class, _attribute_texts(text)).otherwise(empty),
+        lambda a: F.regexp_extract(a, r"^([\w.]+)", 1),
+    )
+    own = F.when(is_type, F.array(owner)).otherwise(_names(text))
+    # the attribute of a field is listed once per variable
+    times = F.when(is_type, F.lit(1)).otherwise(F.size(own))
+    entries = F.concat(
+        rows(what, own, F.when(is_type, none).otherwise(owner)),
+        rows(F.lit("Interface"), interfaces, owner),
+        rows(F.lit("Attribute"), F.flatten(F.array_repeat(attributes, times)), owner),
+    )
+    return (
+        _declarations(files)
+        .where(is_class | (what != "Field"))
+        .select("project", "path", _first_line(text).cast("bigint").alias("line"), F.explode(entries).alias("_e"))
+        .select("project", "path", "_e.parent", "_e.member_type", "_e.name", "line")
+    )
 
 
 # Markup ---------------------------------------------------------------------
