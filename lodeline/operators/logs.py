@@ -10,13 +10,17 @@ from lodeline.functions.text import captures, contains_fold
 # Fixed value: format of a compiler diagnostic.
 DIAGNOSTIC = r"(?i)^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s+(\w+):\s*(.+?)(?:\s+\[.+\])?$"
 
+SPACE = " \t\r\n\f\u000b\u0085\u00a0\u2028\u2029"
+
 
 def parse_diagnostics(log: DataFrame, *keep: str, line: str = "line") -> DataFrame:
     """Diagnostics found in log lines; other lines are dropped. Each line is matched once."""
-    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    text = F.trim(F.col(line), F.lit(SPACE))
     part = lambda i: F.col("_part")[i - 1]
     file = F.ltrim(F.replace(F.trim(part(1)), F.lit("\\"), F.lit("/")), F.lit("/"))
-    return log.select(*keep, F.explode(captures(text, DIAGNOSTIC, 6)).alias("_part")).select(
+    # most lines of a log are dropped by a plain substring test
+    likely = log.where(F.contains(F.col(line), F.lit("):")))
+    return likely.select(*keep, F.explode(captures(text, DIAGNOSTIC, 6)).alias("_part")).select(
         *keep,
         F.lower(part(4)).alias("severity"),
         part(5).alias("code"),
@@ -71,7 +75,7 @@ def parse_package_log(logs: DataFrame, *keep: str, output: str = "output") -> Da
     return (
         logs.where(~package_log_ok(F.col(output)))
         .select(*keep, F.posexplode(F.split(output, "\n")).alias("_pos", "_line"))
-        .select(*keep, (F.col("_pos") + 1).alias("line_no"), F.regexp_replace("_line", r"^\s+|\s+$", "").alias("message"))
+        .select(*keep, (F.col("_pos") + 1).alias("line_no"), F.trim(F.col("_line"), F.lit(SPACE)).alias("message"))
         .where(contains_fold(F.col("message"), "error") | contains_fold(F.col("message"), "warn"))
         .withColumn(
             "severity",

@@ -29,20 +29,21 @@ STATEMENT_WORDS = (
 _N = "\u0001"  # between a line number and its line
 _CUT = "\u0002"  # before a type
 _EDGE = "\u0005"  # around a member
-_LINE = rf"\d+{_N}"
-_ATTRS = rf"(?:{_LINE}[ \t]*\[[^\n]*\][ \t]*\n)*"
-_MODS = rf"(?:(?:{MODIFIERS})[ \t]+)*"
-_TYPE = rf"(?!(?:{STATEMENT_WORDS}|{MODIFIERS})\b)[A-Za-z_][\w.]*(?:<[^\n()=;{{}}]*>)?(?:\[\])?\??"
+# possessive quantifiers: a line that is no declaration is given up at once
+_LINE = rf"\d++{_N}"
+_ATTRS = rf"(?:{_LINE}[ \t]*+\[[^\n]*\][ \t]*+\n)*+"
+_MODS = rf"(?:(?:{MODIFIERS})[ \t]++)*+"
+_TYPE = rf"(?!(?:{STATEMENT_WORDS}|{MODIFIERS})\b)[A-Za-z_][\w.]*+(?:<[^\n()=;{{}}]*>)?(?:\[\])?+\??+"
 _REST = r"(?:[^\n]*[;}][ \t]*(?=\n|$)|[^\n]*\n(?s:.*?)\n" + _LINE + r"\1\}[^\n]*)"
 
-TYPE_HEAD = rf"{_ATTRS}{_LINE}[ \t]*{_MODS}(?:class|interface)[ \t]+[A-Za-z_]"
-METHOD = rf"(?m)^{_ATTRS}{_LINE}([ \t]*){_MODS}{_TYPE}[ \t]+\w+(?:<[^\n(]*>)?\([^\n]*\){_REST}"
-CTOR = rf"(?m)^{_ATTRS}{_LINE}([ \t]*)(?:(?:{MODIFIERS})[ \t]+)+\w+\([^\n]*\){_REST}"
+TYPE_HEAD = rf"{_ATTRS}{_LINE}[ \t]*+{_MODS}(?:class|interface)[ \t]++[A-Za-z_]"
+METHOD = rf"(?m)^{_ATTRS}{_LINE}([ \t]*+){_MODS}{_TYPE}[ \t]++\w++(?:<[^\n(]*>)?\([^\n]*\){_REST}"
+CTOR = rf"(?m)^{_ATTRS}{_LINE}([ \t]*+)(?:(?:{MODIFIERS})[ \t]++)++\w++\([^\n]*\){_REST}"
 PROPERTY = (
-    rf"(?m)^{_ATTRS}{_LINE}([ \t]*){_MODS}{_TYPE}[ \t]+\w+[ \t]*"
+    rf"(?m)^{_ATTRS}{_LINE}([ \t]*+){_MODS}{_TYPE}[ \t]++\w++[ \t]*+"
     rf"(?:\{{[^\n]*\}}[^\n]*|=>[^\n]*;|\n{_LINE}\1\{{(?s:.*?)\n{_LINE}\1\}}[^\n]*)"
 )
-FIELD = rf"(?m)^{_ATTRS}{_LINE}[ \t]*{_MODS}{_TYPE}[ \t]+\w+[ \t]*(?:=(?!>)[^\n]*|,[^\n]*)?;"
+FIELD = rf"(?m)^{_ATTRS}{_LINE}[ \t]*+{_MODS}{_TYPE}[ \t]++\w++[ \t]*+(?:=(?!>)[^\n]*|,[^\n]*)?;"
 
 
 def _numbered(content: Column) -> Column:
@@ -54,11 +55,11 @@ def _numbered(content: Column) -> Column:
 
 
 def _first_line(text: Column) -> Column:
-    return F.regexp_extract(text, rf"^(\d+){_N}", 1).cast("int")
+    return F.substring_index(text, _N, 1).cast("int")
 
 
 def _last_line(text: Column) -> Column:
-    return F.regexp_extract(F.substring_index(text, "\n", -1), rf"^(\d+){_N}", 1).cast("int")
+    return _first_line(F.substring_index(text, "\n", -1))
 
 
 def _words(text: Column) -> Column:
@@ -163,7 +164,7 @@ def _modifiers() -> Column:
     return F.when(F.col("kind") == "interface", F.array(F.lit("public"))).otherwise(_words(F.col("_head")[0]))
 
 
-_DECLARED = rf"{_ATTRS}{_LINE}[ \t]*({_MODS})({_TYPE})[ \t]+"
+_DECLARED = rf"{_ATTRS}{_LINE}[ \t]*+({_MODS})({_TYPE})[ \t]++"
 _METHOD_HEAD = _DECLARED + r"(\w+)(?:<[^\n(]*>)?\(([^\n]*?)\)[ \t]*(?:[{;]|=>|where\b|$)"
 
 
