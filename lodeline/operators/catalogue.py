@@ -247,30 +247,29 @@ def namespace_union(types: DataFrame, *package_keys: str) -> DataFrame:
     )
 
 
-def inherited_properties(
-    types: DataFrame, props: DataFrame, max_depth: int = 100, cut_every: int = 8
-) -> DataFrame:
+def inherited_properties(types: DataFrame, props: DataFrame, max_depth: int = 100) -> DataFrame:
     """Properties of every type with those of its bases; the most derived one wins.
 
     ``types`` has (type_name, base), ``props`` (type_name, name, value_type). An
-    unknown base ends the walk. Every round climbs one level for all types; the
-    walk ends when no type has a base left.
+    unknown base ends the walk. Every round climbs one level for all types at
+    once and is written down, so no round is worked out twice; the walk ends
+    when no type has a known base left.
     """
     known = types.select(F.col("type_name").alias("at"), F.col("base").alias("next"))
     reach = types.select("type_name", F.col("type_name").alias("at"), F.lit(0).alias("depth"))
     levels, front = [reach], reach
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
         up = front.join(known, "at").select("type_name", F.col("next").alias("at"))
-        front = up.join(known.select("at"), "at", "left_semi").select(
-            "type_name", "at", F.lit(depth).alias("depth")
+        front = cut_lineage(
+            up.join(known.select("at"), "at", "left_semi").select(
+                "type_name", "at", F.lit(depth).alias("depth")
+            )
         )
-        if depth % cut_every == 0:
-            front = cut_lineage(front)
         if front.isEmpty():
             break
+        if depth > max_depth:
+            raise ValueError(f"bases are nested deeper than {max_depth}, or run in a circle")
         levels.append(front)
-    else:
-        raise ValueError(f"bases are nested deeper than {max_depth}, or run in a circle")
     every = reduce(DataFrame.unionByName, levels)
     declared = props.withColumnRenamed("type_name", "at")
     return (

@@ -11,6 +11,9 @@ from lodeline.sources.files import scan_files as scan_tree
 from lodeline.streaming.jobs import full_pass as index_all
 
 
+BUCKETS = 4
+
+
 def analyse(files):
     return files.select("project", "path", "size_bytes", split_line_count(F.col("content")).alias("lines"))
 
@@ -22,7 +25,7 @@ BASE = f"WITH {V.FILES}, {ANALYSED}"
 def stored(spark, d, label):
     rows = analyse(V.files(spark, d))
     root = fresh_dir(spark, label)
-    X.write_index(rows, root)
+    X.write_index(rows, root, buckets=BUCKETS)
     return rows, root
 
 
@@ -40,14 +43,14 @@ def write_index(spark, d):
     """A second write replaces the projects it holds and leaves the others."""
     rows, root = stored(spark, d, "write-index")
     again = rows.where("project < 'src2'").withColumn("size_bytes", F.col("size_bytes") + 1)
-    X.write_index(again, root)
+    X.write_index(again, root, buckets=BUCKETS)
     return X.read_index(spark, root, rows.schema).select("project", "path", "size_bytes", "lines")
 
 
 @query("purge_project", f"{BASE} SELECT * FROM index_v WHERE project <> 'src0'")
 def purge_project(spark, d):
     rows, root = stored(spark, d, "purge")
-    X.purge_projects(rows.where("project = 'src0'"), root)
+    X.purge_projects(rows.where("project = 'src0'"), root, BUCKETS)
     return X.read_index(spark, root, rows.schema).select("project", "path", "size_bytes", "lines")
 
 
@@ -61,8 +64,7 @@ def evict_paths(spark, d):
     rows, root = stored(spark, d, "evict")
     labelled = V.files(spark, d).join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     gone = labelled.select("project", F.upper(F.replace("path", F.lit("/"), F.lit("\\"))).alias("path"))
-    left = X.evict_paths(X.read_index(spark, root, rows.schema), gone)
-    X.rewrite_projects(left, root, gone)
+    X.evict_stored(spark, root, rows.schema, gone, BUCKETS)
     return X.read_index(spark, root, rows.schema).select("project", "path", "size_bytes", "lines")
 
 

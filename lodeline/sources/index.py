@@ -1,24 +1,28 @@
-"""The stored index: generations of rows per project.
-
-Rows lie under ``rows/project=…/generation=…`` and are never changed in place.
-A small log names the generation of each project that counts. A write first
-stores its rows and then appends one log entry per project, so readers see the
-old rows or the new ones, and a job that fails or is repeated leaves nothing
-that is read. Only the projects a write touches are rewritten.
+"""The stored index: generations of rows per project and bucket.
+
+Rows lie under ``rows/project=…/bucket=…/generation=…`` and are never changed in
+place; the bucket is a hash of the path, so that a change in a project that
+holds a large share of all rows rewrites a small part of it. A small log names
+the generation of each (project, bucket) that counts. A write first stores its
+rows and then appends its log entries, so readers see the old rows or the new
+ones, and a job that fails or is repeated leaves nothing that is read.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.functions.policy import path_key
 
-LOG_SCHEMA = "project string, generation string, stamp bigint, live boolean"
+LOG_SCHEMA = "project string, bucket int, generation string, stamp bigint, live boolean"
+BUCKETS = 16
+UNIT = ["project", "bucket"]
 
 
 def new_generation() -> tuple[str, int]:
@@ -26,63 +30,105 @@ def new_generation() -> tuple[str, int]:
     return f"{stamp:020d}-{uuid.uuid4().hex[:8]}", stamp
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/log")
+def bucket_of(path: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(path_key(path)), F.lit(buckets)).cast("int")
 
 
-def _append_log(projects: DataFrame, root: str, generation: str, stamp: int, live: bool) -> None:
-    projects.select("project").distinct().select(
-        "project",
+def _append_log(units: DataFrame, root: str, generation: str, stamp: int, live: bool) -> None:
+    units.select(*UNIT).distinct().select(
+        *UNIT,
         F.lit(generation).alias("generation"),
         F.lit(stamp).cast("bigint").alias("stamp"),
         F.lit(live).alias("live"),
-    ).coalesce(1).write.mode("append").parquet(f"{root}/log")  # one row per project
+    ).coalesce(1).write.mode("append").parquet(f"{root}/log")  # one row per project and bucket
+
+
+def _whole(projects: DataFrame, buckets: int) -> DataFrame:
+    """Every bucket of the given projects."""
+    return projects.select("project").distinct().withColumn(
+        "bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    )
 
 
 def current_generations(spark: SparkSession, root: str) -> DataFrame:
-    """The generation of each project that counts."""
-    latest = _log(spark, root).groupBy("project").agg(
+    """The generation of each (project, bucket) that counts."""
+    log = spark.read.schema(LOG_SCHEMA).parquet(f"{root}/log")
+    latest = log.groupBy(*UNIT).agg(
         F.max_by(F.struct("generation", "live"), F.struct("stamp", "generation")).alias("g")
     )
-    return latest.where("g.live").select("project", "g.generation")
+    return latest.where("g.live").select(*UNIT, "g.generation")
+
+
+def _store(rows: DataFrame, root: str, generation: str, buckets: int) -> None:
+    """Write rows by unit; large units are split over tasks, small ones share one."""
+    (
+        rows.withColumn("bucket", bucket_of(F.col("path"), buckets))
+        .withColumn("generation", F.lit(generation))
+        .hint("rebalance", F.col("project"), F.col("bucket"))
+        .write.mode("append")
+        .partitionBy("project", "bucket", "generation")
+        .parquet(f"{root}/rows")
+    )
 
 
 def write_index(
-    rows: DataFrame, root: str, projects: DataFrame | None = None, generation: tuple[str, int] | None = None
+    rows: DataFrame, root: str, projects: DataFrame | None = None, buckets: int = BUCKETS
 ) -> None:
-    """Replace all rows of the given projects, or of those in ``rows``.
+    """Replace all rows of the given projects, or of those in ``rows``, in one step.
 
     A project named in ``projects`` that has no row in ``rows`` is emptied.
-    Giving the ``generation`` makes a repeated write replace itself.
+    ``buckets`` must stay the same for the life of an index.
     """
-    name, stamp = generation or new_generation()
-    (
-        rows.withColumn("generation", F.lit(name))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("project", "generation")
-        .parquet(f"{root}/rows")
+    generation, stamp = new_generation()
+    _store(rows, root, generation, buckets)
+    _append_log(_whole(rows if projects is None else projects, buckets), root, generation, stamp, True)
+
+
+def rewrite_touched(
+    rows: DataFrame, root: str, changed: DataFrame, buckets: int = BUCKETS
+) -> None:
+    """Replace the buckets that hold the changed paths; ``rows`` is what they hold from now on."""
+    generation, stamp = new_generation()
+    _store(rows, root, generation, buckets)
+    units = changed.select("project", bucket_of(F.col("path"), buckets).alias("bucket"))
+    _append_log(units, root, generation, stamp, True)
+
+
+def purge_projects(projects: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+    """Drop every row of the given projects."""
+    generation, stamp = new_generation()
+    _append_log(_whole(projects, buckets), root, generation, stamp, False)
+
+
+def _rows(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    keys = ("project", "bucket", "generation")
+    full = T.StructType(
+        [f for f in schema.fields if f.name not in keys]
+        + [T.StructField("project", T.StringType()), T.StructField("bucket", T.IntegerType())]
+        + [T.StructField("generation", T.StringType())]
     )
-    _append_log(rows if projects is None else projects, root, name, stamp, True)
+    return spark.read.schema(full).parquet(f"{root}/rows")
 
 
 def read_index(spark: SparkSession, root: str, schema: T.StructType, project: str = "*") -> DataFrame:
     """Current rows of one project or of all. Only live generations are scanned."""
-    full = T.StructType(
-        [f for f in schema.fields if f.name not in ("project", "generation")]
-        + [T.StructField("project", T.StringType()), T.StructField("generation", T.StringType())]
-    )
-    live = current_generations(spark, root)
-    rows = spark.read.schema(full).parquet(f"{root}/rows")
+    live, rows = current_generations(spark, root), _rows(spark, root, schema)
     if project != "*":
         rows, live = rows.where(F.col("project") == project), live.where(F.col("project") == project)
-    return rows.join(live, ["project", "generation"], "left_semi").drop("generation")
+    return rows.join(live, [*UNIT, "generation"], "left_semi").drop("bucket", "generation")
 
 
-def purge_projects(projects: DataFrame, root: str) -> None:
-    """Drop every row of the given projects."""
-    name, stamp = new_generation()
-    _append_log(projects, root, name, stamp, False)
+def read_touched(
+    spark: SparkSession, root: str, schema: T.StructType, changed: DataFrame, buckets: int = BUCKETS
+) -> DataFrame:
+    """Current rows of the buckets that hold the changed paths."""
+    units = changed.select("project", bucket_of(F.col("path"), buckets).alias("bucket")).distinct()
+    live = current_generations(spark, root).join(units, UNIT, "left_semi")
+    return (
+        _rows(spark, root, schema)
+        .join(live, [*UNIT, "generation"], "left_semi")
+        .drop("bucket", "generation")
+    )
 
 
 def evict_paths(index: DataFrame, paths: DataFrame) -> DataFrame:
@@ -101,13 +147,17 @@ def evict_prefix(index: DataFrame, folder: str) -> DataFrame:
     return index.where(~F.startswith(path_key(F.col("path")), F.lit(prefix)))
 
 
-def rewrite_projects(index: DataFrame, root: str, changed: DataFrame) -> None:
-    """Store ``index`` anew for the projects in ``changed``, leaving the others alone."""
-    touched = changed.select("project").distinct()
-    write_index(index.join(touched, "project", "left_semi"), root, touched)
+def evict_stored(
+    spark: SparkSession, root: str, schema: T.StructType, paths: DataFrame, buckets: int = BUCKETS
+) -> None:
+    """Drop the given files from the stored index; other buckets are not read or written."""
+    held = read_touched(spark, root, schema, paths, buckets)
+    rewrite_touched(evict_paths(held, paths), root, paths, buckets)
 
 
-def read_through(index: DataFrame, cached: DataFrame, base: DataFrame, compute) -> tuple[DataFrame, DataFrame]:
+def read_through(
+    index: DataFrame, cached: DataFrame, base: DataFrame, compute: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
     """Rows for every indexed path, and those that had to be computed.
 
     What the cache lacks is taken from ``base`` through ``compute``; the second

@@ -9,12 +9,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lodeline.operators.policy import enabled_only
-from lodeline.sources.index import read_index, write_index
-from lodeline.streaming.changes import apply_changes
+from lodeline.session import cut_lineage
+from lodeline.sources.index import BUCKETS, read_touched, rewrite_touched, write_index
+from lodeline.streaming.changes import apply_changes, latest_per_key
+
+
+# sessions of a key are merged before the shuffle, so that a hot key sends few rows
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def run_to_sink(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Drain what is there into a Parquet folder and stop."""
+    stream.sparkSession.conf.set(LOCAL_MERGE, "true")
     return (
         stream.writeStream.format("parquet")
         .option("path", sink)
@@ -33,21 +39,21 @@ def index_upkeep(
     load: Callable[[DataFrame], DataFrame],
     keys: list[str],
     order: list[str],
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Apply a stream of changes to the stored index, batch by batch.
 
-    ``load`` gives the current files for a frame of keys. Only the projects a
-    batch touches are rewritten, and a repeated batch replaces its own rows.
+    ``load`` gives the current files for a frame of keys. Only the buckets a
+    batch touches are read and rewritten; a batch that is repeated gives the same
+    rows again, because an upsert takes the file as it is now.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        touched = batch.select("project").distinct()
-        index = read_index(spark, root, schema).join(touched, "project", "left_semi")
-        after = apply_changes(index, batch, load(batch.select(*keys).distinct()), keys, order)
-        write_index(after, root, touched)
-        batch.unpersist()
+        latest = cut_lineage(latest_per_key(batch, keys, order))
+        held = read_touched(spark, root, schema, latest, buckets)
+        after = apply_changes(held, latest, load(latest.select(*keys)), keys, order)
+        rewrite_touched(after, root, latest, buckets)
 
     return (
         changes.writeStream.foreachBatch(step)
