@@ -86,7 +86,8 @@ def _fold_generics(name: Column) -> Column:
         text = F.regexp_replace(text, r"\[([^\[\]`,]*)\]", f"{_OPEN}$1{_CLOSE}")
         text = F.regexp_replace(text, r"(?:[^\[\]`,]*\.)?([^\[\]`.,]+)`\d+\[([^\[\]]*)\]", "$1<$2>")
         text = F.replace(text, F.lit(f"{_CLOSE},{_OPEN}"), F.lit(_SEP))
-    text = F.regexp_replace(text, f"^\\[([^\\[\\]]*)\\]$|[{_OPEN}{_CLOSE}]", "$1")
+    text = F.regexp_replace(text, r"^\[([^\[\]]*)\]$", "$1")
+    text = F.translate(text, _OPEN + _CLOSE, "")
     return F.replace(F.replace(text, F.lit(_SEP), F.lit(", ")), F.lit(_ARRAY), F.lit("[]"))
 
 
