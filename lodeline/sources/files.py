@@ -1,4 +1,7 @@
-"""Reading source trees."""
+"""Reading source trees.
+
+Spark's file sources skip files of no bytes, so these do too.
+"""
 
 from __future__ import annotations
 

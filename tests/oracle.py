@@ -39,8 +39,10 @@ def kinds(rows) -> list:
     return [sorted({type(v).__name__ for v in column if v is not None}) for column in zip(*rows)]
 
 
-def differences(spark, sf_dir: str, function, sql: str) -> list[str]:
+def differences(spark, sf_dir: str, function, sql: str, look=None) -> list[str]:
     frame = function(spark, sf_dir)
+    if look:
+        look(frame)
     got = [tuple(r) for r in frame.collect()]
     cursor = duck(sf_dir).execute(sql)
     names = [c[0] for c in cursor.description]
