@@ -14,6 +14,7 @@ from lodeline.functions.policy import path_key, write_reason
 from lodeline.functions.text import read_line_count
 from lodeline.operators.lines import explode_lines
 from lodeline.operators.ordered import with_next, with_row_number
+from lodeline.session import cut_lineage
 
 LAST_LINE = 2147483647
 
@@ -56,10 +57,15 @@ def patch_conflicts(patches: DataFrame) -> DataFrame:
 
 
 def accepted_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
-    """Patches of files where every patch is valid and none overlap."""
+    """Patches of files where every patch is valid and none overlap.
+
+    The refused paths are written down, so that the users of the result do not
+    check all patches again.
+    """
     bad = validate_patches(patches, files).where("reason <> 'ok'").select("path")
     clash = patch_conflicts(patches).select("path")
-    return patches.join(bad.unionByName(clash).distinct(), "path", "left_anti")
+    refused = cut_lineage(bad.unionByName(clash).distinct())
+    return patches.join(refused, "path", "left_anti")
 
 
 def apply_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
