@@ -115,7 +115,7 @@ def blocked_file_name(name: Column) -> Column:
 
 def glob_regex(pattern: str) -> str:
     parts = [{"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern]
-    return "(?i)^" + "".join(parts) + "$"
+    return "(?id)^" + "".join(parts) + "$"
 
 
 def glob_match(name: Column, pattern: str) -> Column:

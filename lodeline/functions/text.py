@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 LARGE_BYTES = 15 * 1024
 
+# noncharacters, which Unicode keeps free for internal use: around a match, between its groups
+MATCH, GROUP = "\ufdd3", "\ufdd4"
+
 # Markers looked for in a source file, and the labels they give.
 TYPE_MARKERS = ["class ", "interface ", "record "]
 TOP_LEVEL_MARKERS = ["var ", "await ", "using ", "builder."]
@@ -38,10 +41,10 @@ def contains_fold(text: Column, needle: str) -> Column:
 
 def captures(text: Column, pattern: str, groups: int) -> Column:
     """The groups of every match, as an array of arrays, from one pass over the text."""
-    marks = "\u0003" + "\u0004".join(f"${i}" for i in range(1, groups + 1)) + "\u0003"
-    pieces = F.split(F.regexp_replace(text, pattern, marks), "\u0003")
+    marks = MATCH + GROUP.join(f"${i}" for i in range(1, groups + 1)) + MATCH
+    pieces = F.split(F.regexp_replace(text, pattern, marks), MATCH)
     found = F.filter(pieces, lambda _, i: i % 2 == 1)
-    return F.transform(found, lambda piece: F.split(piece, "\u0004"))
+    return F.transform(found, lambda piece: F.split(piece, GROUP))
 
 
 def one_decimal(value: Column) -> Column:

@@ -331,7 +331,7 @@ def docs_for_member(docs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def split_tags(tags: Column) -> Column:
-    return F.filter(F.transform(F.split(tags, "[ ,]"), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.translate(tags, ",", " "), " "), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def search_catalogue(packages: DataFrame, query: str, take: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeline.functions.text import captures, contains_fold
 
 # Fixed value: format of a compiler diagnostic.
-DIAGNOSTIC = r"(?i)^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s+(\w+):\s*(.+?)(?:\s+\[.+\])?$"
+DIAGNOSTIC = r"(?id)^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s+(\w+):\s*(.+?)(?:\s+\[.+\])?$"
 
 SPACE = " \t\r\n\f\u000b\u0085\u00a0\u2028\u2029"
 

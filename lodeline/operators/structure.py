@@ -26,9 +26,10 @@ STATEMENT_WORDS = (
     "|out|ref|var|class|interface|namespace|struct|enum|record|event|delegate"
 )
 
-_N = "\u0001"  # between a line number and its line
-_CUT = "\u0002"  # before a type
-_EDGE = "\u0005"  # around a member
+# noncharacters, which Unicode keeps free for internal use
+_N = "\ufdd0"  # between a line number and its line
+_CUT = "\ufdd1"  # before a type
+_EDGE = "\ufdd2"  # around a member
 # possessive quantifiers: a line that is no declaration is given up at once
 _LINE = rf"\d++{_N}"
 _ATTRS = rf"(?:{_LINE}[ \t]*+\[[^\n]*\][ \t]*+\n)*+"
@@ -36,6 +37,8 @@ _MODS = rf"(?:(?:{MODIFIERS})[ \t]++)*+"
 _TYPE = rf"(?!(?:{STATEMENT_WORDS}|{MODIFIERS})\b)[A-Za-z_][\w.]*+(?:<[^\n()=;{{}}]*>)?(?:\[\])?+\??+"
 _REST = r"(?:[^\n]*[;}][ \t]*(?=\n|$)|[^\n]*\n(?s:.*?)\n" + _LINE + r"\1\}[^\n]*)"
 
+_ALL = r"(?s:.*)"  # what follows an anchored head, so that nothing more is searched
+
 TYPE_HEAD = rf"{_ATTRS}{_LINE}[ \t]*+{_MODS}(?:class|interface)[ \t]++[A-Za-z_]"
 METHOD = rf"(?m)^{_ATTRS}{_LINE}([ \t]*+){_MODS}{_TYPE}[ \t]++\w++(?:<[^\n(]*>)?\([^\n]*\){_REST}"
 CTOR = rf"(?m)^{_ATTRS}{_LINE}([ \t]*+)(?:(?:{MODIFIERS})[ \t]++)++\w++\([^\n]*\){_REST}"
@@ -63,20 +66,22 @@ def _last_line(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), r"[ \t]+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(text, "\t", " "), " "), lambda w: w != "")
 
 
 def _commas(text: Column) -> Column:
     """Parts between commas that are not inside angle brackets, parentheses or quotes."""
     outside = r",(?![^<>]*>)(?![^(]*\))(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-    return F.filter(F.transform(F.split(text, outside), lambda p: F.trim(p)), lambda p: p != "")
+    # a split at one character needs no pattern to be compiled for each text
+    parts = F.split(F.regexp_replace(text, outside, _EDGE), _EDGE)
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def type_chunks(files: DataFrame) -> DataFrame:
     """One row per class or interface: its attributes, head and members as numbered text."""
     marked = F.regexp_replace(_numbered(F.col("content")), rf"(?m)^({TYPE_HEAD})", f"{_CUT}$1")
     chunks = F.filter(F.split(marked, _CUT), lambda _, i: i > 0)
-    head = rf"(?m)\A{_ATTRS}{_LINE}[ \t]*({_MODS})(class|interface)[ \t]+(\w+)(?:<[^\n{{:]*>)?[ \t]*(?::([^\n{{]*))?"
+    head = rf"(?m)\A{_ATTRS}{_LINE}[ \t]*({_MODS})(class|interface)[ \t]+(\w+)(?:<[^\n{{:]*>)?[ \t]*(?::([^\n{{]*))?{_ALL}"
     part = lambda i: F.get(F.col("_head")[0], F.lit(i - 1))
     return (
         files.select("project", "path", F.explode(chunks).alias("chunk"))
@@ -157,7 +162,7 @@ def type_members(files: DataFrame) -> DataFrame:
 def _each(files: DataFrame, texts: str, head: str, groups: int) -> DataFrame:
     """One row per member text with the groups of its head."""
     member = type_members(files).select("project", "path", "type_name", "kind", F.explode(texts).alias("member"))
-    return member.withColumn("_head", captures(F.col("member"), r"(?m)\A" + head, groups)[0])
+    return member.withColumn("_head", captures(F.col("member"), r"(?m)\A" + head + _ALL, groups)[0])
 
 
 def _modifiers() -> Column:
@@ -245,7 +250,7 @@ def _declarations(files: DataFrame) -> DataFrame:
 
 def _names(text: Column) -> Column:
     """Names a member declares: several for a field, one otherwise."""
-    listed = captures(text, r"(?m)\A" + _DECLARED + r"([^\n(]*)", 3)[0][2]
+    listed = F.regexp_extract(text, r"(?m)\A" + _DECLARED + r"([^\n(]*)", 3)
     return F.transform(_commas(listed), lambda v: F.regexp_extract(v, r"^(\w+)", 1))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.session import shared_dir
+from lodeline.session import settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, sf_dir: function(settle(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return function

@@ -7,19 +7,30 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings the operators count on; all of them can be set on a running session.
+# Skewed joins are split even where that costs a shuffle, and sessions of a
+# stream are merged before the shuffle.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "lodeline", master: str | None = None, **conf: str) -> SparkSession:
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    )
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return settle(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:

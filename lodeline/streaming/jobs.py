@@ -5,22 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lodeline.operators.policy import enabled_only
-from lodeline.session import cut_lineage
+from lodeline.session import cut_lineage, settle
 from lodeline.sources.index import BUCKETS, read_touched, rewrite_touched, write_index
 from lodeline.streaming.changes import apply_changes, latest_per_key
 
 
-# sessions of a key are merged before the shuffle, so that a hot key sends few rows
-LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
-
 def run_to_sink(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Drain what is there into a Parquet folder and stop."""
-    stream.sparkSession.conf.set(LOCAL_MERGE, "true")
+    settle(stream.sparkSession)
     return (
         stream.writeStream.format("parquet")
         .option("path", sink)
@@ -66,5 +63,9 @@ def index_upkeep(
 def full_pass(
     files: DataFrame, registry: DataFrame, root: str, build: Callable[[DataFrame], DataFrame]
 ) -> None:
-    """Index every file of the enabled projects anew. Meant to be run by a scheduler each hour."""
-    write_index(build(enabled_only(files, registry)), root)
+    """Index every file of the enabled projects anew. Meant to be run by a scheduler each hour.
+
+    An enabled project without files is emptied.
+    """
+    projects = registry.where("enabled").select(F.col("name").alias("project"))
+    write_index(build(enabled_only(files, registry)), root, projects)
