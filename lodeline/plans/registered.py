@@ -11,6 +11,33 @@ from lodeline.session import settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Lengths and ranges are BIGINT in SQL where the model has int, and the other way
+# round for some literals: columns to cast in the SQL, by query.
+WIDTHS: dict[str, dict[str, str]] = {
+    "deepest_first": {"depth": "INTEGER"},
+    "evict_paths": {"lines": "INTEGER"},
+    "explode_lines": {"line_no": "INTEGER"},
+    "file_index": {"types": "BIGINT", "methods": "BIGINT"},
+    "folders_to_delete": {"depth": "INTEGER"},
+    "full_pass": {"lines": "INTEGER"},
+    "grep_counts": {"match_count": "INTEGER", "total_lines": "INTEGER"},
+    "grep_documents": {"line_no": "INTEGER"},
+    "grep_ranked_page": {"match_count": "INTEGER", "total_lines": "INTEGER"},
+    "hits_by_project_type": {"type_rank": "BIGINT"},
+    "line_counts": {"split_lines": "INTEGER", "read_lines": "INTEGER"},
+    "line_range": {"total_lines": "INTEGER", "end_line": "INTEGER", "line_no": "INTEGER"},
+    "number_lines": {"line_no": "INTEGER"},
+    "page_tags": {"tag_no": "INTEGER"},
+    "parse_package_logs": {"line_no": "INTEGER"},
+    "payload_stats": {"array_count": "INTEGER", "line_count": "INTEGER", "shown": "INTEGER"},
+    "purge_project": {"lines": "INTEGER"},
+    "read_index": {"lines": "INTEGER"},
+    "read_through": {"lines": "INTEGER"},
+    "tag_attributes": {"tag_no": "INTEGER"},
+    "types_by_kind": {"kind_rank": "BIGINT"},
+    "write_index": {"lines": "INTEGER"},
+}
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,7 +50,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: function(settle(spark), sf_dir)
         if sql is not None:
-            ORACLES[name] = sql
+            casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in WIDTHS.get(name, {}).items())
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql}) AS q" if casts else sql
         return function
 
     return add

@@ -30,7 +30,7 @@ for name in queries:
     except Exception as e:  # noqa: BLE001
         found = [f"{type(e).__name__}: {str(e)[:400]}"]
     took = time.time() - start
-    if found or took > 4:
+    if found or took > 9:
         print(name, "ok" if not found else "FAIL", f"{took:.1f}s", *found, sep="\n   ", flush=True)
     bad += bool(found)
 print(f"{bad} bad of {len([n for n in queries if not parts or any(p in n for p in parts)])}; {len(sqls)} with SQL")

@@ -2,7 +2,6 @@ import random
 
 import pytest
 from helpers import rows
-from pyspark.sql import functions as F
 
 from lodeline.operators import patches as P
 
