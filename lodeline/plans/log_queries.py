@@ -148,13 +148,15 @@ def payload_stats(spark, d):
 
 @query(
     "payload_truncation",
-    """WITH p AS (SELECT doc_id, doc_id % 6 AS k, strlen(text) AS n, len(string_split(text, chr(10))) AS ls FROM documents)
-    SELECT doc_id, CASE k WHEN 5 THEN true WHEN 2 THEN n > 1024 WHEN 4 THEN n + 1 > 1024 ELSE false END AS truncated
-    FROM p WHERE k > 1""",
+    """WITH p AS (SELECT doc_id, doc_id % 6 AS k, strlen(text) AS n, len(string_split(text, chr(10))) AS items,
+        strlen(CAST(to_json(string_split(text, chr(10))) AS VARCHAR)) AS list_bytes,
+        strlen(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'text': text}) AS VARCHAR)) AS object_bytes FROM documents)
+    SELECT doc_id, CASE k WHEN 0 THEN list_bytes > 1024 OR items > 5 WHEN 1 THEN object_bytes > 1024 WHEN 2 THEN n > 1024
+      WHEN 3 THEN false WHEN 4 THEN n + 1 > 1024 ELSE true END AS truncated FROM p""",
 )
 def payload_truncation(spark, d):
     stats = PL.payload_stats(F.col("content_type"), F.col("body"), 1024, 5)
-    return payloads(spark, d).where(F.col("doc_id") % 6 > 1).select("doc_id", stats["truncated"].alias("truncated"))
+    return payloads(spark, d).select("doc_id", stats["truncated"].alias("truncated"))
 
 
 @query(
