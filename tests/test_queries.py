@@ -5,7 +5,8 @@ from oracle import differences
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from lodeline.plans import ORACLES as SQL
+from lodeline.plans import QUERIES
 
 
 def test_entry(spark):
