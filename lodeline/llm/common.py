@@ -64,31 +64,26 @@ def n_words(text: str | Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(spaces + 1).cast("bigint")
 
 
+def part_count(rows: int, part_rows: int = 16_384, least: int = 512) -> int:
+    """A power of two of parts, so that a part of an even spread holds about ``part_rows`` at most."""
+    return max(least, 1 << (-(-rows // part_rows) - 1).bit_length())
+
+
 def before_within(df: DataFrame, keys: list[str], part: str, weight: str, order: list[Column], out: str) -> DataFrame:
-    """Sum of ``weight`` over the rows that come before, by (keys, part, order).
+    """Sum of ``weight`` over the rows that come before, by (part, order) within ``keys``.
 
     ``part`` is a whole number that cuts every group of ``keys`` into ordered
     parts of bounded size. Windows run inside a part, and over one row per part,
-    so a group with most of the rows is spread over all tasks. ``order`` makes
-    the rows of a part distinct, or leaves ties only between equal rows. Null
-    keys are a group of their own.
+    so a group with most of the rows is spread over all tasks. Keys and part are
+    not null; rows that tie in ``order`` count as coming in any order.
     """
-    sums = df.groupBy(*keys, part).agg(F.sum(weight).alias("_part_sum"))
+    on = [*keys, part]
     over = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(
-        *[F.col(k).alias(f"_s_{k}") for k in [*keys, part]],
-        F.coalesce(F.sum("_part_sum").over(over), F.lit(0)).alias("_part_start"),
-    )
-    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*on).agg(F.sum(weight).alias("_part_sum"))
+    starts = sums.select(*on, F.coalesce(F.sum("_part_sum").over(over), F.lit(0)).alias("_part_start"))
+    inside = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    same = F.lit(True)
-    for k in [*keys, part]:
-        same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    return (
-        local.join(starts, same)
-        .withColumn(out, F.col("_part_start") + F.col("_inside"))
-        .drop("_part_start", "_inside", *[f"_s_{k}" for k in [*keys, part]])
-    )
+    return local.join(starts, on).withColumn(out, F.col("_part_start") + F.col("_inside")).drop("_part_start", "_inside")
 
 
 def quiet_tokenizers() -> None:

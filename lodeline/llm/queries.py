@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import packing
+from lodeline.llm import mixing, packing, sharding
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,59 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place_pieces(pieces, packing.group_count(docs)).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+def _mixing_sql(weights: tuple[int, ...], share: float, seed: int) -> str:
+    weight = f"list_extract([{', '.join(map(str, weights))}], (source_rank % {len(weights)} + 1)::INTEGER)"
+    size = r"CASE WHEN trim(squeezed) = '' THEN 0 ELSE len(string_split(trim(squeezed), ' ')) END"
+    passes = " UNION ALL ".join(
+        f"SELECT *, {turn} AS turn, md5('{seed}:{turn}:' || coalesce(doc_id::VARCHAR, '')) AS key FROM numbered" for turn in (0, 1)
+    )
+    return rf"""
+    WITH squeezed AS (
+        SELECT doc_id, source, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS squeezed FROM documents
+    ), numbered AS (
+        SELECT doc_id, source, ({size})::BIGINT AS size, row_number() OVER () AS row_no FROM squeezed
+    ), sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size FROM numbered GROUP BY source
+    ), ranked AS (
+        SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS source_rank FROM sources
+    ), capped AS (
+        SELECT *, {weight} AS weight, 2 * source_size AS cap FROM ranked
+    ), levels AS (
+        SELECT *, ({share}::DOUBLE * sum(source_size) OVER ()
+                   - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(weight) OVER (ORDER BY cap / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM capped
+    ), open_level AS (
+        SELECT level FROM levels WHERE level * weight < cap ORDER BY cap / weight, source_rank LIMIT 1
+    ), targets AS (
+        SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM open_level) * weight, cap::DOUBLE)) AS target
+        FROM levels
+    ), items AS ({passes}), queued AS (
+        SELECT items.*, targets.source_size, targets.target,
+               CASE WHEN target > 0 THEN sum(size) OVER (
+                   PARTITION BY items.source ORDER BY turn, key, doc_id, size, row_no ROWS UNBOUNDED PRECEDING
+               )::BIGINT / target END AS finish
+        FROM items JOIN targets ON items.source IS NOT DISTINCT FROM targets.source
+    ), cut AS (
+        SELECT *, sum(size) FILTER (finish IS NOT NULL) OVER (ORDER BY finish NULLS LAST RANGE UNBOUNDED PRECEDING) AS upto FROM queued
+    )
+    SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size,
+           any_value(target) AS target,
+           sum(CASE WHEN finish IS NOT NULL AND upto <= {share}::DOUBLE * (SELECT sum(size) FROM numbered) THEN size ELSE 0 END)::BIGINT AS taken
+    FROM cut GROUP BY row_no
+    """
+
+
+@query("op3_mixing", _mixing_sql(mixing.WEIGHTS, mixing.SHARE, mixing.SEED))
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.taken(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+@query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
