@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import mixing, packing, sharding
+from lodeline.llm import mixing, packing, quality, sharding
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,59 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_QUALITY_SQL = rf"""
+    WITH docs AS (
+        SELECT row_number() OVER () AS row_no, doc_id, source, coalesce(text, '') AS text,
+               trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS squeezed FROM documents
+    ), words AS (
+        SELECT row_no, unnest(string_split(squeezed, ' ')) AS word, generate_subscripts(string_split(squeezed, ' '), 1) AS i
+        FROM docs WHERE squeezed <> ''
+    ), windows AS (
+        SELECT row_no, i, word, lead(word, 1) OVER w AS b, lead(word, 2) OVER w AS c, lead(word, 3) OVER w AS d, lead(word, 4) OVER w AS e
+        FROM words WINDOW w AS (PARTITION BY row_no ORDER BY i)
+    ), again AS (
+        SELECT row_no, i, e IS NOT NULL AND count(*) OVER (PARTITION BY row_no, word, b, c, d, e) > 1 AS twice FROM windows
+    ), covered AS (
+        SELECT row_no, max(CASE WHEN twice THEN 1 ELSE 0 END)
+               OVER (PARTITION BY row_no ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS inside FROM again
+    ), repeats AS (
+        SELECT row_no, count(*) AS n_words, sum(inside) AS n_repeat_words FROM covered GROUP BY row_no
+    ), lines AS (
+        SELECT row_no, source, text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS key
+        FROM (SELECT row_no, source, text, unnest(string_split(text, chr(10))) AS line FROM docs)
+    ), full_lines AS (
+        SELECT *, len(string_split(key, ' ')) AS line_words FROM lines WHERE key <> ''
+    ), dups AS (
+        SELECT row_no, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY row_no
+    ), hosts AS (
+        SELECT source, count(DISTINCT text) AS host_docs FROM full_lines GROUP BY source
+    ), common AS (
+        SELECT f.source, f.key FROM full_lines f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
+        GROUP BY f.source, f.key, h.host_docs
+        HAVING count(DISTINCT text) > {quality.MAX_DOCS} AND count(DISTINCT text) > {quality.MAX_SHARE} * h.host_docs
+    ), removed AS (
+        SELECT row_no, sum(line_words) AS removed_words FROM full_lines f
+        JOIN common c ON f.source IS NOT DISTINCT FROM c.source AND f.key = c.key GROUP BY row_no
+    ), measured AS (
+        SELECT docs.doc_id, coalesce(n_words, 0)::BIGINT AS n_words,
+               length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+               (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+               coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+               coalesce(removed_words, 0)::BIGINT AS removed_words
+        FROM docs LEFT JOIN repeats USING (row_no) LEFT JOIN dups USING (row_no) LEFT JOIN removed USING (row_no)
+    ), failed AS (
+        SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PERCENT} * n_words AS base_failed
+        FROM measured
+    )
+    SELECT *, NOT base_failed AND n_words - removed_words >= {quality.LEAST_LEFT} * n_words AS kept FROM failed
+    """
+
+
+@query("op2_quality", _QUALITY_SQL)
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"]).drop("removed")
+
+
 def _mixing_sql(weights: tuple[int, ...], share: float, seed: int) -> str:
     weight = f"list_extract([{', '.join(map(str, weights))}], (source_rank % {len(weights)} + 1)::INTEGER)"
     size = r"CASE WHEN trim(squeezed) = '' THEN 0 ELSE len(string_split(trim(squeezed), ' ')) END"
