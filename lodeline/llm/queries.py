@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat, mixing, neardup, packing, quality, sharding
+from lodeline.llm import chat, mixing, neardup, packing, quality, sharding, tokenfiles
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
         F.length("loss_text").cast("bigint").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "valid",
     )
+
+
+@query("op7_token_ids")
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    manifest = tokenfiles.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return ids_crc32(tokenfiles.read_ids(spark, manifest, docs.schema["doc_id"].dataType.simpleString()))

@@ -75,6 +75,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
         self.spelling = Spelling()
@@ -184,6 +185,7 @@ class RankEncoder:
             raise ValueError("the ids are not in the order of the merges")
         spelled = _byte_spelling()
         ranks = {bytes(spelled[c] for c in token): i for token, i in vocab.items()}
+        self.vocabulary = len(model["vocab"] | {t["content"]: t["id"] for t in whole["added_tokens"]})
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
