@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat, mixing, neardup, packing, quality, sharding, tokenfiles
+from lodeline.llm import chat, langid, mixing, neardup, packing, quality, sharding, tokenfiles
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,11 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = tokenfiles.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"))
     return ids_crc32(tokenfiles.read_ids(spark, manifest, docs.schema["doc_id"].dataType.simpleString()))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rows = langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
+    return rows.select("doc_id", "held_out", "language.*")
