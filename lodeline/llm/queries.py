@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat, langid, mixing, neardup, packing, quality, sharding, tokenfiles
+from lodeline.llm import chat, langid, media, mixing, neardup, packing, quality, sharding, tokenfiles
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out()))
     rows = langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
     return rows.select("doc_id", "held_out", "language.*")
+
+
+@query("op9_media")
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measured(media.encode_texts(table(spark, sf_dir, "documents")))
