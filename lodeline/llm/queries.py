@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat, langid, media, mixing, neardup, packing, quality, sharding, tokenfiles
+from lodeline.llm import chat, html_extract, langid, media, mixing, neardup, packing, quality, sharding, tokenfiles
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_media")
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.measured(media.encode_texts(table(spark, sf_dir, "documents")))
+
+
+@query("op1_html_text")
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
