@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import utf8, written
+from lodeline.llm.common import n_words, utf8, written
 from lodeline.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -99,7 +99,7 @@ class Signer:
 
 
 def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands`` of every document; no key and bands for empty sets."""
+    """``doc_id, text_key, n_shingles, set_key, bands`` of every document; empty sets have no key."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands)
@@ -110,11 +110,16 @@ def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
             keys = signer.band_keys(minima).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys))
             full = [set_key(s) if len(s) else None for s in sets]
-            columns = [batch.column(0), pa.array(sizes), pa.array(full, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "bands"])
+            columns = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(full, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>")
+    schema = f"doc_id {kind}, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(sign, schema)
+
+
+def text_key():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -199,7 +204,7 @@ def block_links(units: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, rows: int = BAND_ROWS
 ) -> DataFrame:
-    """``doc_id, n_shingles, set_key, component_id, kept`` of every document.
+    """``doc_id, text_key, n_shingles, component_id, kept`` of every document.
 
     ``component_id`` is the least id that links lead to, ``kept`` whether it is
     the document's own.
@@ -255,9 +260,24 @@ def near_duplicates(
     rooted = written(rooted.select("set_key", "least", F.coalesce("root", "set_key").alias("root")), "classes")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = written(rooted.join(ids, "root").select("set_key", "component_id"), "components")
-    out = light.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left")
+    out = light.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.withColumn("component_id", component)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        "doc_id", "n_shingles", "set_key", "component_id", "kept"
+        "doc_id", "text_key", "n_shingles", "component_id", "kept"
     )
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, and all that have no words, in the columns they came with.
+
+    Of a group the row whose id names the component stays; of several such rows
+    one with the least hash of its text.
+    """
+    found = near_duplicates(docs, words, percent).where("kept")
+    empty = F.col("n_shingles") == 0
+    chosen = found.where(~empty).groupBy("component_id").agg(F.min("text_key").alias("_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text_key().alias("text_key"), n_words("text").alias("_words"))
+    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("_key"))
+    once = rows.where("_words > 0").join(chosen, same).dropDuplicates(["doc_id", "text_key"])
+    return once.select("_row.*").union(rows.where("_words = 0").select("_row.*"))

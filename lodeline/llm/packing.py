@@ -27,9 +27,10 @@ from lodeline.llm.tokenize import encoder
 SEQUENCE_LENGTH = 2048
 END_ID = 1
 # Documents of a group on average, and pieces held at a time: a larger group is
-# packed in parts of this many pieces, all of them whole.
+# packed in parts of this many pieces or bytes, with nothing left out.
 GROUP_ROWS = 2048
 HELD_PIECES = 32_768
+HELD_BYTES = 64_000_000
 # Parts of a group number their sequences inside this range.
 _GROUP_BITS = 32
 
@@ -118,10 +119,10 @@ def place_pieces(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count, now, used = 0, None, 0
+        count, size, now, used = 0, 0, None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, count, used
+            nonlocal held, count, size, used
             if count:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 bins, offsets = first_fit_decreasing(whole.column("length").to_pylist(), length)
@@ -130,7 +131,7 @@ def place_pieces(
                 whole = whole.select(range(at))
                 whole = whole.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
                 yield from whole.append_column("offset", pa.array(offsets, pa.int64())).to_batches()
-            held, count = [], 0
+            held, count, size = [], 0, 0
 
         for batch in batches:
             marks = np.asarray(batch.column(at))
@@ -143,7 +144,8 @@ def place_pieces(
                     now, used = int(marks[start]), 0
                 held.append(batch.slice(start, end - start))
                 count += int(end - start)
-                if count >= HELD_PIECES:
+                size += batch.nbytes * int(end - start) // len(marks)
+                if count >= HELD_PIECES or size >= HELD_BYTES:
                     yield from flush()
         yield from flush()
 

@@ -151,7 +151,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_near_dedup")
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("set_key")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query("op8_chat")
