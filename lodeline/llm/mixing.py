@@ -112,17 +112,17 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with ``finish``, in the order of that.
+    """The documents of the mix, each as often as it is taken, in the order of their finish times.
 
     Documents join their times by ``doc_id``, ``source`` and size; rows equal in
     those take each other's places.
     """
     at = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
     times = taken(docs, weights, share, seed).withColumn("_copy", F.row_number().over(at)).where("times > 0")
-    rows = docs.withColumn("size", n_words("text")).withColumn("_copy", F.row_number().over(at))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words("text").alias("size"))
+    rows = rows.withColumn("_copy", F.row_number().over(at))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size", "_copy")]
     finishes = F.array(*[F.col(f"t.finish_{turn}") for turn in range(PASSES)])
-    joined = rows.alias("d").join(times.alias("t"), same).select(
-        *[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.slice(finishes, F.lit(1), F.col("t.times"))).alias("finish")
-    )
-    return joined.orderBy("finish")
+    joined = rows.alias("d").join(times.alias("t"), same)
+    repeated = joined.select("d.row", F.explode(F.slice(finishes, F.lit(1), F.col("t.times"))).alias("finish"))
+    return repeated.orderBy("finish").select("row.*")

@@ -165,8 +165,14 @@ def judge(
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents without their common lines, in the columns they came with."""
-    judged = judge(docs).where("kept")
-    lines = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """The kept documents without their common lines, in the columns they came with.
+
+    Where lines went, ``n_chars`` is that of the text that is left.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    judged = judge(rows, ["row"]).where("kept")
+    changed = F.col("removed").isNotNull()
+    lines = F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("removed", i))
+    text = F.when(changed, F.array_join(lines, "\n")).otherwise(F.col("row.text"))
+    own = {"text": text, "n_chars": F.when(changed, F.length(text).cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return judged.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
