@@ -198,3 +198,94 @@ def test_markup(spark):
         (1, "class", "a"), (1, "id", "b"), (2, "href", "/x"), (3, "href", "/y"), (3, "rel", "n"),
     ]
     assert rows(S.page_links(pages).select("target")) == [("/x",)]
+
+
+LAYOUTS = '''namespace A {
+  [Obsolete] public class Outer : Base, IThing<List<int>, string> {
+    [Key, Column("x, {y}")] private int _x = 1, _y;
+    private int[] _a = { 1, 2 };
+    private Point _p = new Point { X = 1, Y = 2 };
+    public Dictionary<string, List<int>> Map { get; init; } = new();
+    // class Hidden { void No() { } }
+    /* public int Gone;
+       public void Gone2() { } */
+    public class Inner
+    {
+      public void In() { Deep(); }
+    }
+    public string Odd = "class Fake { public int Z; }";
+    [HttpGet("a"), Authorize(Roles = "x")] public async Task<Dictionary<string, int>> After(
+        [FromBody] List<int> items,
+        string text = "a, (b)",
+        int n = 3
+    )
+        {
+      var r = recv.Make<List<int>>(items).Run();
+      Bare<int>();
+      foreach (var i in items) { if (i > 0) { this._p.Move(i); } }
+            }
+    public Outer(
+        IStore<int> store,
+        string name)
+        : base(name) { Init(); }
+    public int Sum => Add(1, 2);
+    public void One() { A(); } public int Two { get { return B(); } }
+  }
+  struct S { public void NotSeen() { } }
+}
+'''
+
+
+@pytest.fixture(scope="module")
+def layouts(spark):
+    return spark.createDataFrame([("p", "l.cs", LAYOUTS)], "project string, path string, content string")
+
+
+def test_layouts(layouts):
+    members = {
+        (r.what, n): (r.type_name, " ".join(r.modifiers), r.line_start, r.line_end)
+        for r in S.members(layouts).collect() for n in r.names
+    }
+    assert members == {
+        ("Class", "Outer"): ("Outer", "public", 2, 31), ("Class", "Inner"): ("Inner", "public", 10, 13),
+        ("Field", "_x"): ("Outer", "private", 3, 3), ("Field", "_y"): ("Outer", "private", 3, 3),
+        ("Field", "_a"): ("Outer", "private", 4, 4), ("Field", "_p"): ("Outer", "private", 5, 5),
+        ("Property", "Map"): ("Outer", "public", 6, 6), ("Method", "In"): ("Inner", "public", 12, 12),
+        ("Field", "Odd"): ("Outer", "public", 14, 14), ("Method", "After"): ("Outer", "public async", 15, 24),
+        ("Ctor", "Outer"): ("Outer", "public", 25, 28), ("Property", "Sum"): ("Outer", "public", 29, 29),
+        ("Method", "One"): ("Outer", "public", 30, 30), ("Property", "Two"): ("Outer", "public", 30, 30),
+    }
+    after = S.extract_methods(layouts).where("name = 'After'").first()
+    assert after.returns == "Task<Dictionary<string, int>>"
+    assert [tuple(p) for p in after.params] == [("List<int>", "items", None), ("string", "text", '"a, (b)"'), ("int", "n", "3")]
+    attributes = {(r.parent_member, r.name): r.args for r in S.extract_attributes(layouts).collect()}
+    assert attributes == {
+        (None, "Obsolete"): {}, ("_x", "Key"): {}, ("_y", "Key"): {}, ("_x", "Column"): {"arg0": "x, {y}"},
+        ("_y", "Column"): {"arg0": "x, {y}"}, ("After", "HttpGet"): {"arg0": "a"}, ("After", "Authorize"): {"Roles": "x"},
+    }
+    types = {r.type_name: (r.base, r.interfaces) for r in S.extract_types(layouts).collect()}
+    assert types == {"Outer": ("Base", ["IThing<List<int>, string>"]), "Inner": (None, [])}
+    assert [(r.type, r.name) for r in S.extract_ctor_params(layouts).orderBy("pos").collect()] == [("IStore<int>", "store"), ("string", "name")]
+    calls = S.extract_call_sites(layouts).withColumn("to", S.resolve_receiver(F.col("receiver")))
+    assert rows(calls.select("line", "caller_method", "callee_method", "to")) == [
+        (12, "In", "Deep", "SameClass"), (21, "After", "Make", "recv"), (21, "After", "Run", "Unknown"),
+        (23, "After", "Move", "SameClass"), (30, "One", "A", "SameClass"),
+    ]
+
+
+def test_texts_with_marks_of_their_own_and_long_lines(spark):
+    import time
+
+    strings = ", ".join(f'"s, {{{i}}}"' for i in range(20_000))
+    long_line = f"class A {{\n  string[] _all = new[] {{ {strings} }};\n  object _o = Make({', '.join(f'F({i})' for i in range(20_000))});\n  void M() {{ B(); }}\n}}\n"
+    odd = "class A {\n" + "".join(f"  public void M{i}(int a)\n  {{\n    Call{i}(a);\n      }}\n" for i in range(40_000)) + "}\n"
+    marked = "class A {\n  string _s = \"﷐﷑﷒﷯\";\n  void M﷓() { }\n  void N() { B(); }\n}\n"
+    for text, names in ((long_line, ["M", "_all", "_o"]), (marked, ["N", "_s"])):
+        frame = spark.createDataFrame([("p", "x.cs", text)], "project string, path string, content string")
+        start = time.time()
+        assert sorted(n for r in S.members(frame).where("what <> 'Class'").collect() for n in r.names) == names
+        assert time.time() - start < 60
+    frame = spark.createDataFrame([("p", "x.cs", odd)], "project string, path string, content string")
+    start = time.time()
+    assert S.extract_methods(frame).where("line_end = line_start + 3").count() == 40_000
+    assert len(odd) > 2_000_000 and time.time() - start < 60
