@@ -16,7 +16,8 @@ SRC = f"WITH {V.SOURCE_PARTS}"
     f"""{SRC} SELECT project, path, name AS type_name, 'class' AS kind, 'public' AS modifiers, 'Base' || brand AS base,
         'IPart, IStore<int>' AS interfaces, 6 AS line,
         'Extends: Base' || brand || ' | Implements: IPart, IStore<int>' AS info FROM src
-      UNION ALL SELECT project, path, 'I' || name, 'interface', 'public', '', 'IPart', 27, 'Implements: IPart' FROM src""",
+      UNION ALL SELECT project, path, 'Inner', 'class', 'public', '', '', inner_at, '' FROM src WHERE nested > 0
+      UNION ALL SELECT project, path, 'I' || name, 'interface', 'public', '', 'IPart', face_at, 'Implements: IPart' FROM src""",
 )
 def extract_types(spark, d):
     types = S.extract_types(V.sources(spark, d))
@@ -29,10 +30,11 @@ def extract_types(spark, d):
 
 @query(
     "extract_methods",
-    f"""{SRC} SELECT project, path, name AS type_name, 'Price' || (k % 7) AS name, 'public virtual' AS modifiers,
-        'decimal Price' || (k % 7) || '(int qty, string unit = "kg")' AS signature, 18 AS line_start, 24 AS line_end FROM src
-      UNION ALL SELECT project, path, name, 'Reset', 'private static', 'void Reset()', 25, 25 FROM src
-      UNION ALL SELECT project, path, 'I' || name, 'Count', 'public', 'int Count(List<int> items)', 29, 29 FROM src""",
+    f"""{SRC} SELECT project, path, name AS type_name, price AS name, 'public virtual' AS modifiers,
+        'decimal ' || price || '(int qty, string unit = "kg")' AS signature, http_at AS line_start, http_at + 6 + spread AS line_end FROM src
+      UNION ALL SELECT project, path, name, 'Reset', 'private static', 'void Reset()', reset_at, reset_at FROM src
+      UNION ALL SELECT project, path, 'Inner', 'Deep', 'public', 'void Deep()', inner_at + 2, inner_at + 2 FROM src WHERE nested > 0
+      UNION ALL SELECT project, path, 'I' || name, 'Count', 'public', 'int Count(List<int> items)', face_at + 2, face_at + 2 FROM src""",
 )
 def extract_methods(spark, d):
     return S.extract_methods(V.sources(spark, d)).select(
@@ -45,9 +47,9 @@ def extract_methods(spark, d):
 @query(
     "extract_properties",
     f"""{SRC} SELECT project, path, name AS type_name, 'Size' AS name, 'int' AS value_type, 'public' AS modifiers,
-        'get; set;' AS accessors, '// Lines 15-16' AS label FROM src
-      UNION ALL SELECT project, path, name, 'Label', 'string', 'public', '', '// Line 17' FROM src
-      UNION ALL SELECT project, path, 'I' || name, 'Title', 'string', 'public', 'get;', '// Line 30' FROM src""",
+        'get; set;' AS accessors, '// Lines ' || key_at || '-' || (key_at + 1) AS label FROM src
+      UNION ALL SELECT project, path, name, 'Label', 'string', 'public', '', '// Line ' || (key_at + 2) FROM src
+      UNION ALL SELECT project, path, 'I' || name, 'Title', 'string', 'public', 'get;', '// Line ' || (face_at + 3) FROM src""",
 )
 def extract_properties(spark, d):
     return S.extract_properties(V.sources(spark, d)).select(
@@ -59,10 +61,11 @@ def extract_properties(spark, d):
 
 @query(
     "extract_fields",
-    f"""{SRC}, f AS (SELECT '_size' AS name, 'int' AS value_type, true AS is_readonly, false AS is_const, 9 AS line_start
-        UNION ALL SELECT '_code', 'int', true, false, 9 UNION ALL SELECT 'Kind', 'string', false, true, 10)
+    f"""{SRC}, f AS (SELECT '_size' AS name, 'int' AS value_type, true AS is_readonly, false AS is_const, 0 AS below, 0 AS least
+        UNION ALL SELECT '_code', 'int', true, false, 0, 0 UNION ALL SELECT 'Kind', 'string', false, true, 1, 0
+        UNION ALL SELECT '_t' || (i - 1), 'int[]', false, false, 1 + i, i FROM (SELECT unnest([1, 2, 3, 4]) AS i) x)
       SELECT project, path, src.name AS type_name, f.name, value_type, is_readonly, false AS is_static, is_const,
-        line_start FROM src CROSS JOIN f""",
+        fields_at + below AS line_start FROM src JOIN f ON extra >= least""",
 )
 def extract_fields(spark, d):
     return S.extract_fields(V.sources(spark, d)).select(
@@ -74,8 +77,8 @@ def extract_fields(spark, d):
     "extract_attributes",
     f"""{SRC} SELECT project, path, name AS type_name, '' AS parent_member, 'Table' AS name,
         'arg0=' || p_name || ';Schema=s' || p_size AS args, 6 AS line FROM src
-      UNION ALL SELECT project, path, name, 'Size', 'Key', '', 15 FROM src
-      UNION ALL SELECT project, path, name, 'Price' || (k % 7), 'HttpGet', 'arg0=parts/' || k, 18 FROM src""",
+      UNION ALL SELECT project, path, name, 'Size', 'Key', '', key_at FROM src
+      UNION ALL SELECT project, path, name, price, 'HttpGet', 'arg0=parts/' || k, http_at FROM src""",
 )
 def extract_attributes(spark, d):
     shown = F.transform(F.map_entries("args"), lambda e: F.concat_ws("=", e["key"], e["value"]))
@@ -104,28 +107,38 @@ def extract_imports(spark, d):
     return S.extract_imports(V.sources(spark, d)).withColumn("usings", F.array_join("usings", ","))
 
 
+BODY = """'            this.Check(qty);' || chr(10) || '            var rate = _table.Inner.Find(base.Scale(qty));' || chr(10)
+        || '            return Math.Round(rate);' || chr(10) || CASE WHEN k % 6 = 0 THEN '              }' ELSE '        }' END"""
+HEAD = """'        [HttpGet("parts/' || k || '")]' || chr(10) || '        public virtual decimal ' || price
+        || CASE WHEN spread > 0 THEN '(' || chr(10) || '            int qty,' || chr(10) || '            string unit = "kg")'
+           ELSE '(int qty, string unit = "kg")' END || chr(10) || '        {' || chr(10)"""
+
+
 @query(
     "extract_bodies",
-    f"""{SRC} SELECT project, path, name || '::Price' || (k % 7) || '::18' AS key, true AS is_virtual,
-        false AS is_static, 7 AS code_lines, '            this.Check(qty);' AS first_line FROM src
-      UNION ALL SELECT project, path, name || '::Reset::25', false, true, 1, '' FROM src
-      UNION ALL SELECT project, path, 'I' || name || '::Count::29', false, false, 1, '' FROM src""",
+    f"""{SRC} SELECT project, path, name || '::' || price || '::' || http_at AS key, true AS is_virtual,
+        false AS is_static, {HEAD} || {BODY} AS full_code, {BODY} AS body FROM src
+      UNION ALL SELECT project, path, name || '::Reset::' || reset_at, false, true,
+        '        private static void Reset() => Clear();', '' FROM src
+      UNION ALL SELECT project, path, 'Inner::Deep::' || (inner_at + 2), false, false,
+        '            public void Deep() {{ Run<int>(); a.Fill<List<int>>(1); }}', '' FROM src WHERE nested > 0
+      UNION ALL SELECT project, path, 'I' || name || '::Count::' || (face_at + 2), false, false,
+        '        int Count(List<int> items);', '' FROM src""",
 )
 def extract_bodies(spark, d):
     return S.extract_bodies(V.sources(spark, d)).select(
-        "project", "path", "key", "is_virtual", "is_static",
-        F.size(F.split("full_code", "\n")).alias("code_lines"),
-        F.substring_index("body", "\n", 1).alias("first_line"),
+        "project", "path", "key", "is_virtual", "is_static", "full_code", "body"
     )
 
 
 @query(
     "extract_call_sites",
-    f"""{SRC}, c AS (SELECT 'Check' AS callee_method, 'SameClass' AS callee_class, 21 AS line
-        UNION ALL SELECT 'Find', '_table', 22 UNION ALL SELECT 'Scale', 'BaseClass', 22 UNION ALL SELECT 'Round', 'Math', 23)
-      SELECT project, path, name AS caller_class, 'Price' || (k % 7) AS caller_method, callee_method, callee_class, line
+    f"""{SRC}, c AS (SELECT 'Check' AS callee_method, 'SameClass' AS callee_class, 3 AS below
+        UNION ALL SELECT 'Find', '_table', 4 UNION ALL SELECT 'Scale', 'BaseClass', 4 UNION ALL SELECT 'Round', 'Math', 5)
+      SELECT project, path, name AS caller_class, price AS caller_method, callee_method, callee_class, http_at + spread + below AS line
       FROM src CROSS JOIN c
-      UNION ALL SELECT project, path, name, 'Reset', 'Clear', 'SameClass', 25 FROM src""",
+      UNION ALL SELECT project, path, name, 'Reset', 'Clear', 'SameClass', reset_at FROM src
+      UNION ALL SELECT project, path, 'Inner', 'Deep', 'Fill', 'a', inner_at + 2 FROM src WHERE nested > 0""",
 )
 def extract_call_sites(spark, d):
     calls = S.extract_call_sites(V.sources(spark, d))
@@ -143,7 +156,8 @@ def resolve_receivers(spark, d):
 
 @query(
     "visibility_view",
-    f"""{SRC} SELECT project, path, 'Price' || (k % 7) AS name FROM src UNION ALL SELECT project, path, 'Count' FROM src""",
+    f"""{SRC} SELECT project, path, price AS name FROM src UNION ALL SELECT project, path, 'Count' FROM src
+      UNION ALL SELECT project, path, 'Deep' FROM src WHERE nested > 0""",
 )
 def visibility_view(spark, d):
     return S.visibility_view(S.extract_methods(V.sources(spark, d))).select("project", "path", "name")
@@ -151,23 +165,33 @@ def visibility_view(spark, d):
 
 @query(
     "member_index",
-    f"""{SRC}, m AS (SELECT unnest(['Interface', 'Interface', 'Method', 'Method', 'Property', 'Property', 'Field', 'Field',
-        'Field', 'Attribute', 'Attribute', 'Attribute', 'Class']) AS member_type,
-      unnest(['IPart', 'IStore<int>', 'Price', 'Reset', 'Size', 'Label', '_size', '_code', 'Kind', 'Table', 'Key', 'HttpGet', '']) AS short,
-      unnest([6, 6, 18, 25, 15, 17, 9, 9, 10, 6, 15, 18, 6]) AS line)
-    SELECT project, path, CASE WHEN member_type = 'Class' THEN '' ELSE name END AS parent, member_type,
-      CASE WHEN short = 'Price' THEN short || (k % 7) WHEN short = '' THEN name ELSE short END AS name,
-      CAST(line AS BIGINT) AS line FROM src CROSS JOIN m
-    UNION ALL SELECT project, path, '', 'Class', 'I' || name, 27 FROM src
-    UNION ALL SELECT project, path, 'I' || name, 'Interface', 'IPart', 27 FROM src
-    UNION ALL SELECT project, path, 'I' || name, 'Method', 'Count', 29 FROM src
-    UNION ALL SELECT project, path, 'I' || name, 'Property', 'Title', 30 FROM src""",
+    f"""{SRC}, m AS (
+      SELECT project, path, '' AS parent, 'Class' AS member_type, name, 6 AS line FROM src
+      UNION ALL SELECT project, path, name, 'Interface', unnest(['IPart', 'IStore<int>']), 6 FROM src
+      UNION ALL SELECT project, path, name, 'Method', price, http_at FROM src
+      UNION ALL SELECT project, path, name, 'Method', 'Reset', reset_at FROM src
+      UNION ALL SELECT project, path, name, 'Property', 'Size', key_at FROM src
+      UNION ALL SELECT project, path, name, 'Property', 'Label', key_at + 2 FROM src
+      UNION ALL SELECT project, path, name, 'Field', unnest(['_size', '_code']), fields_at FROM src
+      UNION ALL SELECT project, path, name, 'Field', 'Kind', fields_at + 1 FROM src
+      UNION ALL SELECT project, path, name, 'Field', '_t' || i, fields_at + 2 + i
+        FROM src JOIN (SELECT unnest([0, 1, 2, 3]) AS i) x ON i < extra
+      UNION ALL SELECT project, path, name, 'Attribute', 'Table', 6 FROM src
+      UNION ALL SELECT project, path, name, 'Attribute', 'Key', key_at FROM src
+      UNION ALL SELECT project, path, name, 'Attribute', 'HttpGet', http_at FROM src
+      UNION ALL SELECT project, path, '', 'Class', 'Inner', inner_at FROM src WHERE nested > 0
+      UNION ALL SELECT project, path, 'Inner', 'Method', 'Deep', inner_at + 2 FROM src WHERE nested > 0
+      UNION ALL SELECT project, path, '', 'Class', 'I' || name, face_at FROM src
+      UNION ALL SELECT project, path, 'I' || name, 'Interface', 'IPart', face_at FROM src
+      UNION ALL SELECT project, path, 'I' || name, 'Method', 'Count', face_at + 2 FROM src
+      UNION ALL SELECT project, path, 'I' || name, 'Property', 'Title', face_at + 3 FROM src)
+    SELECT * REPLACE (CAST(line AS BIGINT) AS line) FROM m""",
 )
 def member_index(spark, d):
     return S.member_index(V.sources(spark, d)).withColumn("parent", F.coalesce("parent", F.lit("")))
 
 
-@query("file_index", f"{SRC} SELECT project, path, 2 AS types, 3 AS methods FROM src")
+@query("file_index", f"{SRC} SELECT project, path, 2 + nested // 4 AS types, 3 + nested // 4 AS methods FROM src")
 def file_index(spark, d):
     files = V.sources(spark, d)
     return I.file_index(S.extract_types(files), S.extract_methods(files))

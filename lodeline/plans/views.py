@@ -382,33 +382,48 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per part, with every kind of declaration the extractors read."""
+    """One source file per part, in a layout that its key chooses.
+
+    By the key, the attribute of the type stands on its line or before it, there
+    are 0 to 4 fields with values in braces, a nested type or none, parameters on
+    one line or several, and a closing brace at an odd indent.
+    """
     name, key, brand = part_name(), F.col("p_partkey"), F.replace("p_brand", F.lit("#"), F.lit(""))
+    attribute = text('    [Table("', F.col("p_name"), '", Schema = "s', F.col("p_size"), '")]')
+    head = text("public class ", name, key, " : Base", brand, ", IPart, IStore<int>")
+    inline, nested, spread = key % 2 == 1, key % 4 == 0, key % 3 == 1
     lines = [
         text("using System;"),
         text("using ", brand, ".Core;"),
         text("using System;"),
         text("namespace ", F.col("p_type"), ".Parts"),
         text("{"),
-        text('    [Table("', F.col("p_name"), '", Schema = "s', F.col("p_size"), '")]'),
-        text("    public class ", name, key, " : Base", brand, ", IPart, IStore<int>"),
+        F.when(inline, text(attribute, " ", head)).otherwise(attribute),
+        F.when(~inline, text("    ", head)),
         text("    {"),
         text("        private readonly int _size, _code = ", F.col("p_size"), ";"),
         text("        public const string Kind = \"", F.col("p_type"), "\";"),
+        *[F.when(key % 5 > i, text(f"        private int[] _t{i} = {{ 1, {i} }};")) for i in range(4)],
         text("        public ", name, key, "(IStore<", brand, "> store, string label = \"x\")"),
         text("        {"),
         text("            Register(store);"),
         text("        }"),
+        F.when(nested, text("        public class Inner")),
+        F.when(nested, text("        {")),
+        F.when(nested, text("            public void Deep() { Run<int>(); a.Fill<List<int>>(1); }")),
+        F.when(nested, text("        }")),
         text("        [Key]"),
         text("        public int Size { get; set; }"),
         text("        public string Label => Kind;"),
         text("        [HttpGet(\"parts/", key, "\")]"),
-        text("        public virtual decimal Price", key % 7, "(int qty, string unit = \"kg\")"),
+        text("        public virtual decimal Price", key % 7, F.when(spread, "(").otherwise("(int qty, string unit = \"kg\")")),
+        F.when(spread, text("            int qty,")),
+        F.when(spread, text("            string unit = \"kg\")")),
         text("        {"),
         text("            this.Check(qty);"),
         text("            var rate = _table.Inner.Find(base.Scale(qty));"),
         text("            return Math.Round(rate);"),
-        text("        }"),
+        F.when(key % 6 == 0, text("              }")).otherwise(text("        }")),
         text("        private static void Reset() => Clear();"),
         text("    }"),
         text("    public interface I", name, key, " : IPart"),
@@ -427,10 +442,17 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("project", "path", F.replace("_text", F.lit("\u0003"), F.col("_newline")).alias("content"))
 
 
-SOURCE_PARTS = f"""src AS (
+# The same choices, and the lines that follow from them.
+SOURCE_PARTS = f"""choices AS (
   SELECT p_type AS project, 'src/' || p_partkey || '.cs' AS path, p_partkey AS k, p_size, p_type, p_name,
-         replace(p_brand, '#', '') AS brand, {PART_NAME} || p_partkey AS name
-  FROM part)"""
+         replace(p_brand, '#', '') AS brand, {PART_NAME} || p_partkey AS name, 'Price' || (p_partkey % 7) AS price,
+         (9 - p_partkey % 2)::INTEGER AS fields_at, (p_partkey % 5)::INTEGER AS extra,
+         CASE WHEN p_partkey % 4 = 0 THEN 4 ELSE 0 END AS nested, CASE WHEN p_partkey % 3 = 1 THEN 2 ELSE 0 END AS spread
+  FROM part),
+src AS (
+  SELECT *, inner_at + nested AS key_at, inner_at + nested + 3 AS http_at, inner_at + nested + 10 + spread AS reset_at,
+         inner_at + nested + 12 + spread AS face_at
+  FROM (SELECT *, fields_at + 2 + extra + 4 AS inner_at FROM choices) AS c)"""
 
 
 # Manifests and member docs made from parts and suppliers ---------------------------
