@@ -25,7 +25,6 @@ TYPE_ALIASES = {
     "System.Void": "void",
 }
 
-NESTING = 4
 # stand for the separator, "[]", and the ends of a finished argument
 _SEP, _ARRAY, _OPEN, _CLOSE = "\u0001", "\u0002", "\u0003", "\u0004"
 
@@ -74,25 +73,31 @@ def _fold_generics(name: Column) -> Column:
     """Short form of ``Ns.List`1[[System.Int32, lib]]`` and deeper nests.
 
     Each pass cuts the innermost arguments down to their short names and folds
-    the generic that holds them, so ``NESTING`` passes cover that depth.
+    the generic that holds them. There are as many passes as the name has
+    argument lists, which is at least how deep it is nested.
     """
     text = F.concat(F.lit("["), F.replace(name, F.lit("[]"), F.lit(_ARRAY)), F.lit("]"))
     for full, short in TYPE_ALIASES.items():
         text = F.replace(text, F.lit(f"[{full},"), F.lit(f"[{short},"))
         text = F.replace(text, F.lit(f"[{full}]"), F.lit(f"[{short}]"))
-    for _ in range(NESTING):
+
+    def fold(text: Column, _: Column) -> Column:
         text = F.regexp_replace(text, r"\[([^\[\],]+),[^\[\]]*\]", "[$1]")
         text = F.regexp_replace(text, r"\[[^\[\]<>`,]*\.([^\[\]<>.`,]+)\]", "[$1]")
         text = F.regexp_replace(text, r"\[([^\[\]`,]*)\]", f"{_OPEN}$1{_CLOSE}")
         text = F.regexp_replace(text, r"(?:[^\[\]`,]*\.)?([^\[\]`.,]+)`\d+\[([^\[\]]*)\]", "$1<$2>")
-        text = F.replace(text, F.lit(f"{_CLOSE},{_OPEN}"), F.lit(_SEP))
+        return F.replace(text, F.lit(f"{_CLOSE},{_OPEN}"), F.lit(_SEP))
+
+    lists = F.length(name) - F.length(F.replace(name, F.lit("[["), F.lit("[")))
+    text = F.aggregate(F.sequence(F.lit(0), lists), text, fold)
     text = F.regexp_replace(text, r"^\[([^\[\]]*)\]$", "$1")
     text = F.translate(text, _OPEN + _CLOSE, "")
     return F.replace(F.replace(text, F.lit(_SEP), F.lit(", ")), F.lit(_ARRAY), F.lit("[]"))
 
 
 def simplify_type_name(name: Column) -> Column:
-    """Short form of a runtime type name. Names nested deeper than the passes stay long."""
+    """Short form of a runtime type name, however deep its arguments are nested."""
+    name = F.translate(name, _SEP + _ARRAY + _OPEN + _CLOSE, "")
     nullable = F.regexp_extract(name, r"System\.Nullable`1\[\[([^,\]]+)", 1)
     return (
         F.when(name.isNull() | (name == ""), F.lit("void"))

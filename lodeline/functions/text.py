@@ -40,7 +40,11 @@ def contains_fold(text: Column, needle: str) -> Column:
 
 
 def captures(text: Column, pattern: str, groups: int) -> Column:
-    """The groups of every match, as an array of arrays, from one pass over the text."""
+    """The groups of every match, as an array of arrays, from one pass over the text.
+
+    The marks it works with become replacement characters where the text holds them.
+    """
+    text = F.translate(text, MATCH + GROUP, "\ufffd\ufffd")
     marks = MATCH + GROUP.join(f"${i}" for i in range(1, groups + 1)) + MATCH
     pieces = F.split(F.regexp_replace(text, pattern, marks), MATCH)
     found = F.filter(pieces, lambda _, i: i % 2 == 1)
@@ -107,12 +111,21 @@ def number_line(line_no: Column, line: Column) -> Column:
     return F.format_string("%4d | %s", line_no, line)
 
 
-def truncate_body(body: Column, limit: int) -> tuple[Column, Column]:
-    """Whole characters up to ``limit``, and whether the body has more bytes than that."""
-    if not 256 <= limit <= 32768:
-        raise ValueError("limit must be between 256 and 32768")
+def truncate_body(body: Column, limit: int, least: int = 256, most: int = 32768) -> tuple[Column, Column]:
+    """The whole characters that fit into ``limit`` bytes, and whether the body has more bytes.
+
+    A character has up to four bytes, so one of the last four places is where one ends.
+    """
+    if not least <= limit <= most:
+        raise ValueError(f"limit must be between {least} and {most}")
     over = F.octet_length(body) > limit
-    return F.when(over, F.left(body, F.lit(limit))).otherwise(body), over
+    raw = body.cast("binary")
+    next_byte = lambda size: F.hex(F.substring(raw, size + 1, 1))
+    size = F.lit(limit - 3)
+    for back in (2, 1, 0):
+        size = F.when(~next_byte(limit - back).between("80", "BF"), F.lit(limit - back)).otherwise(size)
+    cut = F.decode(F.substring(raw, F.lit(1), size), "UTF-8")
+    return F.when(over, cut).otherwise(body), over
 
 
 def parse_cutoff(text: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -247,33 +246,38 @@ def namespace_union(types: DataFrame, *package_keys: str) -> DataFrame:
     )
 
 
-def inherited_properties(types: DataFrame, props: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Properties of every type with those of its bases; the most derived one wins.
+def ancestors(types: DataFrame) -> DataFrame:
+    """``type_name, at, depth``: every type with itself and all its known bases.
 
-    ``types`` has (type_name, base), ``props`` (type_name, name, value_type). An
-    unknown base ends the walk. Every round climbs one level for all types at
-    once and is written down, so no round is worked out twice; the walk ends
-    when no type has a known base left.
+    A base of an unknown name ends the walk. Each round doubles the reach, so
+    there are as many as the logarithm of the deepest chain; a type comes back
+    once, at its least depth, so a circle of bases ends too.
     """
-    known = types.select(F.col("type_name").alias("at"), F.col("base").alias("next"))
-    reach = types.select("type_name", F.col("type_name").alias("at"), F.lit(0).alias("depth"))
-    levels, front = [reach], reach
-    for depth in range(1, max_depth + 2):
-        up = front.join(known, "at").select("type_name", F.col("next").alias("at"))
-        front = cut_lineage(
-            up.join(known.select("at"), "at", "left_semi").select(
-                "type_name", "at", F.lit(depth).alias("depth")
-            )
-        )
-        if front.isEmpty():
+    known = types.select("type_name").distinct()
+    step = types.where("base is not null").select("type_name", F.col("base").alias("at")).distinct()
+    step = cut_lineage(step.join(known.withColumnRenamed("type_name", "at"), "at", "left_semi").select("type_name", "at"))
+    reach, length, size = known.select("type_name", F.col("type_name").alias("at"), F.lit(0).alias("depth")), 1, -1
+    while not step.isEmpty():
+        next_ = step.select(F.col("type_name").alias("at"), F.col("at").alias("_next"))
+        further = reach.join(next_, "at").select("type_name", F.col("_next").alias("at"), (F.col("depth") + length).alias("depth"))
+        reach = cut_lineage(reach.unionByName(further).groupBy("type_name", "at").agg(F.min("depth").alias("depth")))
+        grown = reach.count()
+        if grown == size:
             break
-        if depth > max_depth:
-            raise ValueError(f"bases are nested deeper than {max_depth}, or run in a circle")
-        levels.append(front)
-    every = reduce(DataFrame.unionByName, levels)
+        size = grown
+        step = cut_lineage(step.join(next_, "at").select("type_name", F.col("_next").alias("at")))
+        length *= 2
+    return reach
+
+
+def inherited_properties(types: DataFrame, props: DataFrame) -> DataFrame:
+    """Properties of every type with those of its bases; the most derived one wins.
+
+    ``types`` has (type_name, base), ``props`` (type_name, name, value_type).
+    """
     declared = props.withColumnRenamed("type_name", "at")
     return (
-        every.join(declared, "at")
+        ancestors(types).join(declared, "at")
         .groupBy("type_name", "name")
         .agg(
             F.min_by(F.struct("value_type", F.col("at")), "depth").alias("p"),
@@ -334,12 +338,12 @@ def split_tags(tags: Column) -> Column:
     return F.filter(F.transform(F.split(F.translate(tags, ",", " "), " "), lambda t: F.trim(t)), lambda t: t != "")
 
 
-def search_catalogue(packages: DataFrame, query: str, take: int = 20) -> DataFrame:
-    """Best ``take`` packages for a keyword."""
+def search_catalogue(packages: DataFrame, query: str, take: int = 20, most: int = 100) -> DataFrame:
+    """Best ``take`` packages for a keyword; ``most`` bounds what may be asked for."""
     if not query.strip():
         raise ValueError("query is empty")
-    if not 1 <= take <= 100:
-        raise ValueError("take must be between 1 and 100")
+    if not 1 <= take <= most:
+        raise ValueError(f"take must be between 1 and {most}")
     return (
         packages.withColumn("score", tier_score(F.col("package"), query))
         .where("score > 0")

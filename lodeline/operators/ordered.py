@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lodeline.session import cut_lineage
 
-# Rows up to this place are taken with a top-k, which keeps that many per task.
-TOP_K_ROWS = 100_000
+# Places up to this one are found by a tree of top-k steps. It is also where Spark
+# stops cutting groups before it shuffles them (windowGroupLimitThreshold).
+NEAR_ROWS = 1000
+TREE_WIDTH = 64
+# Bounds of a page and what stands for a size outside them; all can be given by the caller.
+LARGEST_PAGE = 200
+DEFAULT_PAGE = 50
 _POSITION_BITS = 33
 
 
@@ -72,11 +77,25 @@ def page_bounds(total: int, page: int, size: int) -> tuple[int, int]:
     return min(max(page, 1), pages), pages
 
 
+def least_rows(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
+    """The first ``rows`` rows of the ordering, for up to ``NEAR_ROWS`` of them.
+
+    Every task keeps so many rows, groups of ``TREE_WIDTH`` tasks keep so many of
+    those, and only what the groups keep comes together.
+    """
+    if not 0 < rows <= NEAR_ROWS:
+        raise ValueError(f"rows must be between 1 and {NEAR_ROWS}")
+    group = F.floor(F.spark_partition_id() / TREE_WIDTH)
+    place = F.row_number().over(Window.partitionBy("_group").orderBy(*order))
+    kept = df.withColumn("_group", group).withColumn("_place", place).where(F.col("_place") <= rows)
+    return kept.drop("_group", "_place").orderBy(*order).limit(rows)
+
+
 def take_page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page of the ordering. Far pages are cut from exact row numbers."""
+    """One page of the ordering: near ones from the tree, others from exact row numbers."""
     skip = (page - 1) * size
-    if skip + size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(skip).limit(size)
+    if skip + size <= NEAR_ROWS:
+        return least_rows(df, order, skip + size).orderBy(*order).offset(skip)
     place = F.col("_place")
     return (
         with_row_number(df, order, "_place")
@@ -85,26 +104,63 @@ def take_page(df: DataFrame, order: list[Column], page: int, size: int) -> DataF
     )
 
 
-def page_clamped(df: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> DataFrame:
-    """Size held to 1..200, page held to the pages there are."""
-    size = min(max(size, 1), 200)
-    total = df.count()
-    page, pages = page_bounds(total, page, size)
-    return take_page(df, order, page, size).select(
+def counted_page(df: DataFrame, order: list[Column], page: int, size: int, hold: bool) -> tuple[DataFrame, int, int]:
+    """Rows of a page, its number and the number of all rows, from one reading of ``df``.
+
+    With ``hold`` a page past the end is the last one, which takes a second
+    reading. A page is as small as its size, so its rows go by the driver.
+    """
+    skip = (page - 1) * size
+    if skip + size > NEAR_ROWS:
+        numbered = with_row_number(df, order, "_place")
+        total = numbered.count()
+        if hold:
+            page = page_bounds(total, page, size)[0]
+        place = F.col("_place")
+        rows = numbered.where((place > (page - 1) * size) & (place <= page * size)).drop("_place")
+        return rows, page, total
+    seen = Observation()
+    rows = least_rows(df.observe(seen, F.count("*").alias("total")), order, skip + size).collect()[skip:]
+    total = seen.get["total"]
+    if hold and page > page_bounds(total, page, size)[1]:
+        page = page_bounds(total, page, size)[0]
+        rows = take_page(df, order, page, size).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema), page, total
+
+
+def page_size(size: int, largest: int, clamp: bool, otherwise: int | None = None) -> int:
+    """The size to use: one out of bounds fails unless ``clamp`` is set, or is ``otherwise``."""
+    if 1 <= size <= largest:
+        return size
+    if otherwise is not None and clamp:
+        return otherwise
+    if not clamp:
+        raise ValueError(f"a page has 1 to {largest} rows, not {size}")
+    return min(max(size, 1), largest)
+
+
+def page_clamped(
+    df: DataFrame, order: list[Column], page: int = 1, size: int = 20, largest: int = LARGEST_PAGE, clamp: bool = True
+) -> DataFrame:
+    """Size held to 1 and ``largest``, page held to the pages there are."""
+    size = page_size(size, largest, clamp)
+    rows, page, total = counted_page(df, order, max(page, 1), size, hold=True)
+    return rows.select(
         "*",
         F.lit(page).alias("page"),
-        F.lit(pages).alias("total_pages"),
+        F.lit(page_bounds(total, page, size)[1]).alias("total_pages"),
         F.lit(total).cast("bigint").alias("total_results"),
     )
 
 
-def page_unclamped(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> DataFrame:
-    """A size outside 1..200 becomes 50; a page past the end is empty."""
-    page = max(page, 1)
-    size = size if 1 <= size <= 200 else 50
-    total = df.count()
+def page_unclamped(
+    df: DataFrame, order: list[Column], page: int = 1, size: int = DEFAULT_PAGE, largest: int = LARGEST_PAGE, clamp: bool = True
+) -> DataFrame:
+    """A size outside 1 and ``largest`` becomes the default; a page past the end is empty."""
+    page, size = max(page, 1), page_size(size, largest, clamp, DEFAULT_PAGE)
+    rows, page, total = counted_page(df, order, page, size, hold=False)
     pages = ceil(total / size)
-    return take_page(df, order, page, size).select(
+    return rows.select(
         "*",
         F.lit(page).alias("page"),
         F.lit(pages).alias("total_pages"),
@@ -114,14 +170,16 @@ def page_unclamped(df: DataFrame, order: list[Column], page: int = 1, size: int
     )
 
 
-def page_diagnostics(df: DataFrame, order: list[Column], page: int = 1, size: int = 50) -> DataFrame:
-    """Size held to 1..200, page at least 1, at least one page, no upper hold."""
-    page, size = max(page, 1), min(max(size, 1), 200)
-    total = df.count()
-    return take_page(df, order, page, size).select(
+def page_diagnostics(
+    df: DataFrame, order: list[Column], page: int = 1, size: int = DEFAULT_PAGE, largest: int = LARGEST_PAGE, clamp: bool = True
+) -> DataFrame:
+    """Size held to 1 and ``largest``, page at least 1, at least one page, no upper hold."""
+    size = page_size(size, largest, clamp)
+    rows, page, total = counted_page(df, order, max(page, 1), size, hold=False)
+    return rows.select(
         "*",
         F.lit(page).alias("page"),
-        F.lit(max(1, ceil(total / size))).alias("total_pages"),
+        F.lit(page_bounds(total, page, size)[1]).alias("total_pages"),
         F.lit(total).cast("bigint").alias("total_diagnostics"),
     )
 

@@ -13,21 +13,34 @@ def load_registry(projects: DataFrame) -> DataFrame:
     return projects.where("enabled")
 
 
-def registry_add(registry: DataFrame, requests: DataFrame, limit: int = MAX_PROJECTS) -> DataFrame:
-    """Registry after adding requests in order.
+def add_requests(registry: DataFrame, requests: DataFrame, limit: int | None = MAX_PROJECTS) -> DataFrame:
+    """Every request with its ``outcome``: added, name taken, asked before, or registry full.
 
-    A name that is taken, in any case, is refused, and so is whatever comes
-    after the registry is full. Requests have (id, name, seq).
+    Requests have (id, name, seq) and are taken in the order of ``seq``. A name
+    counts in any case; ``limit`` None is no limit. Only requests that could
+    still find room are put in order.
     """
-    room = limit - registry.limit(limit).count()
-    if room <= 0:
-        return registry
-    first = requests.groupBy(F.lower("name").alias("_key")).agg(
-        F.min_by(F.struct(*registry.columns), "seq").alias("p"), F.min("seq").alias("seq")
+    key = F.lower("name")
+    first = requests.groupBy(key.alias("_key")).agg(F.min("seq").alias("_first"))
+    taken = registry.select(key.alias("_key"), F.lit(True).alias("_taken")).distinct()
+    judged = requests.withColumn("_key", key).join(first, "_key").join(taken, "_key", "left")
+    fits = F.lit(True)
+    if limit is not None:
+        room = limit - registry.limit(limit).count()
+        free = first.join(taken, "_key", "left_anti").orderBy("_first").limit(max(room, 1))
+        last = free.agg(F.max("_first")).first()[0] if room > 0 else None
+        fits = F.lit(False) if last is None else F.col("seq") <= last
+    outcome = (
+        F.when(F.col("_taken"), "name taken").when(F.col("seq") != F.col("_first"), "asked before")
+        .when(~fits, "registry full").otherwise("added")
     )
-    taken = registry.select(F.lower("name").alias("_key"))
-    added = first.join(taken, "_key", "left_anti").orderBy("seq").limit(room)
-    return registry.unionByName(added.select("p.*"))
+    return judged.withColumn("outcome", outcome).drop("_key", "_first", "_taken")
+
+
+def registry_add(registry: DataFrame, requests: DataFrame, limit: int | None = MAX_PROJECTS) -> DataFrame:
+    """Registry after adding the requests that ``add_requests`` grants."""
+    added = add_requests(registry, requests, limit).where("outcome = 'added'")
+    return registry.unionByName(added.select(*registry.columns))
 
 
 def registry_update(registry: DataFrame, updates: DataFrame) -> DataFrame:

@@ -70,6 +70,10 @@ REQUESTS = """req_v AS (
     SELECT id, name, enabled FROM have UNION ALL (SELECT id, name, enabled FROM fresh ORDER BY seq LIMIT 6)""",
 )
 def registry_add(spark, d):
+    return R.registry_add(*asked(spark, d))
+
+
+def asked(spark, d):
     key = F.col("c_custkey")
     requests = V.table(spark, d, "customer").select(
         (key + 1000).alias("id"),
@@ -77,8 +81,19 @@ def registry_add(spark, d):
         F.lit(True).alias("enabled"),
         key.alias("seq"),
     )
-    have = projects(spark, d).withColumn("id", F.col("id").cast("bigint")).where("id < 4")
-    return R.registry_add(have, requests)
+    return projects(spark, d).withColumn("id", F.col("id").cast("bigint")).where("id < 4"), requests
+
+
+@query(
+    "add_requests",
+    f"""WITH {PROJECTS}, {REQUESTS}, have AS (SELECT lower(name) AS key FROM projects_v WHERE id < 4),
+    ranked AS (SELECT *, lower(name) IN (SELECT key FROM have) AS taken, seq = min(seq) OVER (PARTITION BY lower(name)) AS first FROM req_v),
+    placed AS (SELECT *, sum(CASE WHEN first AND NOT taken THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS place FROM ranked)
+    SELECT id, name, seq, CASE WHEN taken THEN 'name taken' WHEN NOT first THEN 'asked before' WHEN place > 6 THEN 'registry full'
+      ELSE 'added' END AS outcome FROM placed""",
+)
+def add_requests(spark, d):
+    return R.add_requests(*asked(spark, d)).select("id", "name", "seq", "outcome")
 
 
 @query(

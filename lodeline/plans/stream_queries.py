@@ -168,13 +168,10 @@ def expirations_stream(spark, d):
 
 
 @query(
-    "sliding_entries",
-    f"""{BASE.replace('WITH', 'WITH RECURSIVE')}, g AS (SELECT user_id, at_us, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY user_id ORDER BY at_us) < {DAY} THEN NULL ELSE at_us END AS s FROM changes_v),
-    r AS (SELECT user_id, at_us, max(s) OVER (PARTITION BY user_id ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS run_start FROM g),
-    e AS (SELECT DISTINCT user_id, run_start, run_start AS created FROM r
-      UNION SELECT e.user_id, e.run_start, (SELECT min(r.at_us) FROM r WHERE r.user_id = e.user_id AND r.run_start = e.run_start
-        AND r.at_us >= e.created + {7 * DAY}) FROM e WHERE e.created IS NOT NULL)
-    SELECT user_id, run_start, created FROM e WHERE created IS NOT NULL""",
+    "sliding_lives",
+    f"""{BASE}, g AS (SELECT user_id, at_us, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY user_id ORDER BY at_us) < {DAY} THEN NULL ELSE at_us END AS s FROM changes_v),
+    r AS (SELECT user_id, at_us, max(s) OVER (PARTITION BY user_id ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS created FROM g)
+    SELECT user_id, created, max(at_us) + {DAY} AS expires, count(*) AS accesses FROM r GROUP BY user_id, created""",
 )
-def sliding_entries(spark, d):
-    return E.sliding_entries(batch(spark, d), ["user_id"], "at_us", DAY, 7 * DAY)
+def sliding_lives(spark, d):
+    return E.sliding_lives(batch(spark, d), ["user_id"], "at_us", DAY)

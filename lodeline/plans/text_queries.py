@@ -121,23 +121,54 @@ def line_counts(spark, d):
     )
 
 
-@query("content_markers", f"""WITH {V.SOURCE_PARTS}
-  SELECT project, path, true AS has_types, false AS top_level, false AS registers_services,
-         false AS configures_server, false AS is_configuration, '' AS patterns FROM src
-  UNION ALL SELECT project, path || '.json', false, false, false, false, true, '' FROM src""")
+# By their key, files hold a type, top-level statements, registrations, a server, routes or settings.
+MARKED = {
+    0: "public class {} {{ }}", 1: "var {} = 1; app.UseRouting();", 2: "services.AddScoped<{}>(); await Run();",
+    3: "interface {} {{ }} builder.Services.AddMcpServer().WithTools();", 4: '[Route("{}")] record Item;', 5: "// {}",
+    6: '{{ "ConnectionStrings": "{}", "Logging": 1 }}', 7: '{{ "Logging": "{}" }}',
+}
+MARKED_SQL = "SELECT 'f/' || p_partkey AS path, CASE WHEN p_partkey % 8 > 5 THEN '.json' ELSE '.cs' END AS ext, CASE p_partkey % 8 " + " ".join(
+    f"WHEN {i} THEN " + " || p_name || ".join(f"'{part}'" for part in text.replace("{{", "\1").replace("}}", "\2").split("{}")).replace("\1", "{").replace("\2", "}")
+    for i, text in MARKED.items()
+) + " END AS content FROM part"
+
+
+def _marker_sql() -> str:
+    """The markers of each file, searched for in its text."""
+    has = lambda words: "(" + " OR ".join(f"contains(content, '{w}')" for w in words) + ")"
+    shown = lambda test, label: f"CASE WHEN {test} THEN '{label}' END"
+    labels = [
+        shown("top_level", X.TOP_LEVEL_LABEL), shown("registers_services", X.REGISTRATION_LABEL), shown("configures_server", X.SERVER_LABEL),
+        *[shown(f"ext = '.cs' AND contains(content, '{w}')", label) for w, label in X.SOURCE_LABELS.items()],
+        *[shown(f"ext = '.json' AND contains(content, '{w}')", label) for w, label in X.CONFIG_LABELS.items()],
+    ]
+    return f"""WITH t AS ({MARKED_SQL}), m AS (
+      SELECT *, ext = '.cs' AND {has(X.TYPE_MARKERS)} AS has_types,
+        ext = '.cs' AND NOT {has(X.TYPE_MARKERS)} AND {has(X.TOP_LEVEL_MARKERS)} AS top_level,
+        ext = '.cs' AND {has(X.REGISTRATION_MARKERS)} AS registers_services, ext = '.cs' AND {has(X.SERVER_MARKERS)} AS configures_server,
+        ext = '.json' AS is_configuration FROM t)
+    SELECT path, has_types, top_level, registers_services, configures_server, is_configuration, concat_ws('; ', {', '.join(labels)}) AS patterns FROM m"""
+
+
+@query("content_markers", _marker_sql())
 def content_markers(spark, d):
-    files = V.sources(spark, d)
-    both = files.withColumn("ext", F.lit(".cs")).unionByName(
-        files.withColumn("path", F.concat("path", F.lit(".json"))).withColumn("ext", F.lit(".json"))
+    key = F.col("p_partkey")
+    content = F.lit(None).cast("string")
+    for i, shape in MARKED.items():
+        before, after = shape.replace("{{", "\1").replace("}}", "\2").split("{}")
+        back = lambda t: t.replace("\1", "{").replace("\2", "}")
+        content = F.when(key % 8 == i, V.text(back(before), F.col("p_name"), back(after))).otherwise(content)
+    files = V.table(spark, d, "part").select(
+        V.text("f/", key).alias("path"), F.when(key % 8 > 5, ".json").otherwise(".cs").alias("ext"), content.alias("content")
     )
     marks = X.content_markers(F.col("content"), F.col("ext"))
-    return both.select("project", "path", *[c.alias(n) for n, c in marks.items()])
+    return files.select("path", *[c.alias(n) for n, c in marks.items()])
 
 
 @query(
     "truncate_bodies",
     f"""WITH {V.FILES} SELECT project, path, strlen(content) > 512 AS truncated,
-      md5(CASE WHEN strlen(content) > 512 THEN left(content, 512) ELSE content END) AS digest FROM files_v""",
+      md5(CASE WHEN strlen(content) > 512 THEN left(content, (SELECT max(n) FROM range(128, 513) AS r(n) WHERE strlen(left(content, n)) <= 512)) ELSE content END) AS digest FROM files_v""",
 )
 def truncate_bodies(spark, d):
     body, over = X.truncate_body(F.col("content"), 512)

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.session import cut_lineage
-
 
 def live_entries(writes: DataFrame, keys: list[str], at: str, ttl: int, now: int) -> DataFrame:
     """Entries that still live at ``now``: an entry lives ``ttl`` from its last write."""
@@ -35,50 +31,24 @@ def expirations(writes: DataFrame, keys: list[str], ttl: str, delay: str) -> Dat
     )
 
 
-def _runs(accesses: DataFrame, keys: list[str], at: str, sliding: int) -> DataFrame:
-    """Runs of accesses less than ``sliding`` apart, as one row per (key, slot).
+def sliding_lives(accesses: DataFrame, keys: list[str], at: str, sliding: int) -> DataFrame:
+    """Lives of entries that every access renews by ``sliding``: one row per life.
 
-    Accesses in one slot of length ``sliding`` are always that close, so runs
-    are found on one row per slot; a key has at most one row per slot in time.
+    Accesses in one slot of length ``sliding`` are always that close, so lives
+    are found on one row per slot, and a key with most of the accesses has at
+    most one row per slot in time.
     """
     slots = (
         accesses.groupBy(*keys, F.floor(F.col(at) / sliding).cast("bigint").alias("_slot"))
-        .agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+        .agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.count("*").alias("_n"))
     )
     by_key = Window.partitionBy(*keys).orderBy("_slot")
-    starts = F.when(
-        F.coalesce(F.col("_first") - F.lag("_last").over(by_key), F.lit(sliding)) >= sliding, F.col("_first")
-    )
-    return slots.withColumn("_starts", starts).select(
-        *keys,
-        "_slot",
-        F.max("_starts").over(by_key.rowsBetween(Window.unboundedPreceding, 0)).alias("run_start"),
+    gap = F.col("_first") - F.lag("_last").over(by_key)
+    starts = F.when(F.coalesce(gap, F.lit(sliding)) >= sliding, F.col("_first"))
+    placed = slots.withColumn("_starts", starts)
+    run = F.max("_starts").over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        placed.withColumn("created", run)
+        .groupBy(*keys, "created")
+        .agg((F.max("_last") + sliding).alias("expires"), F.sum("_n").alias("accesses"))
     )
-
-
-def sliding_entries(
-    accesses: DataFrame, keys: list[str], at: str, sliding: int, absolute: int
-) -> DataFrame:
-    """Entries a cache creates when each access renews it by ``sliding``, up to ``absolute``.
-
-    One row per entry: when it was created. Within a run the next entry is made
-    by the first access at or after ``absolute`` from the last one, so each round
-    finds the next entry of every run at once; rounds end when none is left.
-    """
-    runs = _runs(accesses, keys, at, sliding)
-    slot = F.floor(F.col(at) / sliding).cast("bigint")
-    placed = accesses.select(*keys, at).withColumn("_slot", slot).join(runs, [*keys, "_slot"])
-    placed = cut_lineage(placed.select(*keys, at, "run_start"))
-    front = runs.select(*keys, "run_start").distinct().withColumn("created", F.col("run_start"))
-    found = [front]
-    while True:
-        front = cut_lineage(
-            placed.join(front, [*keys, "run_start"])
-            .where(F.col(at) >= F.col("created") + absolute)
-            .groupBy(*keys, "run_start")
-            .agg(F.min(at).alias("created"))
-        )
-        if front.isEmpty():
-            break
-        found.append(front)
-    return reduce(DataFrame.unionByName, found)

@@ -31,6 +31,10 @@ def test_type_names(spark):
         "System.Int32[]": "Int32[]",
         f"{G}List`1[[Shop.Cart[]{LIB}]]": "List<Cart[]>",
     }
+    deep, short = f"System.Int32{LIB}", "int"
+    for _ in range(10):
+        deep, short = f"{G}Dictionary`2[[System.String{LIB}],[{deep}]]{LIB}", f"Dictionary<string, {short}>"
+    names[deep.removesuffix(LIB)] = short
     got = values(spark, list(names), "n string", N.simplify_type_name(F.col("n")))
     assert dict(zip(names, got)) == names
 
@@ -131,8 +135,7 @@ def test_inherited_properties(spark):
         ("B", "y", "string", "B", 0), ("B", "z", "bool", "C", 1), ("C", "z", "bool", "C", 0), ("D", "d", "int", "D", 0),
     ]
     circle = spark.createDataFrame([("A", "B"), ("B", "A")], "type_name string, base string")
-    with pytest.raises(ValueError):
-        C.inherited_properties(circle, props, max_depth=3)
+    assert C.ancestors(circle).count() == 4
 
 
 def test_reflected_members(spark):
@@ -243,3 +246,12 @@ def test_signatures(spark):
     )
     got = values(spark, [(0, 0), (3, 3), (3, 5)], "a int, b int", N.line_label(F.col("a"), F.col("b")))
     assert got == ["", "// Line 3", "// Lines 3-5"]
+
+
+def test_long_chains_and_circles_of_bases(spark):
+    chain = [(f"T{i}", f"T{i - 1}") for i in range(1, 151)] + [("T0", "Unknown"), ("A", "B"), ("B", "C"), ("C", "A"), ("Self", "Self")]
+    types = spark.createDataFrame(chain, "type_name string, base string")
+    props = spark.createDataFrame([("T0", "Id", "int"), ("T75", "Id", "long"), ("A", "X", "int"), ("C", "X", "str"), ("Self", "Y", "int")], "type_name string, name string, value_type string")
+    got = {(r.type_name, r.name): (r.value_type, r.declared_in, r.depth) for r in C.inherited_properties(types, props).collect()}
+    assert got["T150", "Id"] == ("long", "T75", 75) and got["T74", "Id"] == ("int", "T0", 74)
+    assert got["A", "X"] == ("int", "A", 0) and got["B", "X"] == ("str", "C", 1) and got["Self", "Y"] == ("int", "Self", 0)

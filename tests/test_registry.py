@@ -14,6 +14,9 @@ def test_adding_in_order(spark):
     got = rows(R.registry_add(have, asked).where("id >= 20"))
     # a taken name is refused, a repeated one counts once, the eleventh does not fit
     assert got == [(21, "New", True), (23, "Other", False)]
+    outcomes = {r.id: r.outcome for r in R.add_requests(have, asked).collect()}
+    assert outcomes == {20: "name taken", 21: "added", 22: "asked before", 23: "added", 24: "registry full"}
+    assert R.add_requests(have, asked, limit=None).where("outcome = 'added'").count() == 3
     full = spark.createDataFrame([(i, f"P{i}", True) for i in range(10)], PROJECT)
     assert R.registry_add(full, asked).count() == 10
 

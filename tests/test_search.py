@@ -88,6 +88,9 @@ def test_page_rules(spark):
     assert O.page_diagnostics(df, order, 1, 500).count() == 101
     assert O.page_diagnostics(df, order, 9, 50).isEmpty()
     assert O.page_diagnostics(df, order, 1, 0).count() == 1
+    assert O.page_clamped(df, order, 1, 60, largest=50).count() == 50
+    with pytest.raises(ValueError):
+        O.page_clamped(df, order, 1, 500, clamp=False)
 
 
 @pytest.mark.parametrize("hot", [0, 1])
@@ -100,9 +103,12 @@ def test_row_numbers_and_far_pages(spark, hot, monkeypatch):
     got = O.with_row_number(df, order, "n").orderBy("n").collect()
     assert [r.n for r in got] == list(range(1, 5001))
     assert [r.id for r in got] == want
-    monkeypatch.setattr(O, "TOP_K_ROWS", 10)
-    page = O.take_page(df, order, 7, 100).orderBy(*order).collect()
-    assert [r.id for r in page] == want[600:700]
+    for near in (1000, 10):
+        monkeypatch.setattr(O, "NEAR_ROWS", near)
+        page = O.take_page(df, order, 7, 100).orderBy(*order).collect()
+        assert [r.id for r in page] == want[600:700]
+        last = O.page_clamped(df, order, 999, 60)
+        assert [r.id for r in last.orderBy(*order).collect()] == want[4980:] and last.first().total_results == 5000
     # neighbours agree with a window
     from pyspark.sql import Window
 

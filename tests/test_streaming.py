@@ -62,23 +62,21 @@ def test_live_entries(spark):
     assert rows(E.live_entries(df, ["k"], "at", 100, 100)) == [("a", 50, 150)]
 
 
-def test_sliding_entries_agree_with_a_loop(spark):
+def test_sliding_lives_agree_with_a_loop(spark):
     rng = random.Random(9)
     data, want = [], []
     for k in range(6):
         times = sorted(rng.sample(range(0, 4000), 120 if k else 400))
         data += [(k, t) for t in times]
-        created = last = run = None
+        lives = []
         for t in times:
-            if last is None or t - last >= 24:
-                run = created = t
-                want.append((k, run, created))
-            elif t - created >= 168:
-                created = t
-                want.append((k, run, created))
-            last = t
+            if lives and t - lives[-1][1] < 24:
+                lives[-1][1:] = [t, lives[-1][2] + 1]
+            else:
+                lives.append([t, t, 1])
+        want += [(k, first, last + 24, n) for first, last, n in lives]
     df = spark.createDataFrame(data, "k int, at bigint")
-    assert rows(E.sliding_entries(df, ["k"], "at", 24, 168).select("k", "run_start", "created")) == sorted(want)
+    assert rows(E.sliding_lives(df, ["k"], "at", 24).select("k", "created", "expires", "accesses")) == sorted(want)
 
 
 def stream(spark, tiny):

@@ -65,8 +65,9 @@ def test_markers(spark):
 
 def test_truncation(spark):
     body, over = X.truncate_body(F.col("t"), 256)
-    got = values(spark, ["a" * 256, "a" * 257, "é" * 200], "t string", F.length(body), over)
-    assert got == [(256, False), (256, True), (200, True)]
+    texts = ["a" * 256, "a" * 257, "é" * 200, "x" + "é" * 200, "ab" + "中" * 100, "abc" + "😀" * 80, "😀" * 64, ""]
+    got = values(spark, texts, "t string", body, over)
+    assert got == [(t.encode()[:256].decode(errors="ignore"), len(t.encode()) > 256) for t in texts]
     with pytest.raises(ValueError):
         X.truncate_body(F.col("t"), 255)
 
