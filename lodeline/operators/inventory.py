@@ -12,12 +12,17 @@ COLLAPSE_ABOVE = 50
 
 
 def file_info(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """Existence, lines, bytes and extension of each requested path."""
+    """Existence, lines, bytes, extension and time of change of each requested path.
+
+    The time is null where the files come without ``modified_at``.
+    """
+    modified = F.col("modified_at") if "modified_at" in files.columns else F.lit(None).cast("timestamp")
     facts = files.select(
         F.col("path"),
         read_line_count(F.col("content")).cast("bigint").alias("line_count"),
         F.octet_length("content").cast("bigint").alias("size_bytes"),
         P.extension(F.col("path")).alias("ext"),
+        modified.alias("modified_at"),
         F.lit(True).alias("found"),
     )
     return requests.select("path").distinct().join(facts, "path", "left").select(
@@ -26,6 +31,7 @@ def file_info(files: DataFrame, requests: DataFrame) -> DataFrame:
         F.coalesce("line_count", F.lit(-1)).alias("line_count"),
         F.coalesce("size_bytes", F.lit(-1)).alias("size_bytes"),
         F.coalesce("ext", F.lit("")).alias("ext"),
+        "modified_at",
     )
 
 

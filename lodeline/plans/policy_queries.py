@@ -252,13 +252,14 @@ def folder_listing(spark, d):
     "file_info",
     f"""WITH {V.FILES}, r AS (SELECT path FROM files_v UNION SELECT path || '.old' FROM files_v)
     SELECT r.path, f.path IS NOT NULL AS exists, coalesce(len(string_split(content, chr(10))), -1) AS line_count,
-      coalesce(size_bytes, -1) AS size_bytes, CASE WHEN f.path IS NULL THEN '' ELSE '.txt' END AS ext
+      coalesce(size_bytes, -1) AS size_bytes, CASE WHEN f.path IS NULL THEN '' ELSE '.txt' END AS ext, doc_id * 1000 AS modified
     FROM r LEFT JOIN files_v f ON f.path = r.path""",
 )
 def file_info(spark, d):
     files = V.files(spark, d)
     wanted = files.select("path").unionByName(files.select(V.text(F.col("path"), ".old").alias("path")))
-    return I.file_info(files, wanted)
+    info = I.file_info(files.withColumn("modified_at", F.timestamp_seconds(F.col("doc_id") * 1000)), wanted)
+    return info.withColumn("modified", F.unix_seconds("modified_at")).drop("modified_at")
 
 
 @query(

@@ -1,58 +1,124 @@
 """Reading source trees.
 
-Spark's file sources skip files of no bytes, so these do too.
+Spark's file sources leave out files of no bytes, so the trees are listed by
+tasks, one per folder below the root, and the contents of the rest are read by
+Spark. Paths are those below the root, in plain characters. Listing needs a file
+system that pyarrow knows (local, HDFS, S3, …).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions.policy import extension, file_name
 
+_LISTING = "path string, size_bytes bigint, modified_at timestamp"
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file system names it, without a slash at the end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def _plain(uri: str) -> str:
+    """A URI with one slash behind its scheme."""
+    return re.sub(r"^([^:/]+):/+", r"\1:/", uri)
+
+
+def _below(path: Column, root: str) -> Column:
+    """What follows the root in a path that begins with it."""
+    one_slash = F.regexp_replace(path, r"^([^:/]+):/+", "$1:/")
+    return F.substr(one_slash, F.lit(len(_plain(root)) + 2))
+
+
+def _decoded(uri: Column) -> Column:
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
-def _relative(path: str, root: str):
-    """Path below the root, whatever scheme the file system puts in front."""
-    return F.substring_index(F.col(path), f"/{root.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a file name pattern with ``*``, ``?``, ``[…]`` and ``{a,b}``."""
+    out, depth = [], 0
+    for part in re.findall(r"\[[^\]]*\]|.", glob, re.S):
+        if part in "*?":
+            out.append("[^/]*" if part == "*" else "[^/]")
+        elif part.startswith("["):
+            out.append(part.replace("[!", "[^", 1))
+        elif part == "{" or (part == "}" and depth):
+            depth += 1 if part == "{" else -1
+            out.append("(?:" if part == "{" else ")")
+        else:
+            out.append("|" if part == "," and depth else re.escape(part))
+    return f"^{''.join(out)}$"
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """Path below the root, size and time of every file, those of no bytes too."""
+    base = _qualified(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    # What stands directly in the root: a task for each folder.
+    top = [status.getPath().getName() for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    uri = re.sub(r"^file:/+", "file:///", base)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, start = fs.FileSystem.from_uri(uri)
+
+        def files(folder: str) -> Iterator[fs.FileInfo]:
+            for info in system.get_file_info(fs.FileSelector(folder)):
+                if info.type == fs.FileType.Directory:
+                    yield from files(info.path)
+                elif info.type == fs.FileType.File:
+                    yield info
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                info = system.get_file_info(f"{start.rstrip('/')}/{name}")
+                found = list(files(info.path)) if info.type == fs.FileType.Directory else [info]
+                # As in Spark, names that begin with a dot or an underscore are hidden.
+                rows = [f for f in found if not any(p[:1] in "._" for p in f.path[len(start.rstrip("/")) + 1 :].split("/"))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f.path[len(start.rstrip("/")) + 1 :] for f in rows], pa.string()),
+                        pa.array([f.size for f in rows], pa.int64()),
+                        pa.array([f.mtime for f in rows], pa.timestamp("us", tz="UTC")),
+                    ],
+                    names=["path", "size_bytes", "modified_at"],
+                )
+
+    names = spark.createDataFrame([(name,) for name in top], "name string").repartition(max(1, min(len(top), 256)))
+    return names.mapInArrow(walk, _LISTING)
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Files below ``root`` with size and time. The content column is never read."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
-    path = _relative("path", root)
-    return found.select(
-        path.alias("path"),
-        file_name(path).alias("name"),
-        extension(path).alias("ext"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
+    """Files below ``root`` with size and time. No content is read."""
+    name = file_name(F.col("path"))
+    return _listed(spark, root).where(F.rlike(name, F.lit(glob_pattern(glob)))).select(
+        "path", name.alias("name"), extension(F.col("path")).alias("ext"), "size_bytes", "modified_at"
     )
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """Whole text of the files below ``root``, one row per file, with size and time."""
+    base = _qualified(spark, root)
     texts = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .text(root, wholetext=True)
         .select(
-            "value",
-            F.col("_metadata.file_path").alias("_path"),
+            _below(_decoded(F.col("_metadata.file_path")), base).alias("path"),
+            F.col("value").alias("content"),
             F.col("_metadata.file_size").alias("size_bytes"),
             F.col("_metadata.file_modification_time").alias("modified_at"),
         )
     )
-    path = _relative("_path", root)
-    return texts.select(
-        path.alias("path"),
-        file_name(path).alias("name"),
-        extension(path).alias("ext"),
-        F.col("value").alias("content"),
-        "size_bytes",
-        "modified_at",
+    empty = scan_files(spark, root, glob).where("size_bytes = 0").select("path", F.lit("").alias("content"), "size_bytes", "modified_at")
+    path = F.col("path")
+    return texts.unionByName(empty).select(
+        "path", file_name(path).alias("name"), extension(path).alias("ext"), "content", "size_bytes", "modified_at"
     )

@@ -86,9 +86,8 @@ def test_files_on_disk(spark, tmp_path):
     (tree / "sub" / "B.CS.txt").write_text("é")
     (tree / "sub" / "c.cs").write_text("")
     (tree / "sub" / "d.cs").write_text("x")
-    # Spark's file sources skip files of no bytes, such as c.cs
     assert rows(scan_files(spark, str(tree), "*.cs").select("path", "name", "ext", "size_bytes")) == [
-        ("a.cs", "a.cs", ".cs", 8), ("sub/d.cs", "d.cs", ".cs", 1),
+        ("a.cs", "a.cs", ".cs", 8), ("sub/c.cs", "c.cs", ".cs", 0), ("sub/d.cs", "d.cs", ".cs", 1),
     ]
     got = read_files(spark, str(tree)).select("path", "ext", "content", "size_bytes", split_line_count(F.col("content")))
     found = {r[0]: tuple(r)[1:] for r in got.collect()}
@@ -101,3 +100,20 @@ def test_full_pass_takes_enabled_projects(spark, tmp_path):
     registry = spark.createDataFrame([("a", True), ("b", False)], "name string, enabled boolean")
     full_pass(files, registry, str(tmp_path / "i"), lambda df: df)
     assert now(spark, str(tmp_path / "i")) == DATA[:2]
+
+
+def test_trees_with_odd_names(spark, tmp_path):
+    root = tmp_path / "app"
+    wanted = {
+        "a.cs": "top", "lib/app/a.cs": "below", "b c.cs": "blank", "x+y%20z.cs": "signs", "lib/empty.cs": "", "é/ü.cs": "ö", "lib/n.txt": "no", ".git/h.cs": "",
+    }
+    for path, content in wanted.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(content, encoding="utf-8")
+    seen = {p: c for p, c in wanted.items() if p.endswith(".cs") and not p.startswith(".")}
+    scanned = {r.path: r.size_bytes for r in scan_files(spark, str(root), "*.cs").collect()}
+    read = {r.path: (r.content, r.size_bytes) for r in read_files(spark, str(root), "*.cs").collect()}
+    assert scanned == {p: len(c.encode()) for p, c in seen.items()}
+    assert read == {p: (c, len(c.encode())) for p, c in seen.items()}
+    both = scan_files(spark, str(root), "*.{cs,txt}").select("path", "modified_at").exceptAll(read_files(spark, str(root)).select("path", "modified_at"))
+    assert scan_files(spark, str(root), "*.{cs,txt}").count() == len(seen) + 1 and both.count() <= len(seen) + 1
