@@ -7,14 +7,11 @@ file before any patch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.functions.policy import path_key, write_reason
 from lodeline.functions.text import read_line_count
-from lodeline.operators.lines import explode_lines
-from lodeline.operators.ordered import with_next, with_row_number
-from lodeline.session import cut_lineage
 
 LAST_LINE = 2147483647
 
@@ -38,74 +35,80 @@ def validate_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
     return patches.join(totals, "path", "left").withColumn("reason", reason).drop("total")
 
 
-def patch_conflicts(patches: DataFrame) -> DataFrame:
-    """Neighbouring patches of a file that overlap.
+def _spans(patches: DataFrame) -> DataFrame:
+    """``path, _spans``: the lines that the patches of each file take, in order.
 
-    An insert after line N stands at N + 1; appends never conflict.
+    An insert after line N stands at N + 1; appends take none. The patches of a
+    file are no more than its lines, so they are one array.
     """
     is_insert = F.col("action") == "insert"
-    spans = patches.where("action <> 'append'").select(
-        "path",
-        "seq",
-        F.when(is_insert, F.col("start_line") + 1).otherwise(F.col("start_line")).alias("first"),
-        F.when(is_insert, F.col("start_line") + 1).otherwise(F.col("end_line")).alias("last"),
-    )
-    paired = with_next(
-        spans, ["path"], [F.col("first"), F.col("seq"), F.col("last")], {"next_seq": "seq", "next_first": "first"}
+    first = F.when(is_insert, F.col("start_line") + 1).otherwise(F.col("start_line"))
+    last = F.when(is_insert, F.col("start_line") + 1).otherwise(F.col("end_line"))
+    span = F.when(F.col("action") != "append", F.struct(first.alias("first"), "seq", last.alias("last")))
+    return patches.groupBy("path").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+
+
+def _clashes(spans: Column) -> Column:
+    """Neighbours of which the second begins before the first ends."""
+    following = F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0)))
+    pairs = F.zip_with(
+        F.slice(spans, F.lit(1), F.size(following)), following,
+        lambda a, b: F.struct(
+            a["seq"].alias("seq"), a["first"].alias("first"), a["last"].alias("last"),
+            b["seq"].alias("next_seq"), b["first"].alias("next_first"),
+        ),
     )
-    return paired.where(F.col("next_seq").isNotNull() & (F.col("last") >= F.col("next_first")))
+    return F.filter(pairs, lambda p: p["last"] >= p["next_first"])
+
+
+def patch_conflicts(patches: DataFrame) -> DataFrame:
+    """Neighbouring patches of a file that overlap."""
+    return _spans(patches).select("path", F.explode(_clashes(F.col("_spans"))).alias("_c")).select("path", "_c.*")
 
 
 def accepted_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
-    """Patches of files where every patch is valid and none overlap.
+    """Patches of files where every patch is valid and none overlap."""
+    judged = validate_patches(patches, files).groupBy("path").agg(F.bool_and(F.col("reason") == "ok").alias("_valid"))
+    clear = _spans(patches).where(F.size(_clashes(F.col("_spans"))) == 0).select("path")
+    return patches.join(judged.where("_valid").join(clear, "path").select("path"), "path", "left_semi")
 
-    The refused paths are written down, so that the users of the result do not
-    check all patches again.
-    """
-    bad = validate_patches(patches, files).where("reason <> 'ok'").select("path")
-    clash = patch_conflicts(patches).select("path")
-    refused = cut_lineage(bad.unionByName(clash).distinct())
-    return patches.join(refused, "path", "left_anti")
+
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, F.lit("\r")))
 
 
 def apply_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
     """Lines of every patched file after its patches; ``patches`` must be accepted ones.
 
-    Each line gets the key (original line, slot, seq, position): a line that
-    stays or its replacement in slot 0, what is inserted after it in slot 1,
-    appends last. So the outcome does not depend on the order of the input.
+    A file and its patches are one row. In the order (line, replaced before
+    inserted, seq) each patch gives the old lines since the one before it and its
+    own new lines; the rest of the file and the appends follow. So the outcome
+    does not depend on the order of the input.
     """
-    touched = files.join(patches.select("path").distinct(), "path", "left_semi")
-    counted = touched.withColumn("_total", read_line_count(F.col("content")))
-    old = explode_lines(counted, "path", "_total")
-    old = old.where(F.col("line_no") <= F.col("_total")).drop("_total")
-    gone = patches.where(F.col("action").isin("patch", "delete")).select(
-        "path", F.explode(F.sequence("start_line", "end_line")).alias("line_no")
-    )
-    kept = old.join(gone, ["path", "line_no"], "left_anti").select(
-        "path",
-        F.col("line_no").cast("bigint").alias("_at"),
-        F.lit(0).alias("_slot"),
-        F.lit(0).cast("bigint").alias("_seq"),
-        F.lit(0).alias("_pos"),
-        "line",
-    )
-    new = patches.where("action <> 'delete'").select(
-        "path",
-        F.when(F.col("action") == "append", F.lit(LAST_LINE))
-        .otherwise(F.col("start_line"))
-        .cast("bigint")
-        .alias("_at"),
-        F.when(F.col("action") == "insert", 1).otherwise(0).alias("_slot"),
-        F.col("seq").cast("bigint").alias("_seq"),
-        F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("_pos", "_line"),
-    ).withColumn("line", F.rtrim(F.col("_line"), F.lit("\r"))).drop("_line")
-    ordered = with_row_number(
-        kept.unionByName(new), [F.col(c) for c in ("path", "_at", "_slot", "_seq", "_pos")], "_row"
-    )
-    first = ordered.groupBy("path").agg(F.min("_row").alias("_first"))
-    return ordered.join(first, "path").select(
-        "path", (F.col("_row") - F.col("_first") + 1).alias("line_no"), "line"
+    is_insert, is_append = F.col("action") == "insert", F.col("action") == "append"
+    fresh = F.when(F.col("action") == "delete", F.array().cast("array<string>")).otherwise(_lines(F.coalesce("content", F.lit(""))))
+    patch = F.struct(
+        F.when(is_append, F.lit(LAST_LINE)).otherwise(F.col("start_line")).cast("int").alias("at"),
+        is_insert.cast("int").alias("slot"), "seq", fresh.alias("fresh"),
+        # the old lines before it, and those it is done with
+        F.when(is_insert, F.col("start_line")).otherwise(F.col("start_line") - 1).cast("int").alias("before"),
+        F.when(is_insert, F.col("start_line")).otherwise(F.col("end_line")).cast("int").alias("through"), is_append.alias("appends"),
+    )
+    changes = patches.groupBy("path").agg(F.array_sort(F.collect_list(patch)).alias("_all"))
+    changes = changes.select(
+        "path", F.filter("_all", lambda p: ~p["appends"]).alias("_edits"), F.filter("_all", lambda p: p["appends"]).alias("_appends")
+    )
+    old = files.select("path", F.slice(_lines(F.col("content")), F.lit(1), read_line_count(F.col("content"))).alias("_old"))
+    since = lambda i: F.when(i > 0, F.get("_edits", i - 1)["through"]).otherwise(F.lit(0))
+    pieces = F.transform(
+        "_edits", lambda p, i: F.concat(F.slice("_old", since(i) + 1, F.greatest(p["before"] - since(i), F.lit(0))), p["fresh"])
+    )
+    done = F.coalesce(F.try_element_at("_edits", F.lit(-1))["through"], F.lit(0))
+    rest = F.slice("_old", done + 1, F.greatest(F.size("_old") - done, F.lit(0)))
+    appended = F.flatten(F.transform("_appends", lambda p: p["fresh"]))
+    joined = old.join(changes, "path").select("path", F.concat(F.flatten(pieces), rest, appended).alias("_new"))
+    return joined.select("path", F.posexplode("_new").alias("_at", "line")).select(
+        "path", (F.col("_at") + 1).cast("bigint").alias("line_no"), "line"
     )
 
 
