@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.text import captures, contains_fold
+from lodeline.functions.text import GROUP, contains_fold
 
 # Fixed value: format of a compiler diagnostic.
 DIAGNOSTIC = r"(?id)^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s+(\w+):\s*(.+?)(?:\s+\[.+\])?$"
@@ -14,13 +14,18 @@ SPACE = " \t\r\n\f\u000b\u0085\u00a0\u2028\u2029"
 
 
 def parse_diagnostics(log: DataFrame, *keep: str, line: str = "line") -> DataFrame:
-    """Diagnostics found in log lines; other lines are dropped. Each line is matched once."""
-    text = F.trim(F.col(line), F.lit(SPACE))
-    part = lambda i: F.col("_part")[i - 1]
+    """Diagnostics found in log lines; other lines are dropped.
+
+    A line holds one at most, so each is matched once and cut once.
+    """
+    text = F.translate(F.trim(F.col(line), F.lit(SPACE)), GROUP, "\ufffd")
+    part = lambda i: F.get("_part", F.lit(i - 1))
     file = F.ltrim(F.replace(F.trim(part(1)), F.lit("\\"), F.lit("/")), F.lit("/"))
+    marks = GROUP.join(f"${i}" for i in range(1, 7))
     # most lines of a log are dropped by a plain substring test
     likely = log.where(F.contains(F.col(line), F.lit("):")))
-    return likely.select(*keep, F.explode(captures(text, DIAGNOSTIC, 6)).alias("_part")).select(
+    cut = likely.select(*keep, F.split(F.regexp_replace(text, DIAGNOSTIC, marks), GROUP).alias("_part"))
+    return cut.where("size(_part) = 6").select(
         *keep,
         F.lower(part(4)).alias("severity"),
         part(5).alias("code"),
