@@ -66,15 +66,31 @@ def debounce_default_gap(spark, d):
     return C.debounce(rows, ["user_id"], "at_us", 300000, F.col("event_id"))
 
 
-# a burst is closed once the latest event is more than its gap and the delay away
-@query(
-    "debounce_stream",
-    f"""{BASE}, b AS ({debounce_sql(HOUR)}) SELECT user_id, event_id, action FROM b
-    WHERE at_us + {HOUR} <= (SELECT max(at_us) FROM changes_v) - {HOUR // 6}""",
-)
+def in_files(spark, d, label, parts=4):
+    """The events as files in order of time, for streams of several batches: folder, and the stream of it."""
+    events = V.table(spark, d, "events")
+    bounds = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    step = (bounds["high"] - bounds["low"]) / parts
+    root = fresh_dir(spark, label)
+    for i in range(parts):
+        low = F.col("ts") >= F.lit(bounds["low"] + i * step) if i else F.lit(True)
+        high = F.col("ts") < F.lit(bounds["low"] + (i + 1) * step) if i < parts - 1 else F.lit(True)
+        events.where(low & high).coalesce(1).write.parquet(f"{root}/in/{i}")
+    return root, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+
+
+FAR = 10**18
+
+
+@query("debounce_stream", f"{BASE}, b AS ({debounce_sql(HOUR)}) SELECT user_id, event_id, action FROM b")
 def debounce_stream(spark, d):
-    bursts = C.debounce_stream(stream(spark, d), ["user_id"], "1 hour", "10 minutes", "event_id", "action")
-    return drained(spark, bursts, "debounce").select("user_id", "event_id", "action")
+    """Four batches, then the last bursts once the clock has passed their gap."""
+    root, events = in_files(spark, d, "debounce")
+    rows = V.changes(events).select("user_id", "event_id", "action", "at_us")
+    job = J.debounce_job(spark, f"{root}/out", f"{root}/state", rows.schema, ["user_id"], "at_us", HOUR, "event_id")
+    job.run(rows, f"{root}/checkpoint").awaitTermination()
+    job.flush(3, FAR)
+    return spark.read.schema(rows.schema).parquet(f"{root}/out/part=*").select("user_id", "event_id", "action")
 
 
 # Index upkeep -----------------------------------------------------------------
@@ -84,7 +100,7 @@ FINAL = """latest_v AS (SELECT project, path, arg_max(action, (at_us, event_id,
 start_v AS (SELECT DISTINCT project, path FROM changes_v),
 files_now AS (SELECT DISTINCT project, path FROM changes_v WHERE user_id < 100),
 final_v AS (SELECT project, path, 'old' AS state FROM start_v WHERE (project, path) NOT IN (SELECT (project, path) FROM latest_v)
-  UNION ALL SELECT project, path, 'new' FROM files_now WHERE (project, path) IN (SELECT (project, path) FROM latest_v WHERE action = 'upsert'))"""
+  UNION ALL SELECT project, path, 'new' FROM files_now WHERE (project, path) IN (SELECT (project, path) FROM latest_v))"""
 
 
 def feed_with_order(rows):
@@ -104,13 +120,14 @@ def apply_changes(spark, d):
 
 @query("index_upkeep_stream", f"{BASE}, {FEED}, {FINAL} SELECT * FROM final_v")
 def index_upkeep_stream(spark, d):
+    """Four batches over the feed."""
     rows = batch(spark, d)
     start = rows.select("project", "path").distinct().withColumn("state", F.lit("old"))
     now = rows.where("user_id < 100").select("project", "path").distinct().withColumn("state", F.lit("new"))
-    root = fresh_dir(spark, "upkeep")
+    root, events = in_files(spark, d, "upkeep")
     X.write_index(start, f"{root}/index")
     J.index_upkeep(
-        feed_with_order(stream(spark, d)),
+        feed_with_order(V.changes(events)),
         f"{root}/index",
         f"{root}/state",
         start.schema,
@@ -121,6 +138,25 @@ def index_upkeep_stream(spark, d):
     return X.read_index(spark, f"{root}/index", start.schema).select("project", "path", "state")
 
 
+@query("watch_job", f"{BASE}, {FEED}, {FINAL} SELECT * FROM final_v")
+def watch_job(spark, d):
+    """Feed, debounce per path and upkeep in one job, over four batches and a flush."""
+    rows = batch(spark, d)
+    start = rows.select("project", "path").distinct().withColumn("state", F.lit("old"))
+    now = rows.where("user_id < 100").select("project", "path").distinct().withColumn("state", F.lit("new"))
+    root, events = in_files(spark, d, "watch")
+    X.write_index(start, f"{root}/index")
+    changes = V.changes(events).select("project", "path", "old_path", "action", F.col("at_us").alias("ts"), F.col("event_id").alias("seq"))
+    job, running = J.watch_job(
+        changes, f"{root}/index", f"{root}/state", f"{root}/checkpoint", start.schema,
+        lambda keys: now.join(keys, ["project", "path"], "left_semi"), HOUR,
+    )
+    running.awaitTermination()
+    job.flush(3, FAR)
+    job.apply("flush-3")
+    return X.read_index(spark, f"{root}/index", start.schema).select("project", "path", "state")
+
+
 REGISTRY = "registry_v AS (SELECT DISTINCT project, project <> 'p3' AS enabled FROM changes_v)"
 
 
@@ -135,11 +171,18 @@ def drain_triggers(spark, d):
     return C.drain_triggers(batch(spark, d).select(shout.alias("name")), registry(spark, d))
 
 
-@query("drain_triggers_stream", f"{BASE}, {REGISTRY} SELECT project FROM registry_v WHERE enabled")
+@query("drain_triggers_stream", f"""{BASE}, {REGISTRY} SELECT DISTINCT r.project, event_id % 2 AS run FROM changes_v c
+  JOIN registry_v r ON r.project = c.project WHERE enabled""")
 def drain_triggers_stream(spark, d):
+    """Two runs: a project that is asked for again counts again."""
     shout = F.when(F.col("event_id") % 2 == 0, F.upper("project")).otherwise(F.col("project"))
-    drained_names = C.drain_triggers(stream(spark, d).select(shout.alias("name")), registry(spark, d))
-    return drained(spark, drained_names, "triggers")
+    rows = batch(spark, d).select(shout.alias("name"), (F.col("event_id") % 2).alias("run"))
+    known, root = registry(spark, d), fresh_dir(spark, "triggers")
+    for run in (0, 1):
+        rows.where(F.col("run") == run).select("name").coalesce(1).write.parquet(f"{root}/in/{run}")
+        names = spark.readStream.schema("name string").parquet(f"{root}/in/*")
+        J.drain_job(names, known, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("project", F.col("batch").cast("bigint").alias("run"))
 
 
 # Expiry -----------------------------------------------------------------------
@@ -158,13 +201,20 @@ def live_entries(spark, d):
     "expirations_stream",
     f"""{BASE}, g AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY user_id ORDER BY at_us) < {DAY} THEN 0 ELSE 1 END AS starts FROM changes_v),
     s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS run FROM g)
-    SELECT user_id, min(at_us) AS created_at, max(at_us) + {DAY} AS expires_at, count(*) AS writes FROM s GROUP BY user_id, run
-    HAVING max(at_us) + {DAY} <= (SELECT max(at_us) FROM changes_v) - {HOUR // 6}""",
+    SELECT user_id, min(at_us) AS created_at, max(at_us) + {DAY} AS expires_at, count(*) AS writes FROM s GROUP BY user_id, run""",
 )
 def expirations_stream(spark, d):
-    ends = E.expirations(stream(spark, d), ["user_id"], "1 day", "10 minutes")
-    micros = lambda c: F.unix_micros(c).alias(c)
-    return drained(spark, ends, "expirations").select("user_id", micros("created_at"), micros("expires_at"), "writes")
+    """Four batches, then the last lives once the clock has passed their end."""
+    root, events = in_files(spark, d, "expirations")
+    rows = V.changes(events).select("user_id", "at_us")
+    kind = rows.schema["user_id"].dataType.simpleString()
+    job = J.expiry_job(spark, f"{root}/out", f"{root}/state", ["user_id"], f"user_id {kind}", "at_us", DAY)
+    job.run(rows, f"{root}/checkpoint").awaitTermination()
+    job.flush(3, FAR)
+    lives = spark.read.schema(job.schema).parquet(f"{root}/out/part=*")
+    return lives.select(
+        "user_id", F.col("first").alias("created_at"), (F.col("last") + DAY).alias("expires_at"), F.col("n").alias("writes")
+    )
 
 
 @query(

@@ -56,17 +56,18 @@ def debounce(changes: DataFrame, keys: list[str], at: str, gap: int, tie: Column
     )
 
 
-def debounce_stream(changes: DataFrame, keys: list[str], gap: str, delay: str, *carry: str) -> DataFrame:
-    """The same on a stream: a burst is emitted once the watermark has passed its gap.
+def debounce_stream(changes: DataFrame, keys: list[str], gap: str, delay: str, tie: str, *carry: str) -> DataFrame:
+    """The same on a stream without an end: a burst is emitted once the watermark has passed its gap.
 
-    Sessions that are still open when the stream stops are not emitted.
+    What is open when the input goes quiet waits for more input; where it must
+    not, use ``jobs.debounce_job``.
     """
     return (
         changes.withWatermark("ts", delay)
         .groupBy(*keys, F.session_window("ts", gap).alias("burst"))
         .agg(
             F.max("ts").alias("ts"),
-            F.max_by(F.struct(*carry), F.col("ts")).alias("_last"),
+            F.max_by(F.struct(*carry), F.struct("ts", tie)).alias("_last"),
             F.count("*").alias("changes"),
         )
         .select(*keys, "ts", "changes", *[f"_last.{c}" for c in carry])
@@ -82,15 +83,14 @@ def latest_per_key(changes: DataFrame, keys: list[str], order: list[str]) -> Dat
 def apply_changes(
     index: DataFrame, changes: DataFrame, files: DataFrame, keys: list[str], order: list[str]
 ) -> DataFrame:
-    """Index after the latest change of each key.
+    """Index after the changes of each key.
 
-    An upsert takes the file as it is now; when it has gone, it is a delete.
-    ``files`` has the same columns as ``index``.
+    Every changed file is taken as it is now, whatever the change was: one that
+    has gone is removed, one that is there is stored. So a delete that comes late
+    removes nothing that exists. ``files`` has the same columns as ``index``.
     """
-    latest = latest_per_key(changes, keys, order)
-    upserts = latest.where("action = 'upsert'").select(*keys)
-    fresh = files.join(upserts, keys, "left_semi")
-    return index.join(latest.select(*keys), keys, "left_anti").unionByName(fresh)
+    changed = latest_per_key(changes, keys, order).select(*keys)
+    return index.join(changed, keys, "left_anti").unionByName(files.join(changed, keys, "left_semi"))
 
 
 def drain_triggers(names: DataFrame, registry: DataFrame) -> DataFrame:

@@ -31,24 +31,32 @@ def expirations(writes: DataFrame, keys: list[str], ttl: str, delay: str) -> Dat
     )
 
 
-def sliding_lives(accesses: DataFrame, keys: list[str], at: str, sliding: int) -> DataFrame:
-    """Lives of entries that every access renews by ``sliding``: one row per life.
+def joined_lives(rows: DataFrame, keys: list[str], ttl: int) -> DataFrame:
+    """Lives (first, last, n) joined where one begins less than ``ttl`` after another's last access.
 
-    Accesses in one slot of length ``sliding`` are always that close, so lives
-    are found on one row per slot, and a key with most of the accesses has at
-    most one row per slot in time.
+    Accesses in one slot of length ``ttl`` are always that close, so lives are
+    found on one row per slot, and a key with most of the accesses has at most
+    one row per slot in time. A row stands in the slot of its last access.
     """
     slots = (
-        accesses.groupBy(*keys, F.floor(F.col(at) / sliding).cast("bigint").alias("_slot"))
-        .agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.count("*").alias("_n"))
+        rows.groupBy(*keys, F.floor(F.col("last") / ttl).cast("bigint").alias("_slot"))
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     )
     by_key = Window.partitionBy(*keys).orderBy("_slot")
-    gap = F.col("_first") - F.lag("_last").over(by_key)
-    starts = F.when(F.coalesce(gap, F.lit(sliding)) >= sliding, F.col("_first"))
-    placed = slots.withColumn("_starts", starts)
-    run = F.max("_starts").over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+    gap = F.col("first") - F.lag("last").over(by_key)
+    placed = slots.withColumn("_starts", F.when(F.coalesce(gap, F.lit(ttl)) >= ttl, F.col("_slot")))
+    life = F.max("_starts").over(by_key.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        placed.withColumn("created", run)
-        .groupBy(*keys, "created")
-        .agg((F.max("_last") + sliding).alias("expires"), F.sum("_n").alias("accesses"))
+        placed.withColumn("_life", life)
+        .groupBy(*keys, "_life")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+        .drop("_life")
+    )
+
+
+def sliding_lives(accesses: DataFrame, keys: list[str], at: str, sliding: int) -> DataFrame:
+    """Lives of entries that every access renews by ``sliding``: one row per life."""
+    rows = accesses.select(*keys, F.col(at).alias("first"), F.col(at).alias("last"), F.lit(1).alias("n"))
+    return joined_lives(rows, keys, sliding).select(
+        *keys, F.col("first").alias("created"), (F.col("last") + sliding).alias("expires"), F.col("n").alias("accesses")
     )

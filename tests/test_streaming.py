@@ -48,7 +48,8 @@ def test_apply(spark):
     feed = [("p", "a", "delete", 1), ("p", "a", "upsert", 2), ("p", "b", "upsert", 3), ("p", "c", "upsert", 4), ("p", "c", "delete", 5), ("p", "d", "upsert", 6)]
     changes = spark.createDataFrame(feed, "project string, path string, action string, ts bigint")
     # b is gone by the time it is read
-    assert rows(C.apply_changes(index, changes, files, ["project", "path"], ["ts"])) == [("p", "a", 2), ("p", "d", 2)]
+    # c was deleted and is there again
+    assert rows(C.apply_changes(index, changes, files, ["project", "path"], ["ts"])) == [("p", "a", 2), ("p", "c", 2), ("p", "d", 2)]
 
 
 def test_triggers(spark):
@@ -86,7 +87,7 @@ def stream(spark, tiny):
 
 def test_stream_gives_the_closed_bursts_of_the_batch(spark, tiny, tmp_path):
     hour = 3600000000
-    bursts = C.debounce_stream(stream(spark, tiny), ["user_id"], "1 hour", "10 minutes", "event_id")
+    bursts = C.debounce_stream(stream(spark, tiny), ["user_id"], "1 hour", "10 minutes", "event_id", "event_id")
     J.run_to_sink(bursts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = rows(spark.read.parquet(str(tmp_path / "out")).select("event_id"))
     batch = V.changes(V.table(spark, tiny, "events")).select("user_id", "event_id", "at_us")
@@ -111,3 +112,33 @@ def test_upkeep_can_be_repeated(spark, tiny, tmp_path):
         results.append(rows(X.read_index(spark, root, start.schema).select("project", "path", "n")))
     want = rows(C.apply_changes(start, feed(changes), fresh, ["project", "path"], ["at_us", "event_id", "action"]).select("project", "path", "n"))
     assert results == [want, want]
+
+
+def test_late_delete_does_not_remove_a_file_that_exists(spark, tiny, tmp_path):
+    from lodeline.sources import index as X
+
+    schema = "project string, path string, action string, ts bigint"
+    root = str(tmp_path / "index")
+    X.write_index(spark.createDataFrame([("p", "z.cs", "old")], "project string, path string, state string"), root)
+    now = spark.createDataFrame([("p", "a.cs", "new")], "project string, path string, state string")
+    for i, rows_ in enumerate([[("p", "a.cs", "upsert", 100)], [("p", "a.cs", "delete", 50), ("p", "z.cs", "delete", 60)]]):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        changes = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        J.index_upkeep(
+            changes, root, f"{tmp_path}/state", now.schema, lambda keys: now.join(keys, ["project", "path"], "left_semi"),
+            ["project", "path"], ["ts", "action"],
+        ).awaitTermination()
+    assert rows(X.read_index(spark, root, now.schema).select("path", "state")) == [("a.cs", "new")]
+
+
+def test_late_rows_are_counted_and_a_flush_may_be_repeated(spark, tmp_path):
+    schema = "k int, at bigint, id bigint"
+    for i, data in enumerate([[(1, 100, 1), (2, 500, 2)], [(1, 120, 3), (3, 900, 4)]]):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    job = J.debounce_job(spark, f"{tmp_path}/out", f"{tmp_path}/state", frame.schema, ["k"], "at", 50, "id")
+    job.run(frame, f"{tmp_path}/checkpoint").awaitTermination()
+    for clock in (940, 960, 960):
+        job.flush(1, clock)
+    assert rows(spark.read.parquet(f"{tmp_path}/out").select("id")) == [(1,), (2,), (3,), (4,)]
+    assert rows(job.late_rows()) == [(0, 0), (1, 1)]
