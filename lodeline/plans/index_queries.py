@@ -50,7 +50,7 @@ def write_index(spark, d):
 @query("purge_project", f"{BASE} SELECT * FROM index_v WHERE project <> 'src0'")
 def purge_project(spark, d):
     rows, root = stored(spark, d, "purge")
-    X.purge_projects(rows.where("project = 'src0'"), root, BUCKETS)
+    X.purge_projects(rows.where("project = 'src0'"), root)
     return X.read_index(spark, root, rows.schema).select("project", "path", "size_bytes", "lines")
 
 
@@ -64,7 +64,7 @@ def evict_paths(spark, d):
     rows, root = stored(spark, d, "evict")
     labelled = V.files(spark, d).join(V.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     gone = labelled.select("project", F.upper(F.replace("path", F.lit("/"), F.lit("\\"))).alias("path"))
-    X.evict_stored(spark, root, rows.schema, gone, BUCKETS)
+    X.evict_stored(spark, root, rows.schema, gone)
     return X.read_index(spark, root, rows.schema).select("project", "path", "size_bytes", "lines")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodeline.operators.policy import enabled_only
 from lodeline.session import cut_lineage, settle
-from lodeline.sources.index import BUCKETS, read_touched, rewrite_touched, write_index
+from lodeline.sources.index import read_touched, rewrite_touched, write_index
 from lodeline.streaming.changes import apply_changes, change_feed, debounce, drain_triggers, latest_per_key
 from lodeline.streaming.expiry import joined_lives
 
@@ -131,7 +131,7 @@ def drain_job(names: DataFrame, registry: DataFrame, sink: str, checkpoint: str)
 
 def watch_job(
     events: DataFrame, root: str, state: str, checkpoint: str, schema: T.StructType,
-    load: Callable[[DataFrame], DataFrame], gap: int, buckets: int = BUCKETS,
+    load: Callable[[DataFrame], DataFrame], gap: int,
 ) -> tuple[CarriedRows, StreamingQuery]:
     """Feed, debounce per path and upkeep as one job over (project, path, old_path, action, ts, seq) events.
 
@@ -145,7 +145,7 @@ def watch_job(
 
     def apply(part: str) -> None:
         quiet = spark.read.schema(row).parquet(f"{state}/quiet/part={part}")
-        upkeep_step(quiet, root, schema, load, ["project", "path"], ["ts", "seq", "action"], buckets)
+        upkeep_step(quiet, root, schema, load, ["project", "path"], ["ts", "seq", "action"])
 
     def step(batch: DataFrame, batch_id: int) -> None:
         job.step(batch, batch_id)
@@ -158,14 +158,14 @@ def watch_job(
 
 def upkeep_step(
     batch: DataFrame, root: str, schema: T.StructType, load: Callable[[DataFrame], DataFrame],
-    keys: list[str], order: list[str], buckets: int = BUCKETS,
+    keys: list[str], order: list[str],
 ) -> None:
     """Bring the stored index up to date with a batch of changes; a repeated one gives the same rows."""
     spark = batch.sparkSession
     latest = cut_lineage(latest_per_key(batch, keys, order))
-    held = read_touched(spark, root, schema, latest, buckets)
+    held = read_touched(spark, root, schema, latest)
     after = apply_changes(held, latest, load(latest.select(*keys)), keys, order)
-    rewrite_touched(after, root, latest, buckets)
+    rewrite_touched(after, root, latest)
 
 
 def index_upkeep(
@@ -176,7 +176,6 @@ def index_upkeep(
     load: Callable[[DataFrame], DataFrame],
     keys: list[str],
     order: list[str],
-    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Apply a stream of changes to the stored index, batch by batch.
 
@@ -186,7 +185,7 @@ def index_upkeep(
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        upkeep_step(batch, root, schema, load, keys, order, buckets)
+        upkeep_step(batch, root, schema, load, keys, order)
 
     return (
         changes.writeStream.foreachBatch(step)

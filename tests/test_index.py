@@ -36,7 +36,7 @@ def test_empty_and_purge(spark, root):
     none = spark.createDataFrame([], ROW)
     X.write_index(none, root, spark.createDataFrame([("a",)], "project string"), buckets=4)
     assert now(spark, root) == DATA[2:]
-    X.purge_projects(spark.createDataFrame([("b",)], "project string"), root, 4)
+    X.purge_projects(spark.createDataFrame([("b",)], "project string"), root)
     assert now(spark, root) == []
     X.write_index(spark.createDataFrame(DATA, ROW), root, buckets=4)
     assert now(spark, root) == DATA
@@ -45,10 +45,10 @@ def test_empty_and_purge(spark, root):
 def test_evict_then_add_again(spark, root):
     schema = spark.createDataFrame([], ROW).schema
     gone = spark.createDataFrame([("a", "X.CS")], "project string, path string")
-    X.evict_stored(spark, root, schema, gone, 4)
+    X.evict_stored(spark, root, schema, gone)
     assert now(spark, root) == DATA[1:]
-    held = X.read_touched(spark, root, schema, gone, 4)
-    X.rewrite_touched(held.unionByName(spark.createDataFrame(DATA[:1], ROW)), root, gone, 4)
+    held = X.read_touched(spark, root, schema, gone)
+    X.rewrite_touched(held.unionByName(spark.createDataFrame(DATA[:1], ROW)), root, gone)
     assert now(spark, root) == DATA
 
 
@@ -117,3 +117,19 @@ def test_trees_with_odd_names(spark, tmp_path):
     assert read == {p: (c, len(c.encode())) for p, c in seen.items()}
     both = scan_files(spark, str(root), "*.{cs,txt}").select("path", "modified_at").exceptAll(read_files(spark, str(root)).select("path", "modified_at"))
     assert scan_files(spark, str(root), "*.{cs,txt}").count() == len(seen) + 1 and both.count() <= len(seen) + 1
+
+
+def test_only_live_folders_are_opened(spark, tmp_path):
+    root, schema = str(tmp_path / "i"), "project string, path string, n bigint"
+    rows_ = spark.range(400).selectExpr("concat('p:%/', id % 3) AS project", "concat(id, '.cs') AS path", "id AS n")
+    for factor in (1, 2, 3):
+        X.write_index(rows_.withColumn("n", F.col("n") * factor), root, buckets=8)
+    kind = spark.createDataFrame([], schema).schema
+    whole = X.read_index(spark, root, kind)
+    generations = {part for f in whole.inputFiles() for part in f.split("/") if part.startswith("generation=")}
+    assert len(generations) == 1 and whole.agg(F.sum("n")).first()[0] == 3 * sum(range(400))
+    one = X.read_touched(spark, root, kind, spark.createDataFrame([("p:%/1", "1.cs")], "project string, path string"))
+    assert len({f.rsplit("/", 1)[0] for f in one.inputFiles()}) == 1 and one.where("path = '1.cs'").first()["n"] == 3
+    assert X.remove_dead(spark, root) == 2 * 3 * 8 and X.remove_dead(spark, root) == 0
+    assert X.read_index(spark, root, kind).count() == 400
+    assert X.bucket_count(spark, root, 99) == 8

@@ -107,7 +107,7 @@ def test_upkeep_can_be_repeated(spark, tiny, tmp_path):
     for run in (1, 2):  # a second stream replays everything
         J.index_upkeep(
             feed(stream(spark, tiny)), root, str(tmp_path / f"state{run}"), start.schema,
-            lambda keys: fresh.join(keys, ["project", "path"], "left_semi"), ["project", "path"], ["at_us", "event_id", "action"], 2,
+            lambda keys: fresh.join(keys, ["project", "path"], "left_semi"), ["project", "path"], ["at_us", "event_id", "action"],
         ).awaitTermination()
         results.append(rows(X.read_index(spark, root, start.schema).select("project", "path", "n")))
     want = rows(C.apply_changes(start, feed(changes), fresh, ["project", "path"], ["at_us", "event_id", "action"]).select("project", "path", "n"))
