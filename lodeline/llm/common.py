@@ -13,7 +13,6 @@ from pyspark.sql import Window
 from lodeline.session import settle, shared_dir
 
 # White space between words: space and the control characters 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 # Rows of one Arrow batch; Spark also ends a batch at its own limit of bytes.
@@ -23,6 +22,8 @@ BATCH_ROWS = 512
 def ready(spark: SparkSession) -> SparkSession:
     """Settings of the session that these operators count on."""
     settle(spark)
+    # A join on a key and more stays where rows were dealt out by that key.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

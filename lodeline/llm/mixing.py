@@ -117,11 +117,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     Documents join their times by ``doc_id``, ``source`` and size; rows equal in
     those take each other's places.
     """
-    at = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    times = taken(docs, weights, share, seed).withColumn("_copy", F.row_number().over(at)).where("times > 0")
+    # Both sides are dealt out by one key, once, for their places and for the join.
+    key = F.xxhash64("doc_id", "source", "size").alias("_key")
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy("doc_id", "source", "size"))
+    times = taken(docs, weights, share, seed).where("times > 0").select("*", key).withColumn("_copy", copy)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words("text").alias("size"))
-    rows = rows.withColumn("_copy", F.row_number().over(at))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "source", "size", "_copy")]
+    rows = rows.select("*", key).withColumn("_copy", copy)
+    same = [F.col(f"d.{c}") == F.col(f"t.{c}") for c in ("_key", "_copy")]
     finishes = F.array(*[F.col(f"t.finish_{turn}") for turn in range(PASSES)])
     joined = rows.alias("d").join(times.alias("t"), same)
     repeated = joined.select("d.row", F.explode(F.slice(finishes, F.lit(1), F.col("t.times"))).alias("finish"))
