@@ -17,6 +17,8 @@ import numpy as np
 
 from lodeline.llm.common import quiet_tokenizers
 
+# Python splits at these, and the library does not take them for white space.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 # White space, a word, and marks other than the apostrophe, which opens endings.
 _WORD_AND_MARKS = re.compile(r"([ \n]?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
@@ -67,6 +69,7 @@ class TextEncoder:
     """Ids of texts by the file of a byte-level tokenizer of the tokenizers library.
 
     Names of special tokens inside a text are ordinary text, as texts are data.
+    A file for which space is no token must drop the case of letters as well.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,7 +82,7 @@ class TextEncoder:
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
         self.spelling = Spelling()
-        self.space_counts = bool(self._whole([" "])[0])
+        self.space_counts = bool(self._whole([" "])[0]) or self._whole(["A"]) != self._whole(["a"])
         self._start_over()
 
     def _start_over(self) -> None:
@@ -98,6 +101,10 @@ class TextEncoder:
 
     def _places(self, text: str) -> np.ndarray:
         look = self.pieces.__getitem__
+        if not self.space_counts and not any(c in text for c in _NO_SPACE):
+            # Space only separates; case is dropped too, so pieces need not differ by ASCII case.
+            cuts = text.encode().lower().decode().split()
+            return np.fromiter(map(look, cuts), np.int64, len(cuts))
         parts = text.replace("\n", " \n").split(" ")
         cuts = [p if p[:1] == "\n" else " " + p for p in parts]
         cuts[0] = parts[0]
