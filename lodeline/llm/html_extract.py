@@ -191,13 +191,14 @@ def training_page(draw: random.Random) -> str:
     def content() -> str:
         kind = draw.random()
         if kind < 0.6:
-            return f"<p data-c>{inline(prose())}" + draw.choice(["</p>", "</p>", "</p>", ""])
+            return f"<p data-c>{inline(prose(draw.choice([1, 3]), draw.choice([4, 60])))}" + draw.choice(["</p>", "</p>", "</p>", ""])
         if kind < 0.7:
-            return f"<p data-c><b>{prose(2, 15)}<br>"
+            return f"<p data-c><b>{prose(1, 15)}<br>"
         if kind < 0.8:
             return f"<h{(n := draw.randint(2, 4))} data-c>{prose(1, 8)}</h{n}>"
         if kind < 0.87:
-            return "<ul data-c>" + "".join(f"<li data-c>{inline(prose(2, 15))}</li>" for _ in range(draw.randint(2, 6))) + "</ul>"
+            end = draw.choice(["</li>", ""])
+            return "<ul data-c>" + "".join(f"<li data-c>{inline(prose(1, draw.choice([2, 15])))}{end}" for _ in range(draw.randint(1, 6))) + "</ul>"
         if kind < 0.92:
             return f"<blockquote data-c><p data-c>{prose()}</p></blockquote>"
         if kind < 0.96:
