@@ -89,18 +89,25 @@ def class_count_per_file(spark, d):
     )
 
 
+# calls on odd lines go to methods that call as well
+BOTH = "both_v AS (SELECT * REPLACE (CASE WHEN line % 2 = 1 THEN 'M' || (line % 9) ELSE callee_method END AS callee_method) FROM calls_v)"
+
+
+def both_ways(spark, d):
+    to = F.when(F.col("line") % 2 == 1, V.text("M", F.col("line") % 9)).otherwise(F.col("callee_method"))
+    return V.calls(spark, d).withColumn("callee_method", to)
+
+
 @query(
     "graph_totals",
-    f"""{BASE}, {INSIDE}, t AS (SELECT path, class_name, 'P' || CAST(substr(path, 3, length(path) - 5) AS BIGINT) % 2000 AS callee,
-        method_name FROM inside_v)
-    SELECT t.path, t.class_name, t.method_name, count(c.path) AS inbound, CAST(0 AS BIGINT) AS outbound, count(DISTINCT c.path) AS files
-    FROM (SELECT path, class_name, callee AS method_name FROM t) t LEFT JOIN calls_v c
-      ON c.callee_method = t.method_name AND c.path <> t.path GROUP BY ALL""",
+    f"""{BASE}, {BOTH}, {INSIDE}, i AS (SELECT t.path, class_name, method_name, count(c.path) AS inbound, count(DISTINCT c.path) AS files
+      FROM inside_v t LEFT JOIN both_v c ON c.callee_method = t.method_name AND c.path <> t.path GROUP BY ALL),
+    o AS (SELECT i.path, i.class_name, i.method_name, count(c.path) AS outbound FROM inside_v i
+      LEFT JOIN both_v c ON c.path = i.path AND c.caller_class = i.class_name AND c.caller_method = i.method_name GROUP BY ALL)
+    SELECT * FROM i JOIN o USING (path, class_name, method_name)""",
 )
 def graph_totals(spark, d):
-    number = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
-    targets = order_targets(spark, d).withColumn("method_name", V.text("P", number % 2000))
-    return G.graph_totals(V.calls(spark, d), targets)
+    return G.graph_totals(both_ways(spark, d), order_targets(spark, d))
 
 
 @query(
@@ -135,14 +142,19 @@ def external_calls(spark, d):
 
 @query(
     "call_graph",
-    f"""{BASE} SELECT * FROM (SELECT 'caller' AS direction, path, caller_class AS class_name, caller_method AS method_name, line
-      FROM calls_v WHERE callee_method = 'P7' AND path <> 'o/3.cs'
-      ORDER BY path, line, caller_class, caller_method, callee_class LIMIT 20) x
-    UNION ALL SELECT 'callee', path, callee_class, callee_method, line FROM calls_v
-      WHERE path = 'o/3.cs' AND caller_class = (SELECT max('S' || l_suppkey) FROM lineitem WHERE l_orderkey = 3) AND caller_method = 'P7'""",
+    f"""{BASE}, {BOTH}, t AS (SELECT path, caller_class, caller_method FROM both_v WHERE caller_method IN (SELECT callee_method FROM both_v)
+      ORDER BY path, caller_class, caller_method LIMIT 1)
+    SELECT * FROM (SELECT 'caller' AS direction, c.path, c.caller_class AS class_name, c.caller_method AS method_name, c.line
+      FROM both_v c, t WHERE c.callee_method = t.caller_method AND c.path <> t.path
+      ORDER BY c.path, c.line, c.caller_class, c.caller_method, c.callee_class LIMIT 20) x
+    UNION ALL SELECT 'callee', c.path, c.callee_class, c.callee_method, c.line FROM both_v c, t
+      WHERE c.path = t.path AND c.caller_class = t.caller_class AND c.caller_method = t.caller_method""",
 )
 def call_graph(spark, d):
-    return G.call_graph(V.calls(spark, d), "o/3.cs", "S0", "P7")
+    calls = both_ways(spark, d)
+    named = calls.select(F.col("callee_method").alias("caller_method")).distinct()
+    target = calls.join(named, "caller_method", "left_semi").orderBy("path", "caller_class", "caller_method").first()
+    return G.call_graph(calls, target["path"], target["caller_class"], target["caller_method"])
 
 
 @query(

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from lodeline.functions import naming as N
+from lodeline.operators import callgraph as G
 from lodeline.operators import inventory as I
 from lodeline.operators import structure as S
+from lodeline.operators.search import search
 from lodeline.plans import views as V
 from lodeline.plans.registered import query
 
@@ -121,7 +123,7 @@ HEAD = """'        [HttpGet("parts/' || k || '")]' || chr(10) || '        public
       UNION ALL SELECT project, path, name || '::Reset::' || reset_at, false, true,
         '        private static void Reset() => Clear();', '' FROM src
       UNION ALL SELECT project, path, 'Inner::Deep::' || (inner_at + 2), false, false,
-        '            public void Deep() {{ Run<int>(); a.Fill<List<int>>(1); }}', '' FROM src WHERE nested > 0
+        '            public void Deep() {{ Run<int>(); a.Reset<List<int>>(1); }}', '' FROM src WHERE nested > 0
       UNION ALL SELECT project, path, 'I' || name || '::Count::' || (face_at + 2), false, false,
         '        int Count(List<int> items);', '' FROM src""",
 )
@@ -138,7 +140,7 @@ def extract_bodies(spark, d):
       SELECT project, path, name AS caller_class, price AS caller_method, callee_method, callee_class, http_at + spread + below AS line
       FROM src CROSS JOIN c
       UNION ALL SELECT project, path, name, 'Reset', 'Clear', 'SameClass', reset_at FROM src
-      UNION ALL SELECT project, path, 'Inner', 'Deep', 'Fill', 'a', inner_at + 2 FROM src WHERE nested > 0""",
+      UNION ALL SELECT project, path, 'Inner', 'Deep', 'Reset', 'a', inner_at + 2 FROM src WHERE nested > 0""",
 )
 def extract_call_sites(spark, d):
     calls = S.extract_call_sites(V.sources(spark, d))
@@ -197,6 +199,35 @@ def file_index(spark, d):
     return I.file_index(S.extract_types(files), S.extract_methods(files))
 
 
+# From source text to answers ---------------------------------------------------
+
+
+@query(
+    "source_search",
+    f"""{SRC}, n AS (SELECT count(*) AS total FROM src)
+    SELECT project, path, name AS parent, 'Method' AS member_type, price AS name, CAST(http_at + 4 + spread AS BIGINT) AS line, 0.8::DOUBLE AS score,
+      1 AS page, CAST(ceil(total / 20.0) AS INTEGER) AS total_pages, total AS total_results
+    FROM src, n ORDER BY price, project, path LIMIT 20""",
+)
+def source_search(spark, d):
+    """Ranked search over the members and bodies that were read from source text."""
+    files = V.sources(spark, d)
+    return search(S.member_index(files), S.extract_bodies(files), "_table.Inner.Find")
+
+
+@query(
+    "source_call_graph",
+    f"""{SRC} SELECT * FROM (SELECT 'caller' AS direction, path, 'Inner' AS class_name, 'Deep' AS method_name, inner_at + 2 AS line
+      FROM src WHERE nested > 0 AND path <> 'src/1.cs' ORDER BY path LIMIT 20) x
+    UNION ALL SELECT 'callee', path, 'SameClass', 'Clear', reset_at FROM src WHERE path = 'src/1.cs'""",
+)
+def source_call_graph(spark, d):
+    """Callers and callees of a method over the calls that were read from source text."""
+    calls = S.extract_call_sites(V.sources(spark, d)).withColumn("callee_class", S.resolve_receiver(F.col("receiver")))
+    owner = V.table(spark, d, "part").where("p_partkey = 1").select(V.text(V.part_name(), F.col("p_partkey"))).first()[0]
+    return G.call_graph(calls, "src/1.cs", owner, "Reset")
+
+
 # Pages ----------------------------------------------------------------------
 
 PAGE_TAGS = V.PAGES + r""", tags AS (

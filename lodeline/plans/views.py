@@ -410,7 +410,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("        }"),
         F.when(nested, text("        public class Inner")),
         F.when(nested, text("        {")),
-        F.when(nested, text("            public void Deep() { Run<int>(); a.Fill<List<int>>(1); }")),
+        F.when(nested, text("            public void Deep() { Run<int>(); a.Reset<List<int>>(1); }")),
         F.when(nested, text("        }")),
         text("        [Key]"),
         text("        public int Size { get; set; }"),
