@@ -26,6 +26,8 @@ def settle(spark: SparkSession) -> SparkSession:
 
 def build_session(app: str = "lodeline", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    # A checkpoint goes when nothing refers to it any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
