@@ -16,6 +16,7 @@ like others.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from math import log1p
@@ -98,6 +99,11 @@ def node_features(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     siblings: dict[int, list[int]] = {}
     for i in blocks[1:]:
         siblings.setdefault(block_of[nodes[i].parent], []).append(i)
+    position, same = [0] * n, [1] * n
+    for family in siblings.values():
+        counts = Counter(nodes[j].tag for j in family)
+        for place, j in enumerate(family):
+            position[j], same[j] = place, counts[nodes[j].tag]
     around = np.zeros((n, _N_TAGS + _N_PURPOSES))
     rows = np.zeros((len(blocks), 2 * (_N_TAGS + _N_PURPOSES) + 16))
     wide = _N_TAGS + _N_PURPOSES
@@ -114,11 +120,10 @@ def node_features(tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if i:
             rows[r, wide : 2 * wide] = around[up]
         around[i] = np.maximum(around[up], mine) if i else mine
-        family = siblings.get(up, [i])
-        same = sum(nodes[j].tag == node.tag for j in family) if len(family) <= 400 else len(family)
+        family = len(siblings[up]) if i else 1
         size = max(chars[i], 1.0)
         rows[r, 2 * wide :] = (
-            node.depth, family.index(i) if len(family) <= 400 else 400, len(family), same / len(family),
+            node.depth, position[i], family, same[i] / family,
             own[i], chars[i], link_chars[i] / size, tags[i], chars[i] / tags[i], n_words[i], n_stops[i] / size * 100,
             chars[i] / max(total, 1), max(first[i], 0) / max(total, 1),
             link_chars[up] / max(chars[up], 1) if i else 0, chars[up] / max(total, 1) if i else 1, own[i] / size,

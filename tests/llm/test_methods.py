@@ -221,6 +221,14 @@ def test_text_of_odd_markup():
     assert html_extract.main_text(page, html_extract.trained()) == "A & B é onetwo three four five six seven x <p> y"
 
 
+def test_siblings_are_counted_in_large_families():
+    for n in (20, 401, 2500):
+        rows, blocks, _ = html_extract.node_features(parse("<article>" + "<p>some words</p>" * n + "<h2>b</h2></article>"))
+        place, family, share = rows[2:, -15:-12].T
+        assert place.tolist() == list(range(n + 1)) and set(family) == {n + 1}
+        assert np.allclose(share, [n / (n + 1)] * n + [1 / (n + 1)])
+
+
 def test_trees_learn_a_rule():
     rows = np.random.default_rng(0).random((2000, 4))
     labels = ((rows[:, 0] > 0.5) ^ (rows[:, 2] > 0.3)).astype(float)
