@@ -2,8 +2,9 @@
 
 Tags that were left open are closed as a browser would for blocks: an opening
 block ends an open paragraph, an item ends the item before, and so on. An end tag
-without its element is passed over. Scripts, styles, comments and other raw
-content are no text.
+without its element is passed over. Scripts, styles, templates, frames and
+comments are no text; formulas are text of the element they stand in, and
+graphics and players are elements like others.
 """
 
 from __future__ import annotations
@@ -20,10 +21,16 @@ _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 # Fixed values of the HTML standard: elements without content, with raw content,
 # those that stand inside a line, and which open elements a start tag ends.
+# MathML inside ``math`` and shapes of SVG make no elements; some part texts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe noembed noframes svg math canvas object audio video".split())
+RAW = set("script style noscript template iframe".split())
+MATH_PARTS = set("annotation annotation-xml mlabeledtr mtable mtd mtr".split())
+PASSED = MATH_PARTS | set(
+    "maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics"
+    " circle clippath defs ellipse filter g line lineargradient marker mask path pattern polygon polyline radialgradient rect stop symbol use".split()
+)
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tspan tt u var wbr".split()
 )
 PARAGRAPH_ENDS = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -103,6 +110,10 @@ def parse(html: str) -> Tree:
         if found[2] is None:
             continue
         tag = found[2].lower()
+        if tag in PASSED:
+            if tag in MATH_PARTS:
+                pieces.append((stack[-1], None))
+            continue
         if found[1]:
             if tag == "br":
                 pieces.append((stack[-1], None))
@@ -131,7 +142,7 @@ def parse(html: str) -> Tree:
         nodes.append(node)
         if tag not in VOID and not found[3].endswith("/"):
             stack.append(len(nodes) - 1)
-        if tag in ("title", "textarea"):
+        if tag in ("title", "textarea") and not (found[3].endswith("/") and any(nodes[i].tag == "svg" for i in stack)):
             end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(html, at)
             pieces.append((len(nodes) - 1, html[at : end.start()]))
             at = end.end()

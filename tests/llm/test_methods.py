@@ -221,6 +221,25 @@ def test_text_of_odd_markup():
     assert html_extract.main_text(page, html_extract.trained()) == "A & B é onetwo three four five six seven x <p> y"
 
 
+def test_formulas_graphics_and_players_are_read():
+    start = "<html><body><nav><a href=/>home</a></nav><article><h1>On the energy of masses</h1><p>The energy of a mass at rest, "
+    formula = "<math><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow></math>"
+    end = ", was found by measuring.</p><p>More words of the article follow here, and then it ends.</p></article><footer>end</footer></body></html>"
+    want = "On the energy of masses The energy of a mass at rest, {}, was found by measuring. More words of the article follow here, and then it ends."
+    forest = html_extract.trained()
+    assert html_extract.main_text(start + formula + end, forest) == want.format("E=mc2")
+    assert html_extract.main_text(start + "<math><mi>E</mi>" + end, forest) == want.format("E")
+    assert html_extract.main_text(start + "<math><mtr><mtd>1<mtd>2</mtr></math>" + end, forest) == want.format("1 2 ")
+    for tag in ("object", "canvas", "audio", "video", "svg", "noembed", "noframes"):
+        tree = parse(f"<p>before</p><{tag}>its own text<p>and more</p></{tag}><p>after</p>")
+        assert [t for _, t in tree.pieces if t] == ["before", "its own text", "and more", "after"]
+        assert tag in [tree.nodes[i].tag for i in html_extract.node_features(tree)[1]]
+        assert html_extract.main_text(start + f"<{tag}>" + end, forest).endswith("follow here, and then it ends.")
+    for tag in ("script", "style", "noscript", "template", "iframe"):
+        assert [t for _, t in parse(f"a<{tag}>b</{tag}>c").pieces if t] == ["a", "c"]
+    assert parse("<p>a<svg><title/><path d='m0'/><text>b</text></svg>c").pieces[-1][1] == "c"
+
+
 def test_siblings_are_counted_in_large_families():
     for n in (20, 401, 2500):
         rows, blocks, _ = html_extract.node_features(parse("<article>" + "<p>some words</p>" * n + "<h2>b</h2></article>"))
