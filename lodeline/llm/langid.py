@@ -4,7 +4,9 @@ A text is lower-cased, everything but letters becomes a boundary, and each run o
 one to five bytes is a feature with an embedding of its own. The embeddings of a
 text are averaged, and a linear layer with softmax gives the languages. Both are
 trained by stochastic gradient descent on a bounded sample of labelled documents:
-at most ``SAMPLE_DOCS`` per language in expectation, ``PIECES`` pieces of each. The
+at most ``SAMPLE_DOCS`` per language in expectation, ``PIECES`` pieces of each. Of
+more than ``MOST_LANGUAGES`` labels the most frequent are learned, ties by name; the
+model counts the others, and their documents are predicted like all. The
 temperature of the softmax and the score below which an answer is rejected come
 from documents of the sample that were not trained on.
 
@@ -18,6 +20,7 @@ same for all if nothing is labelled; ties go to the first language by name.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,13 +71,17 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class Model:
-    """Languages in order of name, the table of features, and what calibration found."""
+    """Languages in order of name, the table of features, and what calibration found.
+
+    ``left_out`` counts the labels that were not learned, and their documents.
+    """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     limit: float = 0.0
+    left_out: tuple[int, int] = (0, 0)
 
     def logits(self, text: str) -> np.ndarray:
         return self.table[features(text)].mean(axis=0, dtype=np.float64) + self.bias
@@ -143,19 +150,28 @@ def calibrate(model: Model, texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def labelled_pieces(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[tuple[str, int, int]]]:
-    """Languages of the labelled documents, and pieces of a sample: text, language, document.
+def labelled_pieces(
+    docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES
+) -> tuple[list[str], list[tuple[str, int, int]], tuple[int, int]]:
+    """Languages of the labelled documents, pieces of a sample, and what was left out.
 
-    A document is drawn by the hash of its id with the share that gives its
-    language ``sample_docs`` documents. The pieces stand at hashed places.
+    A piece is a text, language and document. A document is drawn by the hash of
+    its id with the share that gives its language ``sample_docs`` documents. The
+    pieces stand at hashed places. Left out are the labels beyond the
+    ``most_languages`` most frequent, as numbers of labels and of documents.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()  # one row per language
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = known.groupBy("lang").count()
+    counts = sizes.orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()  # one row per language
+    left_out = (0, 0)
+    if len(counts) > most_languages:
+        counts = counts[:most_languages]
+        labels, labelled = sizes.agg(F.count("*"), F.sum("count")).first()
+        left_out = labels - len(counts), labelled - sum(row["count"] for row in counts)
+    counts = sorted(counts, key=lambda row: row["lang"])
     languages = [row["lang"] for row in counts]
     if not languages:
-        return [], []
+        return [], [], left_out
     chances = F.create_map(*[x for row in counts for x in (F.lit(row["lang"]), F.lit(min(1.0, sample_docs / row["count"])))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < chances[F.col("lang")] * (1 << 30)
 
@@ -169,17 +185,20 @@ def labelled_pieces(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[li
     pieces = known.where(drawn).select("lang", F.xxhash64("doc_id").alias("doc"), F.array(*map(piece, range(PIECES))).alias("pieces"))
     rows = sorted(tuple(r) for r in pieces.collect())  # bounded by the sample
     place = {lang: i for i, lang in enumerate(languages)}
-    return languages, [(text, place[lang], doc) for lang, doc, found in rows for text in found if text and has_letter(text)]
+    return languages, [(text, place[lang], doc) for lang, doc, found in rows for text in found if text and has_letter(text)], left_out
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
     """A calibrated model from the labelled rows of ``doc_id, text, lang``; a fifth of the sample calibrates."""
-    languages, pieces = labelled_pieces(docs, sample_docs)
+    languages, pieces, left_out = labelled_pieces(docs, sample_docs, most_languages)
+    if left_out[0]:
+        warnings.warn(f"{left_out[0]} labels of {left_out[1]} documents are not learned", stacklevel=2)
     if not pieces:
-        return Model([], np.zeros((1, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((1, 0), np.float32), np.zeros(0), left_out=left_out)
     held = [p for p in pieces if p[2] % 5 == 0]
     rest = [p for p in pieces if p[2] % 5] or pieces
     model = train([p[0] for p in rest], [p[1] for p in rest], languages)
+    model.left_out = left_out
     return calibrate(model, [p[0] for p in held], [p[1] for p in held])
 
 

@@ -185,6 +185,21 @@ def test_held_out_languages(spark):
     assert right / len(rows) > 0.97 and sum(r.language["rejected"] for r in rows) <= 0.02 * len(rows)
 
 
+def test_labels_beyond_the_most_frequent(spark):
+    ready(spark)
+    made = [(i, "the words of this text are here and there", "en") for i in range(40)]
+    made += [(100 + i, "die Worte des Textes sind hier und dort zu sehen", "de") for i in range(40)]
+    made += [(1000 + i, "the label of this text says nothing", f"junk{i:03}") for i in range(langid.MOST_LANGUAGES + 40)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string")
+    with pytest.warns(UserWarning, match="42 labels of 42 documents"):
+        model = langid.fit(docs)
+    assert model.left_out == (42, 42) and len(model.languages) == langid.MOST_LANGUAGES
+    assert model.languages == sorted(model.languages) and {"en", "de"} < set(model.languages)
+    assert langid.identify(docs, model).where("language.lang_pred is not null").count() == len(made)
+    few = langid.fit(docs.where("lang in ('en', 'de')"))
+    assert few.left_out == (0, 0) and few.predict("die Worte des Textes")[0] == "de"
+
+
 # Pages
 
 
