@@ -2,7 +2,9 @@
 
 The encoder writes constant, verbatim, fixed and linear-prediction subframes with
 partitioned Rice codes, a table of seek points, and the checksums of headers and
-frames. The decoder reads any such stream: it finds the frames by the seek points
+frames. The decoder reads any stream of one channel of 8 bits that states its
+length and checksum, with wasted bits too; other channel layouts and sample sizes
+are refused with a ``ValueError``. It finds the frames by the seek points
 or by their sync codes and verified headers, and decodes all frames of a batch
 side by side, one sample of each frame per step, as a code's place is only known
 when the one before it is read.
@@ -378,6 +380,7 @@ class _Lane:
     shift: int
     method: int
     partitions: int
+    wasted: int
 
 
 def _open_frame(data: bytes, at: int, base: int, frame: int) -> bytes | _Lane:
@@ -390,17 +393,25 @@ def _open_frame(data: bytes, at: int, base: int, frame: int) -> bytes | _Lane:
     kind, wasted = _take(data, bit, 8) >> 1, _take(data, bit, 8) & 1
     bit += 8
     if wasted:
-        raise ValueError("wasted bits are not read")
+        # The number of bits in unary; samples are that much narrower.
+        while not _take(data, bit, 1):
+            wasted, bit = wasted + 1, bit + 1
+            if wasted > 7:
+                raise ValueError("no bits of a sample are left")
+        bit += 1
+    held = 8 - wasted
     if kind == 0:
-        return bytes([_take(data, bit, 8)]) * samples
-    if kind == 1:
+        return bytes([_take(data, bit, held) << wasted]) * samples
+    if kind == 1 and not wasted:
         return data[bit >> 3 : (bit >> 3) + samples]
+    if kind == 1:
+        return bytes(_take(data, bit + held * i, held) << wasted for i in range(samples))
     linear = kind >= 32
     if not linear and not 8 <= kind <= 12:
         raise ValueError("unknown kind of subframe")
     order = kind - 31 if linear else kind - 8
-    warm = [_signed(_take(data, bit + 8 * i, 8), 8) for i in range(order)]
-    bit += 8 * order
+    warm = [_signed(_take(data, bit + held * i, held), held) for i in range(order)]
+    bit += held * order
     coef, shift = FIXED.get(order, []), 0
     if linear:
         width, shift = _take(data, bit, 4) + 1, _signed(_take(data, bit + 4, 5), 5)
@@ -409,7 +420,7 @@ def _open_frame(data: bytes, at: int, base: int, frame: int) -> bytes | _Lane:
     method, partitions = _take(data, bit, 2), 1 << _take(data, bit + 2, 4)
     if method > 1 or shift < 0:
         raise ValueError("unknown coding of the residual")
-    return _Lane(frame, base * 8 + bit + 6, samples, warm, coef, shift, method, partitions)
+    return _Lane(frame, base * 8 + bit + 6, samples, warm, coef, shift, method, partitions, wasted)
 
 
 def _run_lanes(lanes: list[_Lane], words: np.ndarray) -> list[np.ndarray]:
@@ -496,6 +507,7 @@ def _run_lanes(lanes: list[_Lane], words: np.ndarray) -> list[np.ndarray]:
         else:
             out[deep + step, :n] = error + guess
             bit[:n] += used
+    out[deep:] <<= np.array([lane.wasted for lane in lanes])
     columns = ((out[deep:] + 128) & 0xFF).astype(np.uint8).T.copy()
     return [(lane.frame, columns[i, : lane.samples]) for i, lane in enumerate(lanes)]
 

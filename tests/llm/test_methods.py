@@ -309,3 +309,27 @@ def test_a_stream_by_hand():
     assert flac._decode_frames([frame]) == [bytes(s + 128 for s in samples)]
     with pytest.raises(ValueError):
         flac._decode_frames([frame[:-4] + bytes([frame[-4] ^ 1]) + frame[-3:]])
+
+
+@pytest.mark.parametrize("wasted", [1, 3, 7])
+@pytest.mark.parametrize("kind", ["constant", "verbatim", "fixed", "linear"])
+def test_wasted_bits_by_hand(kind, wasted):
+    """Frames whose samples end in zeros that are not written."""
+    held = 8 - wasted
+    low, high = -(1 << held - 1), (1 << held - 1) - 1
+    samples = [low] * 16 if kind == "constant" else ([low, high, 0, low] * 4 if kind == "verbatim" else [low, low, high, 0] + [0] * 12)
+    bits = lambda value, size: f"{value & (1 << size) - 1:0{size}b}"
+    rice = lambda error: "0" * (error << 1 ^ error >> 31) + "1"
+    code = {"constant": "000000", "verbatim": "000001", "fixed": "001001", "linear": "100000"}[kind]
+    written = f"0{code}1" + "0" * (wasted - 1) + "1"
+    if kind == "constant":
+        written += bits(low, held)
+    elif kind == "verbatim":
+        written += "".join(bits(s, held) for s in samples)
+    else:
+        # Either predictor takes the sample before; of the linear one 2 >> 1.
+        written += bits(samples[0], held) + ("0011" + "00001" + "0010" if kind == "linear" else "") + "000000" + "0000"
+        written += "".join(rice(b - a) for a, b in zip(samples, samples[1:]))
+    body = flac.frame_header(0, 16) + bytes(int(written.ljust(-(-len(written) // 8) * 8, "0")[i : i + 8], 2) for i in range(0, len(written), 8))
+    check = flac.crc16_of_ranges(np.frombuffer(body, np.uint8), np.array([0]), np.array([len(body)]))[0]
+    assert flac._decode_frames([body + int(check).to_bytes(2, "big")]) == [bytes((s << wasted) + 128 for s in samples)]
