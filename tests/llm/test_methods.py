@@ -50,6 +50,21 @@ def test_encoder_agrees_with_the_library(name, texts):
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_names_of_special_tokens_are_ordinary_text(name):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    ids = lambda text: plain.encode(text, add_special_tokens=False).ids
+    special = {i: t.content for i, t in plain.get_added_tokens_decoder().items()}
+    for i, content in special.items():
+        text = f"one {content} two{content}"
+        (found,) = encoder(public_tokenizers.path(name)).encode([text])
+        assert ids(text).count(i) == 2 and not set(found.tolist()) & set(special)
+        plain.encode_special_tokens = True
+        assert found.tolist() == ids(text)
+        plain.encode_special_tokens = False
+    assert encoder(public_tokenizers.path(name)).encode(["one two"])[0].tolist() == ids("one two")
+
+
 @pytest.mark.parametrize("name,query", [(FILES[0], "op4_packing"), (FILES[1], "op7_token_ids")])
 def test_token_queries_give_the_ids_of_the_library(spark, tiny, name, query):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
