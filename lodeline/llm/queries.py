@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat, html_extract, langid, media, mixing, neardup, packing, quality, sharding, tokenfiles
+from lodeline.llm import chat, html_extract, langid, media, merkle, mixing, neardup, packing, quality, sharding, tokenfiles
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +190,83 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_text")
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+# The parity of a CRC-32 is that of its register: each byte is put in, then eight steps.
+_CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["doc_id", "source", "lang", "n_chars", text]
+    parts = [f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
+_MERKLE_SQL = f"""
+    WITH RECURSIVE docs AS (
+        SELECT row_number() OVER () AS row_no, doc_id, source, {_leaf_sql("text")} AS leaf,
+               CASE WHEN {_CRC32_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS tampered
+        FROM documents
+    ), placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+               count(*) OVER (PARTITION BY source) AS n FROM docs
+    ), nodes AS (
+        SELECT tree, 0 AS level, pos, leaf AS digest, n FROM placed
+        UNION ALL
+        SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 2) // 3)
+        FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3
+    ), subroots AS (SELECT tree, digest AS subroot, level AS height FROM nodes WHERE n = 1
+    ), tops AS (
+        SELECT 0 AS level, tree AS pos, subroot AS digest, (SELECT count(*) FROM subroots) AS n FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 2) // 3)
+        FROM tops WHERE n > 1 GROUP BY level, pos // 3
+    ), walk AS (
+        SELECT row_no, tree, height, false AS top, 0 AS level, pos FROM placed JOIN subroots USING (tree)
+        UNION ALL
+        SELECT row_no, tree, height, top OR level = height, CASE WHEN NOT top AND level = height THEN 0 ELSE level + 1 END,
+               CASE WHEN NOT top AND level = height THEN tree ELSE pos // 3 END
+        FROM walk WHERE NOT top OR level < (SELECT max(level) FROM tops)
+    ), steps AS (
+        SELECT row_no, w.top, w.level, string_agg(m.digest, '' ORDER BY m.pos) AS both_sides,
+               coalesce(string_agg(m.digest, '' ORDER BY m.pos) FILTER (m.pos < w.pos), '') AS l,
+               coalesce(string_agg(m.digest, '' ORDER BY m.pos) FILTER (m.pos > w.pos), '') AS r
+        FROM walk w JOIN (SELECT tree, false AS top, level, pos, digest FROM nodes UNION ALL SELECT NULL, true, level, pos, digest FROM tops) m
+          ON w.top = m.top AND (w.top OR w.tree = m.tree) AND w.level = m.level AND w.pos // 3 = m.pos // 3 AND w.pos <> m.pos
+        GROUP BY ALL
+    ), runs AS (
+        SELECT row_no, top, level, coalesce(both_sides, '') AS both_sides, coalesce(l, '') AS l, coalesce(r, '') AS r
+        FROM walk LEFT JOIN steps USING (row_no, top, level)
+        WHERE CASE WHEN top THEN level < (SELECT max(level) FROM tops) ELSE level < height END
+    ), proofs AS (
+        SELECT row_no, sha256(string_agg(both_sides, '' ORDER BY top, level)) AS proof_sha256,
+               list(l ORDER BY top, level) AS ls, list(r ORDER BY top, level) AS rs FROM runs GROUP BY row_no
+    ), folds AS (
+        SELECT row_no, tampered AS acc, 1 AS step, coalesce(ls, []) AS ls, rs FROM docs LEFT JOIN proofs USING (row_no)
+        UNION ALL
+        SELECT row_no, sha256(ls[step] || acc || rs[step]), step + 1, ls, rs FROM folds WHERE step <= len(ls)
+    ), folded AS (SELECT row_no, acc AS folded_root FROM folds WHERE step = len(ls) + 1
+    ), rooted AS (SELECT digest AS root FROM tops WHERE n = 1)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM placed JOIN subroots USING (tree) JOIN folded USING (row_no) LEFT JOIN proofs USING (row_no), rooted
+    """
+
+
+@query("op13_merkle", _MERKLE_SQL)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hashed = lambda text: merkle.leaf_hash([*[F.col(c) for c in merkle.LEAF_COLUMNS[:-1]], text])
+    cut = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaf = hashed(F.col("text"))
+    leaves = docs.select(
+        "source", "doc_id", leaf.alias("leaf"), F.when(cut, hashed(F.translate("text", "\n", ""))).alias("tampered")
+    )
+    proofs, root = merkle.prove(leaves)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.lit(root)).alias("verified"),
+    )
