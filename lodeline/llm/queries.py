@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat, html_extract, langid, media, merkle, mixing, neardup, packing, quality, sharding, tokenfiles
+from lodeline.llm import chat, html_extract, langid, media, merkle, mixing, neardup, packing, quality, sharding, tokenfiles, whitening
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,3 +270,17 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), F.sha2(merkle.siblings(F.col("steps")), 256).alias("proof_sha256"),
         folded.alias("folded_root"), (folded == F.lit(root)).alias("verified"),
     )
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    explained = [] if model is None else [float(v) for v in model.explained]
+    per_component = F.array(*[
+        F.struct(F.lit(i + 1).alias("component"), F.get("whitened", F.lit(i)).alias("whitened"), F.lit(share).alias("explained"))
+        for i, share in enumerate(explained)
+    ]).cast("array<struct<component: int, whitened: double, explained: double>>")
+    return rows.select("vec_id", "deviation", F.explode(per_component).alias("c")).select(
+        "vec_id", "c.component", F.lit(model.n if model else 0).cast("bigint").alias("n"), "deviation", "c.whitened", "c.explained",
+        F.lit(error).alias("identity_error"),
+    )
