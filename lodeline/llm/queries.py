@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import chat, html_extract, langid, media, merkle, mixing, neardup, packing, quality, sharding, tokenfiles, whitening
+from lodeline.llm import chat, html_extract, langid, media, merkle, mixing, neardup, packing, quality, sharding, swap_packing, tokenfiles, whitening
 from lodeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,3 +284,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", "c.component", F.lit(model.n if model else 0).cast("bigint").alias("n"), "deviation", "c.whitened", "c.explained",
         F.lit(error).alias("identity_error"),
     )
+
+
+@query("op11_best_fit")
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    length = swap_packing.SEQUENCE_LENGTH
+    pieces = ids_crc32(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), length, swap_packing.END_ID))
+    placed = swap_packing.place_pieces(pieces, packing.group_count(docs, swap_packing.GROUP_ROWS), length)
+    return placed.select(
+        "doc_id", F.expr(f"start div {length}").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
