@@ -31,6 +31,8 @@ from lodeline.llm.common import texts
 from lodeline.llm.dom import Tree, block_text, blocks_of, parse
 
 TRAINING_PAGES = 500
+# Blocks whose features are judged together; the pages of a task are held up to so many.
+HELD_BLOCKS = 20_000
 SEED = 5
 
 # Words in attributes that tell what an element is for, by purpose.
@@ -277,16 +279,25 @@ def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     forest = pages.sparkSession.sparkContext.broadcast(trained())
 
+    def judged(trees: list[Tree], measured: list[tuple]) -> Iterator[str]:
+        odds = forest.value.log_odds(np.concatenate([m[0] for m in measured]))
+        at = 0
+        for tree, (rows, blocks, own) in zip(trees, measured):
+            yield block_text(tree, decode(tree, blocks, odds[at : at + len(rows)], own))
+            at += len(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            trees = [parse(html) for html in texts(batch.column(2))]
-            measured = [node_features(tree) for tree in trees]
-            odds = forest.value.log_odds(np.concatenate([m[0] for m in measured])) if measured else np.empty(0)
-            at = 0
-            for tree, (rows, blocks, own) in zip(trees, measured):
-                found.append(block_text(tree, decode(tree, blocks, odds[at : at + len(rows)], own)))
-                at += len(rows)
+            found, trees, measured, held = [], [], [], 0
+            for html in texts(batch.column(2)):
+                trees.append(parse(html))
+                measured.append(node_features(trees[-1]))
+                held += len(measured[-1][0])
+                if held > HELD_BLOCKS:
+                    found += judged(trees, measured)
+                    trees, measured, held = [], [], 0
+            if trees:
+                found += judged(trees, measured)
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text"])
 
