@@ -4,7 +4,7 @@ A text is lower-cased, everything but letters becomes a boundary, and each run o
 one to five bytes is a feature with an embedding of its own. The embeddings of a
 text are averaged, and a linear layer with softmax gives the languages. Both are
 trained by stochastic gradient descent on a bounded sample of labelled documents:
-at most ``SAMPLE_DOCS`` per language in expectation, ``PIECES`` pieces of each. Of
+at most ``SAMPLE_DOCS`` per language, ``PIECES`` pieces of each. Of
 more than ``MOST_LANGUAGES`` labels the most frequent are learned, ties by name; the
 model counts the others, and their documents are predicted like all. The
 temperature of the softmax and the score below which an answer is rejected come
@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 SAMPLE_DOCS = 1200
 PIECES = 3
@@ -44,17 +45,23 @@ WRONGLY_REJECTED = 0.0005
 HIGHEST_LIMIT = 0.5
 UNKNOWN = "und"
 _MIX = np.uint32(0x9E3779B1)
+# Bytes of a text whose features are held at a time.
+SLICE = 1 << 18
 # Bytes of ASCII that are no letters stand for a boundary.
-_LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
+_LETTERS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
-def features(text: str) -> np.ndarray:
-    """Buckets of all runs of bytes of a text, with a boundary at either end."""
+def _letters(text: str) -> np.ndarray:
+    """Bytes of a text with a boundary at either end; runs of boundaries are one."""
     raw = _LETTERS[np.frombuffer(f" {text.lower()} ".encode(errors="replace"), np.uint8)]
-    # Runs of boundaries are one boundary.
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32)
-    raw = raw[keep]
+    return raw[keep]
+
+
+def _runs(raw: np.ndarray) -> list[np.ndarray]:
+    """Buckets of all runs of bytes by their length, each in the order of their starts."""
+    raw = raw.astype(np.uint32)
     found, rolled = [], np.zeros(len(raw), np.uint32)
     for order in ORDERS:
         if order > len(raw):
@@ -62,7 +69,24 @@ def features(text: str) -> np.ndarray:
         rolled = (rolled[: len(raw) - order + 1] + np.uint32(1)) * _MIX ^ raw[order - 1 :]
         mixed = (rolled ^ (rolled >> np.uint32(15))) * _MIX
         found.append(mixed >> np.uint32(32 - BUCKET_BITS))
-    return np.concatenate(found)
+    return found
+
+
+def features(text: str) -> np.ndarray:
+    """Buckets of all runs of bytes of a text."""
+    return np.concatenate(_runs(_letters(text)))
+
+
+def mean_embedding(text: str, table: np.ndarray) -> np.ndarray:
+    """Mean row of the table over the features of a text, which are counted slice by slice."""
+    raw = _letters(text)
+    if len(raw) <= SLICE:
+        return table[np.concatenate(_runs(raw))].mean(axis=0, dtype=np.float64)
+    counts = np.zeros(len(table), np.int64)
+    for start in range(0, len(raw), SLICE):
+        for buckets in _runs(raw[start : start + SLICE + ORDERS[-1] - 1]):
+            counts += np.bincount(buckets[:SLICE], minlength=len(table))
+    return counts @ table.astype(np.float64) / counts.sum()
 
 
 def has_letter(text: str) -> bool:
@@ -84,7 +108,7 @@ class Model:
     left_out: tuple[int, int] = (0, 0)
 
     def logits(self, text: str) -> np.ndarray:
-        return self.table[features(text)].mean(axis=0, dtype=np.float64) + self.bias
+        return mean_embedding(text, self.table) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the answer is rejected."""
@@ -155,9 +179,10 @@ def labelled_pieces(
 ) -> tuple[list[str], list[tuple[str, int, int]], tuple[int, int]]:
     """Languages of the labelled documents, pieces of a sample, and what was left out.
 
-    A piece is a text, language and document. A document is drawn by the hash of
-    its id with the share that gives its language ``sample_docs`` documents. The
-    pieces stand at hashed places. Left out are the labels beyond the
+    A piece is a text, language and document. Documents are drawn by the hash of
+    their id and text with twice the share that gives their language
+    ``sample_docs`` of them; equal rows are one, and the least hashes are kept, at
+    most so many. The pieces stand at hashed places. Left out are the labels beyond the
     ``most_languages`` most frequent, as numbers of labels and of documents.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -172,8 +197,8 @@ def labelled_pieces(
     languages = [row["lang"] for row in counts]
     if not languages:
         return [], [], left_out
-    chances = F.create_map(*[x for row in counts for x in (F.lit(row["lang"]), F.lit(min(1.0, sample_docs / row["count"])))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < chances[F.col("lang")] * (1 << 30)
+    chances = F.create_map(*[x for row in counts for x in (F.lit(row["lang"]), F.lit(min(1.0, 2 * sample_docs / row["count"])))])
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30)) < chances[F.col("lang")] * (1 << 30)
 
     def piece(number: int):
         chance = lambda salt, low, high: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(high - low)) + low
@@ -182,8 +207,10 @@ def labelled_pieces(
         at = (F.pmod(F.xxhash64("doc_id", F.lit(200 + number)), room) + 1).cast("int")
         return F.substring(F.col("text"), at, size)
 
-    pieces = known.where(drawn).select("lang", F.xxhash64("doc_id").alias("doc"), F.array(*map(piece, range(PIECES))).alias("pieces"))
-    rows = sorted(tuple(r) for r in pieces.collect())  # bounded by the sample
+    drawn_pieces = known.where(drawn).select("lang", F.xxhash64("doc_id", "text").alias("doc"), F.array(*map(piece, range(PIECES))).alias("pieces"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc", "pieces"))
+    kept = drawn_pieces.distinct().withColumn("_place", place).where(F.col("_place") <= sample_docs).drop("_place")
+    rows = sorted(tuple(r) for r in kept.collect())  # at most ``sample_docs`` of each language
     place = {lang: i for i, lang in enumerate(languages)}
     return languages, [(text, place[lang], doc) for lang, doc, found in rows for text in found if text and has_letter(text)], left_out
 
