@@ -26,11 +26,11 @@ from lodeline.llm.tokenize import encoder
 
 SEQUENCE_LENGTH = 2048
 END_ID = 1
-# Documents of a group on average, and pieces held at a time: a larger group is
-# packed in parts of this many pieces or bytes, with nothing left out.
+# Documents of a group on average, and the most pieces of a group: beyond them the
+# next pieces, in the order of their ids, are a group of their own, with their ids
+# or without. A piece has 8 KB of ids at most, which bounds what a task holds.
 GROUP_ROWS = 2048
-HELD_PIECES = 32_768
-HELD_BYTES = 64_000_000
+HELD_PIECES = 8192
 # Parts of a group number their sequences inside this range.
 _GROUP_BITS = 32
 
@@ -107,22 +107,23 @@ def place_pieces(
 ) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id, start, length``.
 
-    Sequence ids are unique, not dense. The columns of the pieces are kept.
+    Sequence ids are unique, not dense. The columns of the pieces are kept. Groups
+    are dealt to as many tasks as the session shuffles to, whatever their number.
     """
     at = len(pieces.columns)
     group = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("bigint")
     dealt = (
         pieces.withColumn("_group", group)
-        .repartition(max(1, groups), "_group")
+        .repartition("_group")
         .sortWithinPartitions("_group", "doc_id", "start", "length")
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        count, size, now, used = 0, 0, None, 0
+        count, now, used = 0, None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, count, size, used
+            nonlocal held, count, used
             if count:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 bins, offsets = first_fit_decreasing(whole.column("length").to_pylist(), length)
@@ -131,7 +132,7 @@ def place_pieces(
                 whole = whole.select(range(at))
                 whole = whole.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64()))
                 yield from whole.append_column("offset", pa.array(offsets, pa.int64())).to_batches()
-            held, count, size = [], 0, 0
+            held, count = [], 0
 
         for batch in batches:
             marks = np.asarray(batch.column(at))
@@ -144,8 +145,7 @@ def place_pieces(
                     now, used = int(marks[start]), 0
                 held.append(batch.slice(start, end - start))
                 count += int(end - start)
-                size += batch.nbytes * int(end - start) // len(marks)
-                if count >= HELD_PIECES or size >= HELD_BYTES:
+                if count >= HELD_PIECES:
                     yield from flush()
         yield from flush()
 

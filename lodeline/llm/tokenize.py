@@ -25,6 +25,9 @@ _WORD_AND_MARKS = re.compile(r"([ \n]?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 # A worker starts its caches anew beyond these, which bounds its memory.
 CACHE_PIECES = 500_000
 CACHE_CHARS = 16_000_000
+# White space of this length, of whatever kinds, is a long run.
+LONG_RUN = 50_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class PieceCache(dict):
@@ -65,11 +68,12 @@ class Spelling(dict):
         return spelled
 
 
-class TextEncoder:
-    """Ids of texts by the file of a byte-level tokenizer of the tokenizers library.
+class Library:
+    """The tokenizers library with one file.
 
-    Names of special tokens inside a text are ordinary text, as texts are data.
-    A file for which space is no token must drop the case of letters as well.
+    It finds added tokens in a text before anything else, so a text that may hold
+    one is encoded by the library itself. ``marks`` are the beginnings of their
+    names up to the first letter, which no normal form changes.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,7 +81,25 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {re.match(r"[^\w\s]*", name)[0] for name in names}
+
+    def may_hold_added(self, text: str) -> bool:
+        return any(mark in text for mark in self.marks)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+class TextEncoder:
+    """Ids of texts by the file of a byte-level tokenizer of the tokenizers library.
+
+    A file for which space is no token must drop the case of letters as well.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.library = Library(path)
+        self.tokenizer = self.library.tokenizer
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
@@ -95,9 +117,10 @@ class TextEncoder:
         """Ids of each text as uint32; an empty text has none."""
         if self.pieces.known > CACHE_PIECES or self.pieces.chars > CACHE_CHARS:
             self._start_over()
-        places = [self._places(text) if text else None for text in batch]
+        whole = {i: self.library.ids(text) for i, text in enumerate(batch) if self.library.may_hold_added(text)}
+        places = [self._places(text) if text and i not in whole else None for i, text in enumerate(batch)]
         self._learn()
-        return [np.empty(0, np.uint32) if p is None else self._join(p) for p in places]
+        return [whole.get(i, np.empty(0, np.uint32)) if p is None else self._join(p) for i, p in enumerate(places)]
 
     def _places(self, text: str) -> np.ndarray:
         look = self.pieces.__getitem__
@@ -170,7 +193,9 @@ class RankEncoder:
     """Ids of texts by a byte-level file whose ids are in the order of its merges.
 
     Such a file says the same as a table of ranks, which encodes whole texts
-    several times faster; a file of another kind is refused.
+    several times faster; a file of another kind is refused. A run of white space
+    makes its pattern search one level deeper per character, so a text with a very
+    long run is encoded by the library itself, which gives the same ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -184,6 +209,7 @@ class RankEncoder:
         step, model = whole["pre_tokenizer"], whole["model"]
         if whole["normalizer"] or step["type"] != "ByteLevel" or not step["use_regex"] or step["add_prefix_space"]:
             raise ValueError("the file does more than byte-level splitting")
+        self.library = Library(path)
         special = {t["content"] for t in whole["added_tokens"]}
         vocab = {token: i for token, i in model["vocab"].items() if token not in special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -199,7 +225,15 @@ class RankEncoder:
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text as uint32; an empty text has none."""
-        return [np.asarray(self.encoding.encode_ordinary(text), np.uint32) for text in batch]
+        return [
+            self.library.ids(text) if self.library.may_hold_added(text) or self._has_long_run(text)
+            else np.asarray(self.encoding.encode_ordinary(text), np.uint32)
+            for text in batch
+        ]
+
+    @staticmethod
+    def _has_long_run(text: str) -> bool:
+        return len(text) >= LONG_RUN and _LONG_SPACE.search(text) is not None
 
 
 def _byte_spelling() -> dict[str, int]:

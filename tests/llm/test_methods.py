@@ -1,6 +1,8 @@
 """The operators against brute force, exact round trips, held-out accuracy and SQL."""
 
 import random
+import time
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 from oracle import differences
 from tokenizers import Tokenizer
 
-from lodeline.llm import boosting, flac, html_extract, langid, neardup, packing, queries, sharding, tokenfiles
+from lodeline.llm import boosting, dom, flac, html_extract, langid, neardup, packing, queries, sharding, tokenfiles
 from lodeline.llm.chat import Template
 from lodeline.llm.common import ready, table
 from lodeline.llm.components import components
@@ -23,7 +25,7 @@ FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -45,30 +47,32 @@ def test_native_operators_run_no_python(spark, tiny, name):
 @pytest.mark.parametrize("name", FILES)
 def test_encoder_agrees_with_the_library(name, texts):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     got = encoder(public_tokenizers.path(name)).encode(texts)
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("name", FILES)
-def test_names_of_special_tokens_are_ordinary_text(name):
+def test_names_of_special_tokens_are_their_ids_as_in_the_library(name):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
     ids = lambda text: plain.encode(text, add_special_tokens=False).ids
-    special = {i: t.content for i, t in plain.get_added_tokens_decoder().items()}
-    for i, content in special.items():
-        text = f"one {content} two{content}"
-        (found,) = encoder(public_tokenizers.path(name)).encode([text])
-        assert ids(text).count(i) == 2 and not set(found.tolist()) & set(special)
-        plain.encode_special_tokens = True
-        assert found.tolist() == ids(text)
-        plain.encode_special_tokens = False
-    assert encoder(public_tokenizers.path(name)).encode(["one two"])[0].tolist() == ids("one two")
+    for i, token in plain.get_added_tokens_decoder().items():
+        text = f"one {token.content} two{token.content}"
+        found = encoder(public_tokenizers.path(name)).encode([text, "one two", text + "<|", token.content.upper()])
+        assert [f.tolist() for f in found] == [ids(text), ids("one two"), ids(text + "<|"), ids(token.content.upper())]
+        assert found[0].tolist().count(i) == 2
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", " \n"])
+@pytest.mark.parametrize("name", FILES)
+def test_very_long_runs_of_white_space(name, space):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    text = "a" + space * (2_000_000 // len(space)) + "b c"
+    assert encoder(public_tokenizers.path(name)).encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name,query", [(FILES[0], "op4_packing"), (FILES[1], "op7_token_ids")])
 def test_token_queries_give_the_ids_of_the_library(spark, tiny, name, query):
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     docs = table(spark, tiny, "documents").select("doc_id", "text").orderBy("doc_id").collect()
     ids = {d.doc_id: np.array(plain.encode(d.text or "", add_special_tokens=False).ids + [1], "<u4") for d in docs}
     found = queries.QUERIES[query](spark, tiny).collect()
@@ -348,3 +352,48 @@ def test_wasted_bits_by_hand(kind, wasted):
     body = flac.frame_header(0, 16) + bytes(int(written.ljust(-(-len(written) // 8) * 8, "0")[i : i + 8], 2) for i in range(0, len(written), 8))
     check = flac.crc16_of_ranges(np.frombuffer(body, np.uint8), np.array([0]), np.array([len(body)]))[0]
     assert flac._decode_frames([body + int(check).to_bytes(2, "big")]) == [bytes((s << wasted) + 128 for s in samples)]
+
+
+# Pages that never end a tag, a quote or an element
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a ", "<div>", "<p><div>", '<x "', "<a b='\"", "<!", "<?", "<p><button><div>", "<b><div><i></b>", "<li><ul>", "<!--", "<title>", '<a "b>" ', "</x><i>"]
+)
+def test_a_megabyte_of_open_things_is_parsed_in_seconds(unit):
+    page = unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    tree = dom.parse(page)
+    dom.block_text(tree, [True] * len(tree.nodes))
+    dom.parse("<a x" * 250_000 + '"<>"')
+    assert time.perf_counter() - start < 30
+
+
+def test_open_things_of_a_page():
+    read = lambda html: dom.block_text(tree := dom.parse(html), [True] * len(tree.nodes))
+    assert read('<p>one<p title="x>two</p>') == "one two"
+    assert read("<p>a <b") == "a <b" and read("a <!-- b") == "a" and read("a <! b") == "a <! b"
+    assert read("&#" + "9" * 5000 + ";x &#00065; &#x41;") == "\ufffdx A A"
+
+
+# The sample and the memory of the language model
+
+
+def test_the_sample_of_a_language_is_bounded_with_repeated_ids(spark):
+    docs = spark.range(3000).selectExpr("1 AS doc_id", "concat('some words of document ', id) AS text", "'en' AS lang")
+    docs = docs.union(spark.range(500).selectExpr("2 AS doc_id", "'the same text in all of them' AS text", "'de' AS lang"))
+    languages, pieces, _ = langid.labelled_pieces(docs, sample_docs=50)
+    assert languages == ["de", "en"]
+    assert len(pieces) <= 2 * 50 * langid.PIECES and len({p[2] for p in pieces if p[1] == 1}) == 50
+
+
+def test_long_texts_are_counted_slice_by_slice():
+    draw = np.random.default_rng(1)
+    table = draw.normal(size=(1 << langid.BUCKET_BITS, 3)).astype(np.float32)
+    text = " ".join("".join(draw.choice(list("abcdefgh"), 5)) for _ in range(langid.SLICE // 3))
+    assert np.allclose(langid.mean_embedding(text, table), table[langid.features(text)].mean(axis=0, dtype=np.float64), atol=1e-9)
+    long_text = "ab cd " * (20_000_000 // 6)
+    tracemalloc.start()
+    langid.mean_embedding(long_text, table)
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
