@@ -11,6 +11,7 @@ word and the marks, where the same holds.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -103,6 +104,7 @@ class TextEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
+        self.letters_keep, self.lowers = _letters_keep(path)
         self.spelling = Spelling()
         self.space_counts = bool(self._whole([" "])[0]) or self._whole(["A"]) != self._whole(["a"])
         self._start_over()
@@ -144,12 +146,16 @@ class TextEncoder:
         """Ids of one word or run of marks; None where its normal form is more than that."""
         found = self.words.get(word)
         if found is None:
-            spelled = word
-            if self.normalizer is not None:
-                spelled = self.normalizer.normalize_str(word)
-                if not spelled.isascii() and not spelled.isalpha():
-                    return None
-            found = self.words[word] = [t.id for t in self.model.tokenize(spelled.translate(self.spelling))]
+            if self.letters_keep and word.isascii() and word.isalpha():
+                spelled = word.lower() if self.lowers else word
+            else:
+                spelled = word
+                if self.normalizer is not None:
+                    spelled = self.normalizer.normalize_str(word)
+                    if not spelled.isascii() and not spelled.isalpha():
+                        return None
+                spelled = spelled.translate(self.spelling)
+            found = self.words[word] = [t.id for t in self.model.tokenize(spelled)]
         return found
 
     def _parts(self, piece: str) -> list[int] | None:
@@ -189,6 +195,15 @@ class TextEncoder:
         return self.ids[shift + np.arange(len(shift))]
 
 
+def _letters_keep(path: str) -> tuple[bool, bool]:
+    """Whether a file's normal form changes nothing about ASCII letters but their case, and whether it drops that."""
+    with open(path, encoding="utf-8") as file:
+        steps = json.load(file)["normalizer"] or {"type": "Sequence", "normalizers": []}
+    steps = steps["normalizers"] if steps["type"] == "Sequence" else [steps]
+    harmless = lambda s: s["type"] in ("NFC", "NFKC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"})
+    return all(map(harmless, steps)), any(s["type"] == "Lowercase" for s in steps)
+
+
 class RankEncoder:
     """Ids of texts by a byte-level file whose ids are in the order of its merges.
 
@@ -199,8 +214,6 @@ class RankEncoder:
     """
 
     def __init__(self, path: str) -> None:
-        import json
-
         import public_tokenizers
         import tiktoken
 
