@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators.ordered import page_clamped
+from lodeline.operators.depgraph import along, split_edges
+from lodeline.operators.ordered import page_clamped, with_row_number
+from lodeline.session import stored
 
 CALLER_ORDER = ["path", "line", "caller_class", "caller_method", "callee_class"]
 
@@ -172,3 +174,44 @@ def dependency_edges(ctor_params: DataFrame) -> DataFrame:
     return ctor_params.select(
         "project", F.col("type_name").alias("from_type"), F.col("type").alias("to_type")
     ).distinct()
+
+
+def call_levels(calls: DataFrame, targets: DataFrame, depth: int, direction: str = "callers") -> DataFrame:
+    """Methods up to ``depth`` calls away from each target, with the least number of calls.
+
+    Targets have (target) and calls (caller, callee), both names of methods. The
+    levels of all targets are found side by side; a table of what each target has
+    seen ends circles, so a method comes once, at its nearest level. A target that
+    is met again comes with the level at which it is. Rows that a level sends are
+    one per target and method; a method with very many calls is split.
+    """
+    if depth < 1:
+        raise ValueError("the depth is at least 1")
+    at, to = ("dst", "src") if direction == "callers" else ("src", "dst")
+    edges = calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).dropna().distinct()
+    dealt = split_edges(edges, at)
+    frontier = targets.select("target").dropna().distinct().withColumn("id", F.col("target"))
+    seen = None
+    for level in range(1, depth + 1):
+        reached = along(frontier, *dealt, at).select("target", F.col(to).alias("id")).distinct()
+        if seen is not None:
+            reached = reached.join(seen.select("target", "id"), ["target", "id"], "left_anti")
+        frontier = stored(reached)
+        found = frontier.withColumn("level", F.lit(level))
+        seen = found if seen is None else seen.unionByName(found)
+        if level < depth and frontier.isEmpty():
+            break
+    return seen.select("target", F.col("id").alias("method"), "level")
+
+
+def level_pages(levels: DataFrame, size: int = 20) -> DataFrame:
+    """Page of each method inside the level of its target, in the order of names."""
+    keyed = levels.groupBy("target", "level").agg(F.count("*").alias("_n"))
+    keys = [F.col("target"), F.col("level"), F.col("method")]
+    numbered = with_row_number(levels, keys, "_row")
+    first = numbered.groupBy("target", "level").agg(F.min("_row").alias("_first"))
+    placed = numbered.join(first.join(keyed, ["target", "level"]), ["target", "level"])
+    return placed.select(
+        "target", "level", "method", (F.floor((F.col("_row") - F.col("_first")) / size) + 1).alias("page"),
+        F.ceil(F.col("_n") / size).alias("total_pages"),
+    )

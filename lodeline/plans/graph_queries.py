@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodeline.operators import callgraph as G
+from lodeline.operators import depgraph as D
 from lodeline.plans import views as V
 from lodeline.plans.registered import query
 
@@ -185,3 +186,117 @@ def dependency_degrees(spark, d):
         )
     )
     return edges.select(side.alias("e")).groupBy("e.type", "e.side").agg(F.count("*").alias("edges"))
+
+
+# Types of a project depend on types with higher numbers, and now and then on lower ones.
+DEPS = """deps_v AS (
+  SELECT 'L' || (o_custkey // 60) || ':T' || f AS from_type, 'L' || (o_custkey // 60) || ':T' ||
+    (CASE WHEN o_orderkey % 25 = 0 THEN greatest(f - o_custkey % 60, 0) ELSE f + 8 + o_orderkey % 45 END) AS to_type,
+    CASE o_orderstatus WHEN 'F' THEN 'ConstructorInjection' WHEN 'O' THEN 'PropertyInjection' ELSE 'MethodParameter' END AS source
+  FROM (SELECT *, (o_orderkey * 13 + o_custkey) % 120 AS f FROM orders)),
+edges_v AS (SELECT DISTINCT from_type, to_type FROM deps_v)"""
+REACH = "reach AS (SELECT from_type AS a, to_type AS b FROM edges_v UNION SELECT a, to_type FROM reach JOIN edges_v ON b = from_type)"
+COMPONENTS = """nodes AS (SELECT from_type AS node FROM edges_v UNION SELECT to_type FROM edges_v),
+  comps AS (SELECT node, least(node, coalesce(min(x.b), node)) AS cycle, count(x.b) > 0 AS cyclic
+    FROM nodes LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a) x ON x.a = node GROUP BY node),
+  sizes AS (SELECT cycle, count(*) AS members FROM comps GROUP BY cycle),
+  between AS (SELECT DISTINCT f.cycle AS c, t.cycle AS d FROM edges_v JOIN comps f ON from_type = f.node JOIN comps t ON to_type = t.node
+    WHERE f.cycle <> t.cycle)"""
+
+
+def dependencies(spark, d):
+    orders = V.table(spark, d, "orders").withColumn("f", (F.col("o_orderkey") * 13 + F.col("o_custkey")) % 120)
+    back = F.greatest(F.col("f") - F.col("o_custkey") % 60, F.lit(0))
+    to = F.when(F.col("o_orderkey") % 25 == 0, back).otherwise(F.col("f") + 8 + F.col("o_orderkey") % 45)
+    project = F.expr("o_custkey div 60")
+    status = F.col("o_orderstatus")
+    source = F.when(status == "F", "ConstructorInjection").when(status == "O", "PropertyInjection").otherwise("MethodParameter")
+    return orders.select(
+        V.text("L", project, ":T", F.col("f")).alias("from_type"), V.text("L", project, ":T", to).alias("to_type"), source.alias("source")
+    )
+
+
+@query(
+    "dependency_cycles",
+    f"""WITH RECURSIVE {DEPS}, {REACH}, {COMPONENTS},
+    inner_v AS (SELECT f.cycle, from_type, to_type FROM edges_v JOIN comps f ON from_type = f.node JOIN comps t ON to_type = t.node
+      WHERE f.cycle = t.cycle AND f.cyclic),
+    away AS (SELECT DISTINCT cycle, cycle AS node, 0 AS d FROM comps WHERE cyclic
+      UNION SELECT i.cycle, from_type, d + 1 FROM away JOIN inner_v i ON i.cycle = away.cycle AND to_type = away.node
+        JOIN sizes z ON z.cycle = i.cycle WHERE d < z.members),
+    nearest AS (SELECT cycle, node, min(d) AS d FROM away GROUP BY ALL),
+    lengths AS (SELECT cycle, min(d) AS length FROM away WHERE node = cycle AND d > 0 GROUP BY cycle),
+    walks AS (SELECT cycle, length, cycle AS node, [cycle] AS path FROM lengths
+      UNION ALL SELECT w.cycle, length, i.to_type, list_append(path, i.to_type) FROM walks w
+        JOIN inner_v i ON i.cycle = w.cycle AND i.from_type = w.node
+        JOIN nearest n ON n.cycle = w.cycle AND n.node = i.to_type AND n.d = length - len(path) WHERE len(path) < length)
+    SELECT cycle, members, length::INT AS length, array_to_string(min(path), ' -> ') AS path FROM walks JOIN sizes USING (cycle)
+    WHERE len(path) = length GROUP BY ALL""",
+)
+def dependency_cycles(spark, d):
+    return D.Condensed(dependencies(spark, d)).cycles()
+
+
+@query(
+    "cycle_members",
+    f"""WITH RECURSIVE {DEPS}, {REACH}, {COMPONENTS} SELECT cycle, node FROM comps WHERE cyclic""",
+)
+def cycle_members(spark, d):
+    return D.Condensed(dependencies(spark, d)).cycle_members()
+
+
+@query(
+    "dependency_depth",
+    f"""WITH RECURSIVE {DEPS}, {REACH}, {COMPONENTS},
+    deep AS (SELECT DISTINCT cycle AS c, 0 AS d FROM comps UNION SELECT between.c, deep.d + 1 FROM deep JOIN between ON between.d = deep.c)
+    SELECT node, max(d)::INT AS depth FROM comps JOIN deep ON c = cycle GROUP BY node""",
+)
+def dependency_depth(spark, d):
+    return D.Condensed(dependencies(spark, d)).depths()
+
+
+@query(
+    "transitive_dependencies",
+    f"""WITH RECURSIVE {DEPS}, {REACH}, nodes AS (SELECT from_type AS node FROM edges_v UNION SELECT to_type FROM edges_v)
+    SELECT node, count(b) FILTER (b <> node) AS reached FROM nodes LEFT JOIN reach ON a = node GROUP BY node""",
+)
+def transitive_dependencies(spark, d):
+    return D.Condensed(dependencies(spark, d)).reach()
+
+
+@query(
+    "graph_statistics",
+    f"""WITH {DEPS}, n AS (SELECT node, sum(o) AS o, sum(i) AS i FROM (SELECT from_type AS node, 1 AS o, 0 AS i FROM edges_v
+      UNION ALL SELECT to_type, 0, 1 FROM edges_v) GROUP BY node)
+    SELECT 'total_classes' AS measure, NULL::VARCHAR AS name, count(*)::DOUBLE AS value FROM n
+    UNION ALL SELECT 'total_dependencies', NULL, sum(o)::DOUBLE FROM n
+    UNION ALL SELECT 'mean_dependencies', NULL, sum(o)::DOUBLE / count(*) FROM n
+    UNION ALL SELECT 'dependencies_by_source', source, count(DISTINCT (from_type, to_type))::DOUBLE FROM deps_v GROUP BY source
+    UNION ALL (SELECT 'most_depended_upon', node, i::DOUBLE FROM n WHERE i > 0 ORDER BY i DESC, node LIMIT 10)
+    UNION ALL (SELECT 'most_dependent', node, o::DOUBLE FROM n WHERE o > 0 ORDER BY o DESC, node LIMIT 10)
+    UNION ALL SELECT 'god_class', node, (o + i)::DOUBLE FROM n WHERE o + i >= 14""",
+)
+def graph_statistics(spark, d):
+    return D.statistics(dependencies(spark, d), god_class_degree=14)
+
+
+@query(
+    "call_levels",
+    f"""WITH RECURSIVE {DEPS}, targets AS (SELECT DISTINCT to_type AS target FROM edges_v WHERE to_type LIKE '%0'),
+    up AS (SELECT target, from_type AS method, 1 AS level FROM targets JOIN edges_v ON to_type = target
+      UNION SELECT target, from_type, level + 1 FROM up JOIN edges_v ON to_type = method WHERE level < 3),
+    down AS (SELECT target, to_type AS method, 1 AS level FROM targets JOIN edges_v ON from_type = target
+      UNION SELECT target, to_type, level + 1 FROM down JOIN edges_v ON from_type = method WHERE level < 3),
+    found AS (SELECT 'callers' AS direction, target, method, min(level)::INT AS level FROM up GROUP BY ALL
+      UNION ALL SELECT 'callees', target, method, min(level)::INT FROM down GROUP BY ALL)
+    SELECT *, ceil(row_number() OVER (PARTITION BY direction, target, level ORDER BY method) / 5)::BIGINT AS page,
+      ceil(count(*) OVER (PARTITION BY direction, target, level) / 5)::BIGINT AS total_pages FROM found""",
+)
+def call_levels(spark, d):
+    calls = dependencies(spark, d).select(F.col("from_type").alias("caller"), F.col("to_type").alias("callee"))
+    targets = calls.where(F.endswith("callee", F.lit("0"))).select(F.col("callee").alias("target"))
+    sides = [
+        G.level_pages(G.call_levels(calls, targets, 3, direction), 5).withColumn("direction", F.lit(direction))
+        for direction in ("callers", "callees")
+    ]
+    return sides[0].unionByName(sides[1])
