@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators.depgraph import along, split_edges
+from lodeline.operators.depgraph import HUB_EDGES, along, split_edges
 from lodeline.operators.ordered import page_clamped, with_row_number
 from lodeline.session import stored
 
@@ -46,15 +46,27 @@ def find_target(methods: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def callers(calls: DataFrame, targets: DataFrame) -> DataFrame:
+def callers(calls: DataFrame, targets: DataFrame, hot_calls: int = HUB_EDGES) -> DataFrame:
     """Call sites of each target by name alone; calls from the target's own file are left out.
 
-    Targets have (target_path, target_method) and one row each.
+    Targets have (target_path, target_method) and one row each. A name with more
+    than ``hot_calls`` calls is found first; its calls are dealt to parts of about
+    so many, and its targets are repeated for each part. There are at most as many
+    such names as the calls divided by ``hot_calls``.
     """
     named = targets.select("target_path", "target_method").distinct()
-    return calls.join(named, F.col("callee_method") == F.col("target_method")).where(
-        F.col("path") != F.col("target_path")
-    )
+    wanted = named.select(F.col("target_method").alias("callee_method")).distinct()
+    counts = calls.join(wanted, "callee_method", "left_semi").groupBy("callee_method").agg(F.count("*").alias("_n"))
+    parts = stored(counts.where(F.col("_n") > hot_calls).select("callee_method", F.ceil(F.col("_n") / hot_calls).cast("int").alias("_parts")))
+    apart = F.col("path") != F.col("target_path")
+    if parts.isEmpty():
+        return calls.join(named, F.col("callee_method") == F.col("target_method")).where(apart)
+    part = F.pmod(F.xxhash64("path", "line", "caller_class", "caller_method"), F.coalesce("_parts", F.lit(1))).cast("int")
+    dealt = calls.join(parts, "callee_method", "left").withColumn("_part", part).select(*calls.columns, "_part")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    repeated = named.join(parts.withColumnRenamed("callee_method", "target_method"), "target_method", "left").select(*named.columns, every.alias("_to"))
+    met = (F.col("callee_method") == F.col("target_method")) & (F.col("_part") == F.col("_to"))
+    return dealt.join(repeated, met).where(apart).drop("_part", "_to")
 
 
 def callees(calls: DataFrame, targets: DataFrame) -> DataFrame:
