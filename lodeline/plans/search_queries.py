@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import scoring as S
 from lodeline.operators import ordered as O
+from lodeline.operators import postings as P
 from lodeline.operators import search as Q
 from lodeline.plans import views as V
 from lodeline.plans.registered import query
+from lodeline.session import stored
 
 # one query per tier: exact, prefix, initials, word, tokens, substring, subsequence, none
 TIER_QUERIES = ["SmallRing", "small", "SR", "ring", "ring all", "allri", "srg", "zzz"]
@@ -416,3 +418,59 @@ def not_found(spark, d):
 @query("available_names", f"WITH {V.METHODS} SELECT DISTINCT path, method_name AS available FROM methods_v")
 def available_names(spark, d):
     return Q.available_names(V.methods(spark, d), "path")
+
+
+# passages of the benchmark, words of parts, and short pieces of words
+ASKED = """asked AS (SELECT DISTINCT query FROM (SELECT substr(text, 9, 11) AS query FROM benchmark UNION ALL SELECT upper(split_part(p_name, ' ', 1)) FROM part
+  UNION ALL SELECT substr(p_name, 1, 2) FROM part UNION ALL SELECT substr(text, 2, 1) FROM benchmark) WHERE length(query) > 0)"""
+
+
+def asked(spark, d):
+    name, passage = V.table(spark, d, "part").select("p_name"), V.table(spark, d, "benchmark").select("text")
+    parts = [passage.select(F.substring("text", 9, 11).alias("query")), name.select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("query")),
+             name.select(F.substring("p_name", 1, 2).alias("query")), passage.select(F.substring("text", 2, 1).alias("query"))]
+    every = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    return every.where(F.length("query") > 0).distinct()
+
+
+def posted_documents(spark, d):
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    posted = stored(P.postings(docs, "doc_id", "text"))
+    return docs, posted, stored(P.gram_counts(posted))
+
+
+@query(
+    "postings_search",
+    f"""WITH {ASKED} SELECT query, doc_id FROM asked JOIN documents ON contains(lower(text), lower(query))""",
+)
+def postings_search(spark, d):
+    docs, posted, counts = posted_documents(spark, d)
+    return P.search_texts(asked(spark, d), docs, posted, counts, "doc_id", "text")
+
+
+@query(
+    "postings_share",
+    f"""WITH {ASKED}, g AS (SELECT DISTINCT query, substr(lower(query), i, 3) AS gram FROM asked, range(1, 12) r(i) WHERE i + 2 <= length(query)),
+    c AS (SELECT query, gram, count(doc_id) AS n FROM g LEFT JOIN documents ON contains(lower(text), gram) GROUP BY ALL),
+    p AS (SELECT query, gram FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY n, gram) <= 4),
+    m AS (SELECT query, doc_id FROM p JOIN documents ON contains(lower(text), gram) GROUP BY query, doc_id
+      HAVING count(*) = (SELECT count(*) FROM p q WHERE q.query = p.query))
+    SELECT query, count(doc_id) AS candidates, count(doc_id)::DOUBLE / (SELECT count(*) FROM documents) AS share
+    FROM (SELECT query FROM asked WHERE length(query) >= 3) LEFT JOIN m USING (query) GROUP BY query""",
+)
+def postings_share(spark, d):
+    docs, posted, counts = posted_documents(spark, d)
+    return P.share_read(asked(spark, d), docs, posted, counts, "doc_id")
+
+
+@query(
+    "postings_update",
+    """WITH now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN NULL WHEN doc_id % 10 = 4 THEN 'changed ' || doc_id ELSE text END AS text FROM documents)
+    SELECT doc_id, len(list_distinct(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])))::BIGINT AS grams
+    FROM (SELECT doc_id, string_split(lower(text) || chr(0) || chr(0), '') AS c FROM now WHERE length(text) > 0)""",
+)
+def postings_update(spark, d):
+    docs, posted, _ = posted_documents(spark, d)
+    key = F.col("doc_id")
+    changed = docs.where((key % 10 == 3) | (key % 10 == 4)).select("doc_id", F.when(key % 10 == 4, V.text("changed ", key)).alias("text"))
+    return P.update_postings(posted, changed, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("grams"))
