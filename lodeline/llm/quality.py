@@ -21,6 +21,8 @@ from lodeline.llm.common import GAP, written
 # A line is common above this many documents of its host and this share of them.
 MAX_DOCS = 10
 MAX_SHARE = 0.002
+# Parts that the lines of a host are dealt to when they meet its size.
+HOST_PARTS = 64
 # A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 LEAST_WORDS = 10
@@ -112,12 +114,20 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def common_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """``host, line_key, line_docs`` of the lines above the limit of their host."""
+    """``host, line_key, line_docs`` of the lines above the limit of their host.
+
+    Lines meet the size of their host in parts, to each of which it is repeated,
+    so neither these lines nor those that are joined with them later are dealt
+    out by the host alone.
+    """
     seen = lines.select("host", "line_key", "text_key").distinct()
     counts = seen.groupBy("host", "line_key").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > max_docs)
     hosts = lines.select("host", "text_key").distinct().groupBy("host").agg(F.count("*").alias("_host_docs"))
-    hosts = hosts.withColumnRenamed("host", "_host")
-    return counts.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).where(
+    parts = F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1)))
+    hosts = hosts.withColumnRenamed("host", "_host").withColumn("_host_part", parts)
+    counts = counts.withColumn("_part", F.pmod("line_key", F.lit(HOST_PARTS)).cast("int"))
+    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("_part") == F.col("_host_part"))
+    return counts.join(hosts, same).where(
         F.col("line_docs") > F.lit(max_share) * F.col("_host_docs")
     ).select("host", "line_key", "line_docs")
 
