@@ -66,31 +66,46 @@ def debounce_default_gap(spark, d):
     return C.debounce(rows, ["user_id"], "at_us", 300000, F.col("event_id"))
 
 
-def in_files(spark, d, label, parts=4):
-    """The events as files in order of time, for streams of several batches: folder, and the stream of it."""
+def in_parts(spark, d, run, root, parts=4):
+    """Feed the events to a stream in order of time: every part is written, then ``run`` drains what is new.
+
+    A part has as many files as the table has tasks, and one run takes them all, so
+    no task sees more than its share. ``run(stream, ticks)`` gives a query; the last
+    run has no events, only a tick of the clock past all that is open.
+    """
     events = V.table(spark, d, "events")
     bounds = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     step = (bounds["high"] - bounds["low"]) / parts
-    root = fresh_dir(spark, label)
-    for i in range(parts):
-        low = F.col("ts") >= F.lit(bounds["low"] + i * step) if i else F.lit(True)
-        high = F.col("ts") < F.lit(bounds["low"] + (i + 1) * step) if i < parts - 1 else F.lit(True)
-        events.where(low & high).coalesce(1).write.parquet(f"{root}/in/{i}")
-    return root, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    clock = spark.range(1).select(F.lit(CLOCK).alias("at"))
+    clock.where("false").write.parquet(f"{root}/ticks/none")
+    for i in range(parts + 1):
+        if i < parts:
+            low = F.col("ts") >= F.lit(bounds["low"] + i * step) if i else F.lit(True)
+            high = F.col("ts") < F.lit(bounds["low"] + (i + 1) * step) if i < parts - 1 else F.lit(True)
+            events.where(low & high).write.parquet(f"{root}/in/{i}")
+        else:
+            clock.write.parquet(f"{root}/ticks/last")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in/*")
+        ticks = spark.readStream.schema(clock.schema).parquet(f"{root}/ticks/*")
+        run(stream, ticks).awaitTermination()
 
 
-FAR = 10**18
+# A time after all events.
+CLOCK = 4102444800000000
 
 
 @query("debounce_stream", f"{BASE}, b AS ({debounce_sql(HOUR)}) SELECT user_id, event_id, action FROM b")
 def debounce_stream(spark, d):
-    """Four batches, then the last bursts once the clock has passed their gap."""
-    root, events = in_files(spark, d, "debounce")
-    rows = V.changes(events).select("user_id", "event_id", "action", "at_us")
-    job = J.debounce_job(spark, f"{root}/out", f"{root}/state", rows.schema, ["user_id"], "at_us", HOUR, "event_id")
-    job.run(rows, f"{root}/checkpoint").awaitTermination()
-    job.flush(3, FAR)
-    return spark.read.schema(rows.schema).parquet(f"{root}/out/part=*").select("user_id", "event_id", "action")
+    """Four runs over the events, then the last bursts once the clock has passed their gap."""
+    root = fresh_dir(spark, "debounce")
+
+    def run(events, ticks):
+        rows = V.changes(events).select("user_id", "event_id", "action", "at_us")
+        bursts = C.quiet_bursts(rows, ["user_id"], "at_us", HOUR, "event_id", ticks)
+        return J.run_to_sink(bursts.select("user_id", "event_id", "action"), f"{root}/out", f"{root}/state")
+
+    in_parts(spark, d, run, root)
+    return spark.read.parquet(f"{root}/out")
 
 
 # Index upkeep -----------------------------------------------------------------
@@ -120,40 +135,43 @@ def apply_changes(spark, d):
 
 @query("index_upkeep_stream", f"{BASE}, {FEED}, {FINAL} SELECT * FROM final_v")
 def index_upkeep_stream(spark, d):
-    """Four batches over the feed."""
+    """Four runs over the feed."""
     rows = batch(spark, d)
     start = rows.select("project", "path").distinct().withColumn("state", F.lit("old"))
     now = rows.where("user_id < 100").select("project", "path").distinct().withColumn("state", F.lit("new"))
-    root, events = in_files(spark, d, "upkeep")
+    root = fresh_dir(spark, "upkeep")
     X.write_index(start, f"{root}/index")
-    J.index_upkeep(
-        feed_with_order(V.changes(events)),
-        f"{root}/index",
-        f"{root}/state",
-        start.schema,
-        lambda keys: now.join(keys, ["project", "path"], "left_semi"),
-        ["project", "path"],
-        ["at_us", "event_id", "action"],
-    ).awaitTermination()
+
+    def run(events, ticks):
+        return J.index_upkeep(
+            feed_with_order(V.changes(events)),
+            f"{root}/index",
+            f"{root}/state",
+            start.schema,
+            lambda keys: now.join(keys, ["project", "path"], "left_semi"),
+            ["project", "path"],
+            ["at_us", "event_id", "action"],
+        )
+
+    in_parts(spark, d, run, root)
     return X.read_index(spark, f"{root}/index", start.schema).select("project", "path", "state")
 
 
 @query("watch_job", f"{BASE}, {FEED}, {FINAL} SELECT * FROM final_v")
 def watch_job(spark, d):
-    """Feed, debounce per path and upkeep in one job, over four batches and a flush."""
+    """Feed, debounce per path and upkeep in one job: four runs, and one by the clock."""
     rows = batch(spark, d)
     start = rows.select("project", "path").distinct().withColumn("state", F.lit("old"))
     now = rows.where("user_id < 100").select("project", "path").distinct().withColumn("state", F.lit("new"))
-    root, events = in_files(spark, d, "watch")
+    root = fresh_dir(spark, "watch")
     X.write_index(start, f"{root}/index")
-    changes = V.changes(events).select("project", "path", "old_path", "action", F.col("at_us").alias("ts"), F.col("event_id").alias("seq"))
-    job, running = J.watch_job(
-        changes, f"{root}/index", f"{root}/state", f"{root}/checkpoint", start.schema,
-        lambda keys: now.join(keys, ["project", "path"], "left_semi"), HOUR,
-    )
-    running.awaitTermination()
-    job.flush(3, FAR)
-    job.apply("flush-3")
+
+    def run(events, ticks):
+        changes = V.changes(events).select("project", "path", "old_path", "action", F.col("at_us").alias("ts"), F.col("event_id").alias("seq"))
+        load = lambda keys: now.join(keys, ["project", "path"], "left_semi")
+        return J.watch_job(changes, ticks, f"{root}/index", f"{root}/checkpoint", start.schema, load, HOUR)
+
+    in_parts(spark, d, run, root)
     return X.read_index(spark, f"{root}/index", start.schema).select("project", "path", "state")
 
 
@@ -179,7 +197,7 @@ def drain_triggers_stream(spark, d):
     rows = batch(spark, d).select(shout.alias("name"), (F.col("event_id") % 2).alias("run"))
     known, root = registry(spark, d), fresh_dir(spark, "triggers")
     for run in (0, 1):
-        rows.where(F.col("run") == run).select("name").coalesce(1).write.parquet(f"{root}/in/{run}")
+        rows.where(F.col("run") == run).select("name").write.parquet(f"{root}/in/{run}")
         names = spark.readStream.schema("name string").parquet(f"{root}/in/*")
         J.drain_job(names, known, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("project", F.col("batch").cast("bigint").alias("run"))
@@ -204,17 +222,15 @@ def live_entries(spark, d):
     SELECT user_id, min(at_us) AS created_at, max(at_us) + {DAY} AS expires_at, count(*) AS writes FROM s GROUP BY user_id, run""",
 )
 def expirations_stream(spark, d):
-    """Four batches, then the last lives once the clock has passed their end."""
-    root, events = in_files(spark, d, "expirations")
-    rows = V.changes(events).select("user_id", "at_us")
-    kind = rows.schema["user_id"].dataType.simpleString()
-    job = J.expiry_job(spark, f"{root}/out", f"{root}/state", ["user_id"], f"user_id {kind}", "at_us", DAY)
-    job.run(rows, f"{root}/checkpoint").awaitTermination()
-    job.flush(3, FAR)
-    lives = spark.read.schema(job.schema).parquet(f"{root}/out/part=*")
-    return lives.select(
-        "user_id", F.col("first").alias("created_at"), (F.col("last") + DAY).alias("expires_at"), F.col("n").alias("writes")
-    )
+    """Four runs over the writes, then the last lives once the clock has passed their end."""
+    root = fresh_dir(spark, "expirations")
+
+    def run(events, ticks):
+        lives = E.expirations(V.changes(events).select("user_id", "at_us"), ["user_id"], "at_us", DAY, ticks)
+        return J.run_to_sink(lives, f"{root}/out", f"{root}/state")
+
+    in_parts(spark, d, run, root)
+    return spark.read.parquet(f"{root}/out").select("user_id", "created_at", "expires_at", "writes")
 
 
 @query(

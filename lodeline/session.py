@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 # Settings the operators count on; all of them can be set on a running session.
-# Skewed joins are split even where that costs a shuffle, and sessions of a
-# stream are merged before the shuffle.
+# Skewed joins are split even where that costs a shuffle, sessions of a stream are
+# merged before the shuffle, and what streams hold lies outside the heap.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -60,7 +60,7 @@ def debounce_stream(changes: DataFrame, keys: list[str], gap: str, delay: str, t
     """The same on a stream without an end: a burst is emitted once the watermark has passed its gap.
 
     What is open when the input goes quiet waits for more input; where it must
-    not, use ``jobs.debounce_job``.
+    not, use ``quiet_bursts``.
     """
     return (
         changes.withWatermark("ts", delay)
@@ -74,6 +74,40 @@ def debounce_stream(changes: DataFrame, keys: list[str], gap: str, delay: str, t
     )
 
 
+def clocked(rows: DataFrame, at: str, ticks: DataFrame, delay: str) -> DataFrame:
+    """Rows of a stream with the time ``_ts``, whose watermark also follows a clock.
+
+    ``at`` counts microseconds. ``ticks`` is a stream of (at bigint), the same
+    count, from whatever goes on when the rows do not: a rate source, or files that
+    a scheduler writes. Ticks move the watermark and go no further. Rows without a
+    time are left out, and so are those that come later than ``delay`` behind the
+    watermark; Spark counts the latter in the progress of the query.
+    """
+    timed = rows.withColumns({"_ts": F.timestamp_micros(at), "_tick": F.lit(False)})
+    clock = ticks.select(F.timestamp_micros("at").alias("_ts"), F.lit(True).alias("_tick"))
+    marked = timed.unionByName(clock, allowMissingColumns=True).withWatermark("_ts", delay)
+    # A condition on the time stays above the watermark, which so sees the ticks.
+    return marked.where(F.when(F.col("_ts").isNotNull(), ~F.col("_tick"))).drop("_tick")
+
+
+def session(gap: int) -> Column:
+    """Rows of ``_ts`` less than ``gap`` microseconds from the next; the engine joins rows up to the gap it is given."""
+    return F.session_window("_ts", f"{gap - 1} microseconds")
+
+
+def quiet_bursts(
+    changes: DataFrame, keys: list[str], at: str, gap: int, tie: str, ticks: DataFrame, delay: str = "10 minutes"
+) -> DataFrame:
+    """``debounce`` on a stream: the last change of every burst, once the watermark has passed its gap.
+
+    ``at`` and ``gap`` (2 or more) count microseconds, ``tie`` orders equal times.
+    Open bursts are sessions in the state store of the query, merged before the
+    shuffle; ``ticks`` ends the last ones when the input goes quiet (see ``clocked``).
+    """
+    last = F.max_by(F.struct(*changes.columns), F.struct(at, tie)).alias("_last")
+    return clocked(changes, at, ticks, delay).groupBy(*keys, session(gap).alias("_burst")).agg(last).select("_last.*")
+
+
 def latest_per_key(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in changes.columns if c not in keys]
     last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")

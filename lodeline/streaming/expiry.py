@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.streaming.changes import clocked, session
+
 
 def live_entries(writes: DataFrame, keys: list[str], at: str, ttl: int, now: int) -> DataFrame:
     """Entries that still live at ``now``: an entry lives ``ttl`` from its last write."""
@@ -17,17 +19,19 @@ def live_entries(writes: DataFrame, keys: list[str], at: str, ttl: int, now: int
     )
 
 
-def expirations(writes: DataFrame, keys: list[str], ttl: str, delay: str) -> DataFrame:
-    """Expiry events of a stream of writes.
+def expirations(writes: DataFrame, keys: list[str], at: str, ttl: int, ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Lives of the entries of a stream of writes, given out when they end: ``created_at, expires_at, writes``.
 
-    Every write renews the entry, so its life is a session with the gap ``ttl``
-    and it ends when the session does. No state is kept in Python.
+    ``at`` and ``ttl`` count microseconds. Every write renews an entry, so its life
+    is a session that the state store of the query holds and that ends when the
+    watermark passes its expiry; ``ticks`` ends lives when no write comes (see
+    ``changes.clocked``).
     """
     return (
-        writes.withWatermark("ts", delay)
-        .groupBy(*keys, F.session_window("ts", ttl).alias("life"))
-        .agg(F.count("*").alias("writes"))
-        .select(*keys, F.col("life.start").alias("created_at"), F.col("life.end").alias("expires_at"), "writes")
+        clocked(writes, at, ticks, delay)
+        .groupBy(*keys, session(ttl).alias("_life"))
+        .agg(F.min(at).alias("created_at"), (F.max(at) + ttl).alias("expires_at"), F.count("*").alias("writes"))
+        .drop("_life")
     )
 
 

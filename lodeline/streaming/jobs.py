@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -12,8 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodeline.operators.policy import enabled_only
 from lodeline.session import cut_lineage, settle
 from lodeline.sources.index import read_touched, rewrite_touched, write_index
-from lodeline.streaming.changes import apply_changes, change_feed, debounce, drain_triggers, latest_per_key
-from lodeline.streaming.expiry import joined_lives
+from lodeline.streaming.changes import apply_changes, change_feed, drain_triggers, latest_per_key, quiet_bursts
 
 
 def run_to_sink(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
@@ -29,96 +28,6 @@ def run_to_sink(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
-
-
-class CarriedRows:
-    """Rows that a stream keeps from batch to batch, as Parquet folders by batch number.
-
-    A batch reads what the one before it left and writes its own folders over
-    what an earlier attempt of the same batch wrote, so a repeated batch gives
-    the same. ``at`` is a whole number of time. ``settle_rows(rows, horizon)``
-    gives what is done by then and what stays open. Nothing waits for a
-    watermark: ``flush`` gives out what is done by a clock, however quiet the
-    input is.
-    """
-
-    def __init__(
-        self, spark: SparkSession, sink: str, state: str, at: str, slack: int,
-        schema: T.StructType, opened: Callable[[DataFrame], DataFrame], settle_rows: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]],
-    ) -> None:
-        self.spark, self.sink, self.state, self.at, self.slack = spark, sink, state, at, slack
-        self.schema, self.opened, self.settle_rows = schema, opened, settle_rows
-
-    def _held(self, batch_id: int) -> DataFrame:
-        path = f"{self.state}/open/batch={batch_id}"
-        if not _exists(self.spark, path):
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(path)
-
-    def _horizon(self, batch_id: int) -> int | None:
-        path = f"{self.state}/marks/batch={batch_id}"
-        return self.spark.read.parquet(path).first()["horizon"] if _exists(self.spark, path) else None
-
-    def step(self, batch: DataFrame, batch_id: int) -> None:
-        """Take a batch in. Rows behind what is done already are counted, and taken as well."""
-        before = self._horizon(batch_id - 1)
-        behind = F.lit(False) if before is None else F.col(self.at) <= before - self.slack
-        seen = batch.agg(F.max(self.at).alias("most"), F.count_if(behind).alias("late")).first()
-        horizon = max((t for t in (before, seen["most"]) if t is not None), default=None)
-        rows = self._held(batch_id - 1).unionByName(self.opened(batch))
-        done, open_ = self.settle_rows(rows, horizon) if horizon is not None else (rows.where("false"), rows)
-        done.write.mode("overwrite").parquet(f"{self.sink}/part=batch-{batch_id}")
-        open_.write.mode("overwrite").parquet(f"{self.state}/open/batch={batch_id}")
-        mark = self.spark.createDataFrame([(horizon, seen["late"])], "horizon bigint, late bigint")
-        mark.write.mode("overwrite").parquet(f"{self.state}/marks/batch={batch_id}")
-
-    def run(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
-        """Take in what is there and stop."""
-        settle(self.spark)
-        return (
-            stream.writeStream.foreachBatch(self.step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        )
-
-    def flush(self, last_batch: int, clock: int) -> None:
-        """Give out what is done by ``clock``; run between runs of the stream, and as often as wanted."""
-        done, open_ = map(cut_lineage, self.settle_rows(self._held(last_batch), clock))
-        done.write.mode("append").parquet(f"{self.sink}/part=flush-{last_batch}")
-        open_.write.mode("overwrite").parquet(f"{self.state}/open/batch={last_batch}")
-
-    def late_rows(self) -> DataFrame:
-        """Late rows of every batch."""
-        return self.spark.read.parquet(f"{self.state}/marks").select("batch", "late")
-
-
-def debounce_job(spark: SparkSession, sink: str, state: str, schema: T.StructType, keys: list[str], at: str, gap: int, tie: str) -> CarriedRows:
-    """The last change of every burst of a stream: given out once ``gap`` has passed."""
-
-    def settle_rows(rows: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-        last = debounce(rows, keys, at, gap, F.col(tie))
-        over = F.col(at) + gap <= horizon
-        return last.where(over), last.where(~over)
-
-    return CarriedRows(spark, sink, state, at, gap, schema, lambda batch: batch, settle_rows)
-
-
-def expiry_job(spark: SparkSession, sink: str, state: str, keys: list[str], key_schema: str, at: str, ttl: int) -> CarriedRows:
-    """Lives of stored entries, given out when they end; every write renews an entry by ``ttl``."""
-    schema = T.StructType.fromDDL(f"{key_schema}, first bigint, last bigint, n bigint")
-
-    def opened(batch: DataFrame) -> DataFrame:
-        return batch.select(*keys, F.col(at).alias("first"), F.col(at).alias("last"), F.lit(1).cast("bigint").alias("n"))
-
-    def settle_rows(rows: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame]:
-        lives = joined_lives(rows, keys, ttl)
-        over = F.col("last") + ttl <= horizon
-        return lives.where(over), lives.where(~over)
-
-    return CarriedRows(spark, sink, state, at, ttl, schema, opened, settle_rows)
-
-
 def drain_job(names: DataFrame, registry: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Projects that a queue of names asks for: each once per batch, so a later request counts again."""
     settle(names.sparkSession)
@@ -130,30 +39,18 @@ def drain_job(names: DataFrame, registry: DataFrame, sink: str, checkpoint: str)
 
 
 def watch_job(
-    events: DataFrame, root: str, state: str, checkpoint: str, schema: T.StructType,
-    load: Callable[[DataFrame], DataFrame], gap: int,
-) -> tuple[CarriedRows, StreamingQuery]:
+    events: DataFrame, ticks: DataFrame, root: str, checkpoint: str, schema: T.StructType,
+    load: Callable[[DataFrame], DataFrame], gap: int, delay: str = "10 minutes",
+) -> StreamingQuery:
     """Feed, debounce per path and upkeep as one job over (project, path, old_path, action, ts, seq) events.
 
-    ``ts`` is a whole number. Changes that have been quiet for ``gap`` go to the
-    stored index, which takes every file as it is by then.
+    ``ts`` counts microseconds. Changes that have been quiet for ``gap``, by the
+    events or by the clock of ``ticks``, go to the stored index, which takes every
+    file as it is by then.
     """
-    spark = events.sparkSession
-    row = T.StructType.fromDDL("project string, path string, action string, ts bigint, seq bigint")
     feed = change_feed(events.withColumn("ts", F.struct("ts", "seq"))).select("project", "path", "action", "ts.ts", "ts.seq")
-    job = debounce_job(spark, f"{state}/quiet", f"{state}/state", row, ["project", "path"], "ts", gap, "seq")
-
-    def apply(part: str) -> None:
-        quiet = spark.read.schema(row).parquet(f"{state}/quiet/part={part}")
-        upkeep_step(quiet, root, schema, load, ["project", "path"], ["ts", "seq", "action"])
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        job.step(batch, batch_id)
-        apply(f"batch-{batch_id}")
-
-    job.apply = apply
-    query = feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    return job, query
+    quiet = quiet_bursts(feed, ["project", "path"], "ts", gap, "seq", ticks, delay)
+    return index_upkeep(quiet, root, checkpoint, schema, load, ["project", "path"], ["ts", "seq", "action"])
 
 
 def upkeep_step(
@@ -163,6 +60,8 @@ def upkeep_step(
     """Bring the stored index up to date with a batch of changes; a repeated one gives the same rows."""
     spark = batch.sparkSession
     latest = cut_lineage(latest_per_key(batch, keys, order))
+    if latest.isEmpty():
+        return
     held = read_touched(spark, root, schema, latest)
     after = apply_changes(held, latest, load(latest.select(*keys)), keys, order)
     rewrite_touched(after, root, latest)
@@ -184,6 +83,8 @@ def index_upkeep(
     rows again, because every changed file is taken as it is now.
     """
 
+    settle(changes.sparkSession)
+
     def step(batch: DataFrame, batch_id: int) -> None:
         upkeep_step(batch, root, schema, load, keys, order)
 

@@ -131,14 +131,83 @@ def test_late_delete_does_not_remove_a_file_that_exists(spark, tiny, tmp_path):
     assert rows(X.read_index(spark, root, now.schema).select("path", "state")) == [("a.cs", "new")]
 
 
-def test_late_rows_are_counted_and_a_flush_may_be_repeated(spark, tmp_path):
-    schema = "k int, at bigint, id bigint"
-    for i, data in enumerate([[(1, 100, 1), (2, 500, 2)], [(1, 120, 3), (3, 900, 4)]]):
-        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    frame = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    job = J.debounce_job(spark, f"{tmp_path}/out", f"{tmp_path}/state", frame.schema, ["k"], "at", 50, "id")
-    job.run(frame, f"{tmp_path}/checkpoint").awaitTermination()
-    for clock in (940, 960, 960):
-        job.flush(1, clock)
-    assert rows(spark.read.parquet(f"{tmp_path}/out").select("id")) == [(1,), (2,), (3,), (4,)]
-    assert rows(job.late_rows()) == [(0, 0), (1, 1)]
+def feed(spark, tmp_path, name, i, data, schema):
+    """Write one more part of an input and give the stream of all its parts."""
+    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/{i}")
+    return spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}/*")
+
+
+MS = 1000
+SECOND = 1000 * MS
+
+
+def drained_bursts(spark, tmp_path, batches, gap, delay="0 seconds"):
+    """What a stream of changes has given out after each of the batches (changes, clock)."""
+    seen, progress = [], []
+    for i, (data, clock) in enumerate(batches):
+        changes = feed(spark, tmp_path, "in", i, data, "k int, at bigint, id bigint")
+        ticks = feed(spark, tmp_path, "ticks", i, [(clock,)] if clock is not None else [], "at bigint")
+        bursts = C.quiet_bursts(changes, ["k"], "at", gap, "id", ticks, delay)
+        query = J.run_to_sink(bursts, f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination()
+        progress += query.recentProgress
+        seen.append(rows(spark.read.schema("k int, at bigint, id bigint").parquet(f"{tmp_path}/out").select("id")))
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+    return seen, dropped
+
+
+def test_a_burst_goes_on_after_a_restart_and_a_quiet_input_still_ends_it(spark, tmp_path):
+    batches = [
+        ([(1, 1 * SECOND, 1), (2, 5 * SECOND, 2)], None),
+        # the burst of key 1 ended while the stream was down, that of key 2 goes on
+        ([(2, 5 * SECOND + 400 * MS, 3)], None),
+        ([], 5 * SECOND + 800 * MS),
+        ([], 6 * SECOND),
+        ([], 6 * SECOND),
+    ]
+    seen, dropped = drained_bursts(spark, tmp_path, batches, SECOND // 2)
+    assert seen == [[(1,)], [(1,)], [(1,)], [(1,), (3,)], [(1,), (3,)]]
+    assert dropped == 0
+
+
+def test_stream_separates_at_exactly_the_gap(spark, tmp_path):
+    at = [0, 500 * MS, 1000 * MS - 1, 1000 * MS - 1, 1500 * MS - 1]
+    data = [(1, 10 * SECOND + t, i) for i, t in enumerate(at)]
+    seen, _ = drained_bursts(spark, tmp_path, [(data, None), ([], 60 * SECOND)], SECOND // 2)
+    assert seen[-1] == [(0,), (3,), (4,)]
+
+
+def test_rows_within_the_delay_count_and_later_ones_are_reported(spark, tmp_path):
+    batches = [
+        ([(1, 10 * SECOND, 1), (2, 20 * SECOND, 2)], None),
+        ([(1, 10 * SECOND + 100 * MS, 3), (3, 1 * SECOND, 4), (None, 30 * SECOND, 5), (3, None, 6)], None),
+        ([], 90 * SECOND),
+    ]
+    seen, dropped = drained_bursts(spark, tmp_path, batches, SECOND // 2, "15 seconds")
+    assert seen[-1] == [(2,), (3,), (5,)]
+    assert dropped == 1
+
+
+def test_stream_of_bursts_agrees_with_the_batch(spark, tmp_path):
+    rng = random.Random(11)
+    times = sorted((0 if rng.random() < 0.6 else rng.randint(0, 5), rng.randint(0, 400) * 50 * MS) for _ in range(400))
+    data = sorted([(k, SECOND + t, i) for i, (k, t) in enumerate(times)], key=lambda r: r[1])
+    cuts = [data[:150], data[150:300], data[300:]]
+    seen, dropped = drained_bursts(spark, tmp_path, [*[(part, None) for part in cuts], ([], 100 * SECOND)], SECOND // 5, "1 second")
+    whole = spark.createDataFrame(data, "k int, at bigint, id bigint")
+    assert seen[-1] == rows(C.debounce(whole, ["k"], "at", SECOND // 5, F.col("id")).select("id"))
+    assert dropped == 0
+
+
+def test_expirations_agree_with_lives_and_survive_restarts(spark, tmp_path):
+    writes = [[("a", 1 * SECOND), ("b", 2 * SECOND)], [("a", 1 * SECOND + 900 * MS), ("c", 4 * SECOND), (None, 4 * SECOND)], []]
+    for i, data in enumerate(writes):
+        stream = feed(spark, tmp_path, "in", i, data, "k string, at bigint")
+        ticks = feed(spark, tmp_path, "ticks", i, [] if data else [(9 * SECOND,)], "at bigint")
+        lives = E.expirations(stream, ["k"], "at", SECOND, ticks, "1 second")
+        J.run_to_sink(lives, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    name = F.coalesce("k", F.lit("null"))
+    got = spark.read.parquet(f"{tmp_path}/out").select(name, "created_at", "expires_at", "writes")
+    want = spark.createDataFrame([row for part in writes for row in part], "k string, at bigint")
+    assert rows(got) == rows(E.sliding_lives(want, ["k"], "at", SECOND).select(name, "created", "expires", "accesses"))
+    assert got.count() == 4
