@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.policy import path_key, write_reason
 from lodeline.functions.text import read_line_count
+from lodeline.operators.ordered import with_next, with_row_number
 
 LAST_LINE = 2147483647
+# Lines of a replaced range that one row is turned into.
+CHUNK_LINES = 4096
 
 
 def validate_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,80 +39,85 @@ def validate_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _spans(patches: DataFrame) -> DataFrame:
-    """``path, _spans``: the lines that the patches of each file take, in order.
+    """``path, seq, first, last``: the lines that each patch takes.
 
-    An insert after line N stands at N + 1; appends take none. The patches of a
-    file are no more than its lines, so they are one array.
+    An insert after line N stands at N + 1; appends take none.
     """
     is_insert = F.col("action") == "insert"
     first = F.when(is_insert, F.col("start_line") + 1).otherwise(F.col("start_line"))
     last = F.when(is_insert, F.col("start_line") + 1).otherwise(F.col("end_line"))
-    span = F.when(F.col("action") != "append", F.struct(first.alias("first"), "seq", last.alias("last")))
-    return patches.groupBy("path").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
-
-
-def _clashes(spans: Column) -> Column:
-    """Neighbours of which the second begins before the first ends."""
-    following = F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0)))
-    pairs = F.zip_with(
-        F.slice(spans, F.lit(1), F.size(following)), following,
-        lambda a, b: F.struct(
-            a["seq"].alias("seq"), a["first"].alias("first"), a["last"].alias("last"),
-            b["seq"].alias("next_seq"), b["first"].alias("next_first"),
-        ),
-    )
-    return F.filter(pairs, lambda p: p["last"] >= p["next_first"])
+    return patches.where("action <> 'append'").select("path", "seq", first.alias("first"), last.alias("last"))
 
 
 def patch_conflicts(patches: DataFrame) -> DataFrame:
-    """Neighbouring patches of a file that overlap."""
-    return _spans(patches).select("path", F.explode(_clashes(F.col("_spans"))).alias("_c")).select("path", "_c.*")
+    """Neighbouring patches of a file that overlap.
+
+    Neighbours are found by places in one order over all files, so a file with
+    most of the patches is spread over all tasks.
+    """
+    order = [F.col("first"), F.col("seq"), F.col("last")]
+    pairs = with_next(_spans(patches), ["path"], order, {"next_seq": "seq", "next_first": "first"})
+    return pairs.where(F.col("last") >= F.col("next_first")).select("path", "seq", "first", "last", "next_seq", "next_first")
 
 
 def accepted_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
     """Patches of files where every patch is valid and none overlap."""
     judged = validate_patches(patches, files).groupBy("path").agg(F.bool_and(F.col("reason") == "ok").alias("_valid"))
-    clear = _spans(patches).where(F.size(_clashes(F.col("_spans"))) == 0).select("path")
-    return patches.join(judged.where("_valid").join(clear, "path").select("path"), "path", "left_semi")
+    clashing = patch_conflicts(patches).select("path").distinct()
+    clear = judged.where("_valid").join(clashing, "path", "left_anti")
+    return patches.join(clear.select("path"), "path", "left_semi")
 
 
 def _lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda line: F.rtrim(line, F.lit("\r")))
 
 
+def _replaced_lines(patches: DataFrame) -> DataFrame:
+    """``path, _at`` of every old line that a patch replaces or deletes, long ranges by chunks."""
+    start, end = F.col("start_line").cast("bigint"), F.col("end_line").cast("bigint")
+    ranges = patches.where(F.col("action").isin("patch", "delete") & (start <= end)).select(
+        "path", start.alias("_start"), end.alias("_end"), F.explode(F.sequence(start, end, F.lit(CHUNK_LINES).cast("bigint"))).alias("_from")
+    )
+    upto = F.least(F.col("_from") + (CHUNK_LINES - 1), F.col("_end"))
+    return ranges.select("path", F.explode(F.sequence(F.col("_from"), upto)).alias("_at"))
+
+
 def apply_patches(patches: DataFrame, files: DataFrame) -> DataFrame:
     """Lines of every patched file after its patches; ``patches`` must be accepted ones.
 
-    A file and its patches are one row. In the order (line, replaced before
-    inserted, seq) each patch gives the old lines since the one before it and its
-    own new lines; the rest of the file and the appends follow. So the outcome
-    does not depend on the order of the input.
+    Old lines that stay and new lines are rows in one order (line, replaced
+    before inserted, seq, place in the patch) over all files, so neither the lines
+    nor the patches of a file come together in one task, and the outcome does
+    not depend on the order of the input. Appends that are equal in all columns
+    are all appended, one after the other.
     """
-    is_insert, is_append = F.col("action") == "insert", F.col("action") == "append"
-    fresh = F.when(F.col("action") == "delete", F.array().cast("array<string>")).otherwise(_lines(F.coalesce("content", F.lit(""))))
-    patch = F.struct(
-        F.when(is_append, F.lit(LAST_LINE)).otherwise(F.col("start_line")).cast("int").alias("at"),
-        is_insert.cast("int").alias("slot"), "seq", fresh.alias("fresh"),
-        # the old lines before it, and those it is done with
-        F.when(is_insert, F.col("start_line")).otherwise(F.col("start_line") - 1).cast("int").alias("before"),
-        F.when(is_insert, F.col("start_line")).otherwise(F.col("end_line")).cast("int").alias("through"), is_append.alias("appends"),
-    )
-    changes = patches.groupBy("path").agg(F.array_sort(F.collect_list(patch)).alias("_all"))
-    changes = changes.select(
-        "path", F.filter("_all", lambda p: ~p["appends"]).alias("_edits"), F.filter("_all", lambda p: p["appends"]).alias("_appends")
-    )
-    old = files.select("path", F.slice(_lines(F.col("content")), F.lit(1), read_line_count(F.col("content"))).alias("_old"))
-    since = lambda i: F.when(i > 0, F.get("_edits", i - 1)["through"]).otherwise(F.lit(0))
-    pieces = F.transform(
-        "_edits", lambda p, i: F.concat(F.slice("_old", since(i) + 1, F.greatest(p["before"] - since(i), F.lit(0))), p["fresh"])
-    )
-    done = F.coalesce(F.try_element_at("_edits", F.lit(-1))["through"], F.lit(0))
-    rest = F.slice("_old", done + 1, F.greatest(F.size("_old") - done, F.lit(0)))
-    appended = F.flatten(F.transform("_appends", lambda p: p["fresh"]))
-    joined = old.join(changes, "path").select("path", F.concat(F.flatten(pieces), rest, appended).alias("_new"))
-    return joined.select("path", F.posexplode("_new").alias("_at", "line")).select(
-        "path", (F.col("_at") + 1).cast("bigint").alias("line_no"), "line"
-    )
+    is_append = F.col("action") == "append"
+    touched = patches.select("path").distinct()
+    text = F.col("content")
+    old = files.join(touched, "path", "left_semi").select(
+        "path", F.posexplode(F.slice(_lines(text), F.lit(1), read_line_count(text))).alias("_pos", "line")
+    )
+    kept = old.select("path", (F.col("_pos") + 1).cast("bigint").alias("_at"), "line").join(
+        _replaced_lines(patches), ["path", "_at"], "left_anti"
+    )
+    old_slot = [F.lit(v).cast(t).alias(n) for n, t, v in (("_slot", "int", 0), ("_seq", "bigint", 0), ("_key", "bigint", 0), ("_copy", "int", 0), ("_pos", "int", 0))]
+    columns = ["path", "action", "start_line", "seq", "content"]
+    alike = patches.where("action <> 'delete'").groupBy(*columns).agg(F.count("*").cast("int").alias("_copies"))
+    copies = alike.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    fresh = copies.select(
+        "path",
+        F.when(is_append, F.lit(LAST_LINE)).otherwise(F.col("start_line")).cast("bigint").alias("_at"),
+        (F.col("action") == "insert").cast("int").alias("_slot"),
+        F.col("seq").cast("bigint").alias("_seq"),
+        F.xxhash64("content").alias("_key"),
+        "_copy",
+        F.posexplode(_lines(F.coalesce("content", F.lit("")))).alias("_pos", "line"),
+    )
+    every = kept.select("path", "_at", *old_slot, "line").unionByName(fresh)
+    order = ["path", "_at", "_slot", "_seq", "_key", "_copy", "_pos"]
+    placed = with_row_number(every, [F.col(c) for c in order], "_place")
+    first = placed.groupBy("path").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "path").select("path", (F.col("_place") - F.col("_first") + 1).alias("line_no"), "line")
 
 
 def lines_affected(patches: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Reading source trees.
 
 Spark's file sources leave out files of no bytes, so the trees are listed by
-tasks, one per folder below the root, and the contents of the rest are read by
-Spark. Paths are those below the root, in plain characters. Listing needs a file
+tasks, in rounds over the folders found, and the contents of the rest are read by
+Spark. Listing runs when a reader is called; the rows are read from its copy. Paths are those below the root, in plain characters. Listing needs a file
 system that pyarrow knows (local, HDFS, S3, …).
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,7 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions.policy import extension, file_name
+from lodeline.session import stored
 
+# Entries that a task lists below one folder before it gives the rest back.
+LISTED_ENTRIES = 10_000
 _LISTING = "path string, size_bytes bigint, modified_at timestamp"
 
 
@@ -58,41 +62,61 @@ def glob_pattern(glob: str) -> str:
     return f"^{''.join(out)}$"
 
 
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """Path below the root, size and time of every file, those of no bytes too."""
-    base = _qualified(spark, root)
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    # What stands directly in the root: a task for each folder.
-    top = [status.getPath().getName() for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    uri = re.sub(r"^file:/+", "file:///", base)
+def _entries(spark: SparkSession, uri: str, folders: DataFrame, limit: int) -> DataFrame:
+    """What stands in the ``folders``, paths below the root.
+
+    A task goes down into what it finds until it has listed ``limit`` entries
+    for a folder; the folders it has not opened by then come out as ``is_open``.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, start = fs.FileSystem.from_uri(uri)
-
-        def files(folder: str) -> Iterator[fs.FileInfo]:
-            for info in system.get_file_info(fs.FileSelector(folder)):
-                if info.type == fs.FileType.Directory:
-                    yield from files(info.path)
-                elif info.type == fs.FileType.File:
-                    yield info
-
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                info = system.get_file_info(f"{start.rstrip('/')}/{name}")
-                found = list(files(info.path)) if info.type == fs.FileType.Directory else [info]
+        start = start.rstrip("/")
+
+        def opened(folder: str) -> Iterator[pa.RecordBatch]:
+            todo, seen = [folder], 0
+            while todo and seen < limit:
+                here = todo.pop()
+                found = system.get_file_info(fs.FileSelector(f"{start}/{here}" if here else start or "/"))
+                seen += len(found)
+                below = [(info, info.path[len(start) + 1 :]) for info in found]
                 # As in Spark, names that begin with a dot or an underscore are hidden.
-                rows = [f for f in found if not any(p[:1] in "._" for p in f.path[len(start.rstrip("/")) + 1 :].split("/"))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([f.path[len(start.rstrip("/")) + 1 :] for f in rows], pa.string()),
-                        pa.array([f.size for f in rows], pa.int64()),
-                        pa.array([f.mtime for f in rows], pa.timestamp("us", tz="UTC")),
-                    ],
-                    names=["path", "size_bytes", "modified_at"],
-                )
-
-    names = spark.createDataFrame([(name,) for name in top], "name string").repartition(max(1, min(len(top), 256)))
-    return names.mapInArrow(walk, _LISTING)
+                below = [(info, path) for info, path in below if path.rsplit("/", 1)[-1][:1] not in "._"]
+                todo += [path for info, path in below if info.type == fs.FileType.Directory]
+                files = [(path, info.size, info.mtime) for info, path in below if info.type == fs.FileType.File]
+                yield batch(files, False)
+            yield batch([(path, None, None) for path in todo], True)
+
+        def batch(rows: list[tuple], is_open: bool) -> pa.RecordBatch:
+            paths, sizes, times = zip(*rows) if rows else ((), (), ())
+            columns = [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(times, pa.timestamp("us", tz="UTC"))]
+            columns.append(pa.array([is_open] * len(rows), pa.bool_()))
+            return pa.RecordBatch.from_arrays(columns, names=["path", "size_bytes", "modified_at", "is_open"])
+
+        for part in batches:
+            for folder in part.column(0).to_pylist():
+                yield from opened(folder)
+
+    return folders.mapInArrow(walk, f"{_LISTING}, is_open boolean")
+
+
+def _listed(spark: SparkSession, root: str, limit: int = LISTED_ENTRIES) -> DataFrame:
+    """Path below the root, size and time of every file, those of no bytes too.
+
+    The tree is listed in rounds. What a round leaves unopened is dealt out anew
+    to all tasks, so a tree that hangs on one folder is spread as soon as it
+    branches. Rounds are written to the shared folder; a lost task lists its
+    folders again.
+    """
+    uri = re.sub(r"^file:/+", "file:///", _qualified(spark, root))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    folders, waiting, rounds = spark.createDataFrame([("",)], "path string"), 1, []
+    while waiting:
+        listed = stored(_entries(spark, uri, folders.repartition(min(waiting, tasks)), limit))
+        rounds.append(listed.where("not is_open").drop("is_open"))
+        folders = listed.where("is_open").select("path")
+        waiting = folders.count()
+    return reduce(DataFrame.union, rounds)
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

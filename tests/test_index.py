@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.text import split_line_count
 from lodeline.sources import index as X
-from lodeline.sources.files import read_files, scan_files
+from lodeline.sources.files import _listed, read_files, scan_files
 from lodeline.streaming.jobs import full_pass
 
 ROW = "project string, path string, n int"
@@ -119,6 +119,21 @@ def test_trees_with_odd_names(spark, tmp_path):
     assert scan_files(spark, str(root), "*.{cs,txt}").count() == len(seen) + 1 and both.count() <= len(seen) + 1
 
 
+@pytest.mark.parametrize("limit", [1, 7, 10_000])
+def test_a_tree_under_one_folder_is_dealt_out(spark, tmp_path, limit):
+    root, want = tmp_path / "tree", {}
+    for i in range(60):
+        path = f"only/d{i % 6}/e{i % 12}/f{i}.cs"
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x" * i)
+        want[path] = i
+    (root / "only" / "_hidden").mkdir()
+    (root / "only" / "_hidden" / "no.cs").write_text("x")
+    (root / "only" / "bare").mkdir()
+    got = [(r.path, r.size_bytes) for r in _listed(spark, str(root), limit).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_only_live_folders_are_opened(spark, tmp_path):
     root, schema = str(tmp_path / "i"), "project string, path string, n bigint"
     rows_ = spark.range(400).selectExpr("concat('p:%/', id % 3) AS project", "concat(id, '.cs') AS path", "id AS n")

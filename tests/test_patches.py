@@ -107,6 +107,35 @@ def test_apply_matches_plain_lists(spark):
     assert got == want
 
 
+def test_one_file_with_all_lines_and_patches(spark):
+    n = 40_000
+    edits = [("delete", 1, 9_000, None)]
+    edits += [("patch", i, i + 1, f"p{i}\nq{i}") if i % 20 else ("insert", i, i, f"i{i}") for i in range(9_010, n - 1_000, 10)]
+    edits += [("append", 0, 0, f"end{i}") for i in range(2_000)]
+    table = spark.createDataFrame([("big", i, *e) for i, e in enumerate(edits)], PATCH).repartition(8)
+    source = spark.createDataFrame([("big", "\n".join(f"l{i}" for i in range(1, n + 1))), ("other", "x")], FILE)
+    done = P.apply_patches(P.accepted_patches(table, source), source)
+    lines = done.orderBy("line_no").collect()
+    assert [r.line for r in lines] == plain([f"l{i}" for i in range(1, n + 1)], edits)
+    assert [r.line_no for r in lines] == list(range(1, len(lines) + 1))
+    # the lines of the one file lie in ranges of the order, not in one task
+    assert P.patch_conflicts(table.union(table.where("seq = 5"))).count() == 1
+
+
+def test_equal_appends_and_nothing_left(spark):
+    source = spark.createDataFrame([("f", "1\n2"), ("g", "1")], FILE)
+    twice = spark.createDataFrame([("f", 0, "append", 0, 0, "a\nb")] * 2 + [("g", 0, "delete", 1, 1, None)], PATCH)
+    got = [(r.path, r.line_no, r.line) for r in P.apply_patches(twice, source).orderBy("path", "line_no").collect()]
+    assert got == [("f", i + 1, line) for i, line in enumerate(["1", "2", "a", "b", "a", "b"])]
+
+
+def test_no_plan_gathers_a_file(spark, file):
+    table = patches(spark, ("patch", 1, 1, "x"), ("append", 0, 0, "y"))
+    for made in (P.patch_conflicts(table), P.apply_patches(table, file)):
+        plan = made._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "windowspecdefinition(path" not in plan
+
+
 def test_one_bad_patch_refuses_the_file(spark, file):
     bad = patches(spark, ("patch", 1, 1, "x"), ("delete", 9, 9, None))
     assert P.accepted_patches(bad, file).isEmpty()
