@@ -2,17 +2,19 @@
 
 A document is the set of its word shingles, and equal sets are one class. Each
 class has a signature of many universal hash minima; classes that share a band
-meet in a bucket. Not all pairs of a bucket are formed:
+meet in a bucket. Pairs are verified on the signatures first, then on the full
+sets. Not all pairs of a bucket are formed:
 
-1. Each member meets the bucket's leader. The pairs are confirmed on the full
-   sets, and the links tie classes to components.
+1. Each member meets the bucket's leader, and the links tie classes to components.
 2. Buckets whose members are now one component are done. In the rest, members of
-   different components meet: one by one in small buckets, in blocks of bounded
-   size in large ones, where only a spanning forest of the links leaves a task.
+   different components meet: one by one in small buckets; in large ones the members
+   outside the largest component meet all, in blocks of bounded size, of which
+   only a spanning forest of the links leaves a task.
 
-So no link between classes that share a band is lost, and what is written grows
-with the members of the buckets. A pair at the threshold shares no band with a
-probability below one in a hundred million.
+A signature keeps the low 8 bits of each minimum, which agree whenever the minima
+do. Signatures refuse a pair that agrees in fewer places than a pair at the
+threshold does but once in a hundred million; such a pair shares no band as
+seldom. What passes is decided on the full sets, so no estimate makes a link.
 
 Defined cases: a null text, or one without words, is an empty set and linked
 with nothing; rows with equal ids are rows like others; a null id is not the
@@ -22,9 +24,10 @@ least of a component that has another. Sets are 64-bit hashes of the shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,6 +53,29 @@ def band_count(percent: int, rows: int = BAND_ROWS, miss: float = MISS) -> int:
     return ceil(log(miss) / log(1 - (percent / 100) ** rows))
 
 
+def agreement_bound(places: int, percent: int, miss: float = MISS) -> int:
+    """Most places so that a pair at the threshold agrees in fewer with a probability below ``miss``."""
+    p, below, need = percent / 100, 0.0, 0
+    while need < places:
+        below += comb(places, need) * p**need * (1 - p) ** (places - need)
+        if below > miss:
+            break
+        need += 1
+    return need
+
+
+def agreeing(need: int):
+    """Whether two columns of signatures agree in at least ``need`` places."""
+
+    def agree(a: pd.Series, b: pd.Series) -> pd.Series:
+        if a.empty:
+            return pd.Series([], dtype=bool)
+        left, right = (np.frombuffer(b"".join(side), np.uint8).reshape(len(side), -1) for side in (a, b))
+        return pd.Series(np.count_nonzero(left == right, axis=1) >= need)
+
+    return F.pandas_udf(agree, "boolean")
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct shingles as 64-bit hashes; a text of fewer words is one shingle."""
     found = list(map(xxhash.xxh3_64_intdigest, text.lower().split()))
@@ -99,7 +125,7 @@ class Signer:
 
 
 def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """``doc_id, text_key, n_shingles, set_key, bands`` of every document; empty sets have no key."""
+    """``doc_id, text_key, n_shingles, set_key, bands, signature`` of every document; empty sets have no key."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands)
@@ -110,11 +136,12 @@ def signed(docs: DataFrame, words: int, bands: int) -> DataFrame:
             keys = signer.band_keys(minima).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys))
             full = [set_key(s) if len(s) else None for s in sets]
-            columns = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(full, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
+            low = pa.array([m.astype(np.uint8).tobytes() for m in minima], pa.binary())
+            columns = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(full, pa.binary()), lists, low]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "set_key", "bands", "signature"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+    schema = f"doc_id {kind}, text_key bigint, n_shingles bigint, set_key binary, bands array<bigint>, signature binary"
     return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(sign, schema)
 
 
@@ -144,25 +171,43 @@ def _similar_sizes(a, b, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``u, v`` whose full sets are similar."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, need: int) -> DataFrame:
+    """Those of the pairs ``u, v`` whose signatures agree and whose full sets are similar.
+
+    Sets are joined only to the pairs that their signatures leave.
+    """
+    left = sets.select(F.col("set_key").alias("u"), F.col("signature").alias("_sign_u"))
+    right = sets.select(F.col("set_key").alias("v"), F.col("signature").alias("_sign_v"))
+    verified = pairs.select("u", "v").join(left, "u").join(right, "v").where(agreeing(need)("_sign_u", "_sign_v")).select("u", "v")
     left = sets.select(F.col("set_key").alias("u"), F.col("shingles").alias("_left"))
     right = sets.select(F.col("set_key").alias("v"), F.col("shingles").alias("_right"))
-    both = pairs.select("u", "v").join(left, "u").join(right, "v")
+    both = verified.join(right, "v").join(left, "u")
     inter = F.size(F.array_intersect("_left", "_right"))
     return both.where(_linked(inter, F.size("_left"), F.size("_right"), percent)).select("u", "v")
 
 
-def block_links(units: DataFrame, percent: int) -> DataFrame:
-    """Links between different components inside each unit of ``unit, set_key, root, shingles``.
+def block_links(units: DataFrame, percent: int, need: int) -> DataFrame:
+    """Links between different components inside each unit of ``unit, set_key, root, signature, shingles``.
 
-    A unit is bounded, and what leaves it is a spanning forest of its links. The
+    A unit is bounded, and what leaves it is a spanning forest of its links. Sets
+    whose signature agrees with none of another component go no further. The
     intersections are products of a matrix that has a row per set and a column
     per shingle held by more than one.
     """
 
+    def met(table: pa.Table) -> np.ndarray:
+        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(table), -1)
+        roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        same = np.zeros((len(table), len(table)), np.int16)
+        for place in signs.T:
+            same += place[:, None] == place[None, :]
+        return ((same >= need) & (roots[:, None] != roots[None, :])).any(axis=1)
+
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        table = table.filter(pa.array(met(table))).combine_chunks()
+        if not len(table):
+            return pa.table({"u": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
         keys = table.column("set_key").to_pylist()
         names: dict[bytes, int] = {}
         roots = np.array([names.setdefault(r, len(names)) for r in table.column("root").to_pylist()])
@@ -209,9 +254,11 @@ def near_duplicates(
     ``component_id`` is the least id that links lead to, ``kept`` whether it is
     the document's own.
     """
-    light = written(signed(docs, words, band_count(percent, rows)), "signatures")
+    bands = band_count(percent, rows)
+    need = agreement_bound(bands * rows, percent)
+    light = written(signed(docs, words, bands), "signatures")
     classes = light.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
     members = classes.select("set_key", "n", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min(F.struct("set_key", "n")).alias("leader"), F.count("*").alias("_size")).where("_size > 1")
@@ -223,17 +270,19 @@ def near_duplicates(
     led = met.where((F.col("set_key") != F.col("leader")) & _similar_sizes(F.col("n"), F.col("leader_n"), percent))
     pairs = led.select(F.col("set_key").alias("u"), F.col("leader").alias("v")).distinct()
 
-    reps = met.select("set_key").distinct().join(classes.select("set_key", "rep"), "set_key")
+    reps = written(met.select("set_key").distinct().join(classes.select("set_key", "rep", "signature"), "set_key"), "reps")
     texts = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")))
-    sets = written(full_sets(texts, words).dropDuplicates(["set_key"]), "sets")
-    links = written(confirmed(pairs, sets, percent), "links")
+    full = full_sets(texts, words).dropDuplicates(["set_key"])
+    sets = written(full.join(reps.select("set_key", "signature"), "set_key"), "sets")
+    links = written(confirmed(pairs, sets, percent, need), "links")
 
     roots = written(components(links), "roots")
     tied = met.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
     tied = tied.select("band", "set_key", "n", F.coalesce("root", "set_key").alias("root"))
-    open_ = tied.groupBy("band").agg(
-        F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("root").alias("_a"), F.max("root").alias("_b")
-    ).where("_a <> _b").drop("_a", "_b")
+    by_root = tied.groupBy("band", "root").agg(F.count("*").alias("_m"), F.sum("n").alias("_n"))
+    open_ = by_root.groupBy("band").agg(
+        F.sum("_m").alias("m"), F.sum("_n").alias("shingles"), F.count("*").alias("_roots"), F.max(F.struct("_m", "_n", "root")).alias("most")
+    ).where("_roots > 1").drop("_roots")
     rest = written(tied.join(open_, "band"), "rest")
 
     small = rest.where(F.col("m") <= PAIRED_MEMBERS).select("band", "set_key", "n", "root")
@@ -244,14 +293,21 @@ def near_duplicates(
     )
     more = a.join(b, crossing).select(F.col("a.set_key").alias("u"), F.col("b.set_key").alias("v")).distinct()
 
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    large = rest.where(F.col("m") > PAIRED_MEMBERS).withColumn("_blocks", blocks)
-    own = F.pmod(F.xxhash64("set_key"), F.col("_blocks")).cast("int")
-    dealt = large.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    # The largest component of a bucket meets only the others, which meet all.
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK_MEMBERS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    large = rest.where(F.col("m") > PAIRED_MEMBERS).select(
+        "band", "set_key", (F.col("root") == F.col("most.root")).alias("_in_most"), "root",
+        blocks(F.col("m") - F.col("most._m"), F.col("shingles") - F.col("most._n")).alias("_others"),
+        blocks(F.col("most._m"), F.col("most._n")).alias("_most"),
+    )
+    place = F.xxhash64("set_key")
+    own = F.when(F.col("_in_most"), F.col("_others") + F.pmod(place, F.col("_most"))).otherwise(F.pmod(place, F.col("_others"))).cast("int")
+    meets = F.col("_others") + F.when(F.col("_in_most"), 0).otherwise(F.col("_most"))
+    dealt = large.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), meets - 1)))
     unit = F.struct("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
     units = dealt.select(unit.alias("unit"), "set_key", "root").join(sets, "set_key")
 
-    found = confirmed(more, sets, percent).union(block_links(units, percent))
+    found = confirmed(more, sets, percent, need).union(block_links(units, percent, need))
     all_links = written(links.union(found), "links")
     all_roots = written(components(all_links), "roots")
 

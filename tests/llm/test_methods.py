@@ -186,6 +186,47 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, seed, members):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), least[i], least[i] == i) for i in sets}
 
 
+def test_signatures_refuse_no_link_and_most_strangers():
+    rng = np.random.default_rng(5)
+    for percent in (80, 85):
+        bands = neardup.band_count(percent)
+        need, signer = neardup.agreement_bound(bands * neardup.BAND_ROWS, percent), neardup.Signer(bands)
+        agree = lambda a, b: np.count_nonzero(signer.minima(a).astype(np.uint8) == signer.minima(b).astype(np.uint8))
+        draw = lambda n: np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for size in (20, 200, 2000):
+            whole = draw(size)
+            kept = -(-percent * len(whole) // 100)
+            assert all(agree(whole, rng.choice(whole, kept, replace=False)) >= need for _ in range(40))
+            assert all(agree(draw(size), draw(size)) < need for _ in range(40))
+            assert all(agree(whole, rng.choice(whole, size * 4 // 10, replace=False)) < need for _ in range(40))
+
+
+def test_a_bucket_of_one_component_and_a_stranger(spark, monkeypatch):
+    """Members of the large component are copied once, not once for each of its blocks."""
+    ready(spark)
+    monkeypatch.setattr(neardup, "PAIRED_MEMBERS", 2)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 10)
+    seen = []
+    plain = neardup.block_links
+    monkeypatch.setattr(neardup, "block_links", lambda units, *rest: seen.append(units) or plain(units, *rest))
+    base = [f"w{i}" for i in range(60)]
+    near = [(i, " ".join([*base, f"own{i}"])) for i in range(200)]
+    # Shares most of the words with them, yet stays below the threshold.
+    strangers = [(1000 + i, " ".join([*base[: 40 - i], *[f"s{i}.{k}" for k in range(8)]])) for i in range(3)]
+    frame = spark.createDataFrame(near + strangers, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame).collect()}
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in near + strangers}
+    least = {i: i for i in sets}
+    for _ in range(3):
+        for a, b in combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+    # At most one copy for each block of the strangers that a bucket holds, and theirs for its blocks.
+    copies = seen[0].groupBy("unit.band").count().collect()
+    assert copies and all(r["count"] <= 200 + 3 * (1 + 20 + 1) for r in copies)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     found = components(spark.createDataFrame(edges, "u bigint, v bigint"))
