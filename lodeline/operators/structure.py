@@ -99,8 +99,7 @@ def _closed(text: Column) -> Column:
         opens = F.length(whole) - F.length(F.translate(whole, "<([{", ""))
         rounds = F.when(opens <= 3, opens).otherwise(_nesting(whole))
         step = lambda acc, _: _hide(acc, inner, lambda p: F.translate(p, _MEANT, _IN_BRACKETS))
-        every = F.filter(F.sequence(F.lit(0), rounds), lambda i: i > 0)
-        return F.aggregate(every, whole, step)
+        return F.when(opens > 0, F.aggregate(F.sequence(F.lit(1), rounds), whole, step)).otherwise(whole)
 
     return _once(text, close)
 
@@ -136,7 +135,8 @@ def statements(files: DataFrame) -> DataFrame:
     marked = F.split(F.regexp_replace(plain, "[{};]", f"$0{_EDGE}"), _EDGE)
     # The files are dealt out whole, before they are taken apart; all windows then stay where they are.
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = files.select("project", "path", "content").repartition(parts, "project", "path")
+    # In the order of their keys there, so that the windows sort rows that are in order but for the places in a file.
+    dealt = files.select("project", "path", "content").repartition(parts, "project", "path").sortWithinPartitions("project", "path")
     rows = dealt.select("project", "path", F.posexplode(marked).alias("pos", "text"))
     change_of_depth = F.when(F.col("ends") == "{", 1).when(F.col("ends") == "}", -1).otherwise(0)
     before = Window.partitionBy("project", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -221,7 +221,8 @@ def members(files: DataFrame) -> DataFrame:
     ``type_name`` and ``kind`` are the type itself or the owner, ``name`` the
     first or only name, ``rest`` the parameters or the variables.
     """
-    rows = declarations(files).withColumn("_read", _parsed()).where("size(_read) > 1")
+    # What is asked of the rows later is a filter on the column that ``explode`` gives, so no pattern runs again in it.
+    rows = declarations(files).select("*", F.explode(F.array(_parsed())).alias("_read")).where("size(_read) > 1")
     part = lambda i: F.get("_read", F.lit(i))
     rows = rows.select(
         "*", part(0).alias("what"), _words(part(1)).alias("_modifiers"), _opened(part(2)).alias("value_type"), _opened(part(4)).alias("rest")
@@ -282,18 +283,23 @@ def _interfaces(bases: Column, kind: Column) -> Column:
     return F.when(kind == "class", listed).otherwise(bases)
 
 
-def extract_types(files: DataFrame) -> DataFrame:
+def extract_types(files: DataFrame, read: DataFrame | None = None) -> DataFrame:
     """Classes and interfaces with modifiers, base, interfaces and first line.
 
     A leading plain name such as ``IStore`` counts as base and as interface.
+    ``read`` are the members of the files, where they have been read before.
     """
     bases, kind = F.col("bases"), F.col("kind")
-    return members(files).where("what = 'Class'").select(
+    return _members_of(files, read).where("what = 'Class'").select(
         "project", "path", "type_name", "kind", "modifiers", _base(bases, kind).alias("base"),
         _interfaces(bases, kind).alias("interfaces"), F.col("line_start").alias("line"),
     )
 
 
+def _members_of(files: DataFrame, read: DataFrame | None) -> DataFrame:
+    return members(files) if read is None else read
+
+
 def _parameters(text: Column) -> Column:
     """Array of (type, name, default) from the text between parentheses."""
     shape = r"^(?:\[[^\]]*\]\s*)*(?:(?:this|ref|out|in|params|scoped|readonly)\s+)*(.+?)\s+(\w+)(?:\s*=\s*(.*))?$"
@@ -307,9 +313,9 @@ def _parameters(text: Column) -> Column:
     )
 
 
-def extract_methods(files: DataFrame) -> DataFrame:
-    """Methods with return type, parameters, modifiers and line span."""
-    return members(files).where("what = 'Method'").select(
+def extract_methods(files: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Methods with return type, parameters, modifiers and line span; ``read`` as in ``extract_types``."""
+    return _members_of(files, read).where("what = 'Method'").select(
         "project", "path", "type_name", F.get("names", F.lit(0)).alias("name"), F.col("value_type").alias("returns"), "modifiers",
         _parameters(F.col("rest")).alias("params"), "line_start", "line_end",
     )
@@ -400,10 +406,15 @@ def extract_imports(files: DataFrame) -> DataFrame:
     )
 
 
-def extract_bodies(files: DataFrame) -> DataFrame:
-    """Code and body of every method, keyed ``Class::Method::Line``."""
+def extract_bodies(files: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Code and body of every method, keyed ``Class::Method::Line``; ``read`` as in ``extract_types``.
+
+    Texts meet their methods where both are dealt by file: the planner takes the
+    texts for as small as the table they are made from, and must not send them all
+    to every task.
+    """
     lines = F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n")
-    methods = members(files).where("what = 'Method'").select(
+    methods = _members_of(files, read).where("what = 'Method'").select(
         "project", "path", "type_name", F.get("names", F.lit(0)).alias("method_name"), "modifiers", "line_start", "line_end"
     )
     texts = files.select("project", "path", lines.alias("_file"))
@@ -411,7 +422,7 @@ def extract_bodies(files: DataFrame) -> DataFrame:
     opens = F.transform("_lines", lambda line: F.rtrim(line).endswith("{"))
     at = F.array_position(opens, F.lit(True)).cast("int")
     rest = F.filter("_lines", lambda _, i: i >= at)
-    out = methods.join(texts, ["project", "path"]).withColumn("_lines", code).select(
+    out = methods.join(texts.hint("merge"), ["project", "path"]).withColumn("_lines", code).select(
         "project", "path", F.col("type_name").alias("class_name"), "method_name", F.col("line_start").alias("line"),
         F.array_join("_lines", "\n").alias("full_code"),
         F.when(at > 0, F.array_join(rest, "\n")).otherwise(F.lit("")).alias("body"),
@@ -485,8 +496,8 @@ def visibility_view(members: DataFrame, include_private: bool = False) -> DataFr
     return members if include_private else members.where(F.array_contains("modifiers", "public"))
 
 
-def member_index(files: DataFrame) -> DataFrame:
-    """The long search index of a source collection, from one reading of the files."""
+def member_index(files: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """The long search index of a source collection, from one reading of the files; ``read`` as in ``extract_types``."""
     none = F.lit(None).cast("string")
     what, owner = F.col("what"), F.col("type_name")
     is_type, is_class = what == "Class", F.col("kind") == "class"
@@ -510,7 +521,7 @@ def member_index(files: DataFrame) -> DataFrame:
         rows(F.lit("Attribute"), F.flatten(F.array_repeat(attributes, times)), owner),
     )
     return (
-        members(files)
+        _members_of(files, read)
         .where("what <> 'Ctor'")
         .select("project", "path", F.col("line_start").cast("bigint").alias("line"), F.explode(entries).alias("_e"))
         .select("project", "path", "_e.parent", "_e.member_type", "_e.name", "line")
