@@ -9,6 +9,7 @@ from lodeline.operators import structure as S
 from lodeline.operators.search import search
 from lodeline.plans import views as V
 from lodeline.plans.registered import query
+from lodeline.session import stored
 
 SRC = f"WITH {V.SOURCE_PARTS}"
 
@@ -196,7 +197,8 @@ def member_index(spark, d):
 @query("file_index", f"{SRC} SELECT project, path, 2 + nested // 4 AS types, 3 + nested // 4 AS methods FROM src")
 def file_index(spark, d):
     files = V.sources(spark, d)
-    return I.file_index(S.extract_types(files), S.extract_methods(files))
+    read = stored(S.members(files).where("what in ('Class', 'Method')"))
+    return I.file_index(S.extract_types(files, read), S.extract_methods(files, read))
 
 
 # From source text to answers ---------------------------------------------------
@@ -212,7 +214,8 @@ def file_index(spark, d):
 def source_search(spark, d):
     """Ranked search over the members and bodies that were read from source text."""
     files = V.sources(spark, d)
-    return search(S.member_index(files), S.extract_bodies(files), "_table.Inner.Find")
+    read = stored(S.members(files))
+    return search(S.member_index(files, read), S.extract_bodies(files, read), "_table.Inner.Find")
 
 
 @query(
@@ -224,6 +227,7 @@ def source_search(spark, d):
 def source_call_graph(spark, d):
     """Callers and callees of a method over the calls that were read from source text."""
     calls = S.extract_call_sites(V.sources(spark, d)).withColumn("callee_class", S.resolve_receiver(F.col("receiver")))
+    calls = stored(calls)  # read once from the source, then counted, joined and listed
     owner = V.table(spark, d, "part").where("p_partkey = 1").select(V.text(V.part_name(), F.col("p_partkey"))).first()[0]
     return G.call_graph(calls, "src/1.cs", owner, "Reset")
 
