@@ -31,6 +31,15 @@ GOD_CLASS_DEGREE = 20
 LISTED = 10
 
 
+def by_merge(frame: DataFrame) -> DataFrame:
+    """``frame`` for a join in which both sides are shuffled.
+
+    The rounds are many, and a table just small enough to be broadcast would pass
+    the driver in each of them.
+    """
+    return frame.hint("merge")
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("from_type", "to_type").dropna().distinct()
 
@@ -46,7 +55,7 @@ def by_number(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges as ``src, dst``."""
     heads = nodes.select(F.col("node").alias("from_type"), F.col("id").alias("src"))
     tails = nodes.select(F.col("node").alias("to_type"), F.col("id").alias("dst"))
-    return edges.join(heads, "from_type").join(tails, "to_type").select("src", "dst")
+    return edges.join(by_merge(heads), "from_type").join(by_merge(tails), "to_type").select("src", "dst")
 
 
 def split_edges(edges: DataFrame, at: str, hub_edges: int = HUB_EDGES) -> tuple[DataFrame, DataFrame | None]:
@@ -62,17 +71,17 @@ def split_edges(edges: DataFrame, at: str, hub_edges: int = HUB_EDGES) -> tuple[
     if hubs.isEmpty():
         return edges, None
     part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = edges.join(hubs.withColumnRenamed("id", at), at, "left").withColumn("part", part).drop("parts")
+    dealt = edges.join(by_merge(hubs.withColumnRenamed("id", at)), at, "left").withColumn("part", part).drop("parts")
     return stored(dealt), hubs
 
 
 def along(values: DataFrame, edges: DataFrame, hubs: DataFrame | None, at: str) -> DataFrame:
     """Rows of ``values`` (``id`` and more) sent along the edges that have their node at the end ``at``."""
     if hubs is None:
-        return values.withColumnRenamed("id", at).join(edges, at)
+        return values.withColumnRenamed("id", at).join(by_merge(edges), at)
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-    sent = values.join(hubs, "id", "left").withColumn("part", parts).drop("parts")
-    return sent.withColumnRenamed("id", at).join(edges, [at, "part"]).drop("part")
+    sent = values.join(by_merge(hubs), "id", "left").withColumn("part", parts).drop("parts")
+    return sent.withColumnRenamed("id", at).join(by_merge(edges), [at, "part"]).drop("part")
 
 
 def least_ends(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
@@ -92,7 +101,7 @@ def least_ends(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
         sent = down.unionByName(up).groupBy("id").agg(F.min("before").alias("_b"), F.min("after").alias("_a"))
         giver_b = ends.select(F.col("id").alias("before"), F.col("before").alias("_jb"))
         giver_a = ends.select(F.col("id").alias("after"), F.col("after").alias("_ja"))
-        met = ends.join(sent, "id", "left").join(giver_b, "before").join(giver_a, "after")
+        met = ends.join(by_merge(sent), "id", "left").join(by_merge(giver_b), "before").join(by_merge(giver_a), "after")
         before, after = F.least("before", "_b", "_jb"), F.least("after", "_a", "_ja")
         ends = stored(met.select(
             "id", before.alias("before"), after.alias("after"), (before < F.col("before")).alias("moved_b"), (after < F.col("after")).alias("moved_a")
@@ -107,7 +116,7 @@ def trimmed(edges: DataFrame) -> DataFrame:
     while size:
         into = edges.select(F.col("dst").alias("src")).distinct()
         out = edges.select(F.col("src").alias("dst")).distinct()
-        edges = stored(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi"))
+        edges = stored(edges.join(by_merge(into), "src", "left_semi").join(by_merge(out), "dst", "left_semi"))
         left = edges.count()
         if left > (1 - TRIM_SHARE) * size:
             break
@@ -126,14 +135,14 @@ def component_numbers(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame
         ends = least_ends(live, hub_edges)
         found.append(ends.where("before = after").select("id", F.col("before").alias("component")))
         end = lambda name: ends.select(F.col("id").alias(name), F.struct("before", "after").alias(f"_{name}"))
-        same = live.join(end("src"), "src").join(end("dst"), "dst").where("_src = _dst and _src.before <> _src.after")
+        same = live.join(by_merge(end("src")), "src").join(by_merge(end("dst")), "dst").where("_src = _dst and _src.before <> _src.after")
         live = trimmed(stored(same.select("src", "dst")))
     if not found:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
     every = stored(_together(found))
     # A node that is itself the least both ways is a component of one, unless others share it.
     sizes = every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return every.join(sizes, "component", "left_semi").select("id", "component")
+    return every.join(by_merge(sizes), "component", "left_semi").select("id", "component")
 
 
 class Condensed:
@@ -145,22 +154,22 @@ class Condensed:
         self.nodes = numbered_nodes(named)
         self.edges = stored(by_number(named, self.nodes))
         cyclic = component_numbers(self.edges, hub_edges)
-        members = self.nodes.join(cyclic, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = self.nodes.join(by_merge(cyclic), "id", "left").withColumn("component", F.coalesce("component", "id"))
         self.members = stored(members.select("node", "id", "component"))
         of = lambda name: self.members.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
-        between = self.edges.join(of("src"), "src").join(of("dst"), "dst").where("_src <> _dst")
+        between = self.edges.join(by_merge(of("src")), "src").join(by_merge(of("dst")), "dst").where("_src <> _dst")
         self.between = stored(between.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct())
         self.sizes = stored(self.members.groupBy("component").agg(F.count("*").alias("size"), F.min("node").alias("least")))
 
     def cyclic(self) -> DataFrame:
         """``component, size, least`` of components with a cycle: two nodes or more, or one that points to itself."""
         loops = self.edges.where("src = dst").select(F.col("src").alias("component")).distinct().withColumn("_loop", F.lit(True))
-        return self.sizes.join(loops, "component", "left").where("size > 1 or _loop").drop("_loop")
+        return self.sizes.join(by_merge(loops), "component", "left").where("size > 1 or _loop").drop("_loop")
 
     def cycle_members(self) -> DataFrame:
         """``cycle, node``: nodes in a cycle, and the least name of their component."""
         cycles = self.cyclic().select("component", F.col("least").alias("cycle"))
-        return self.members.join(cycles, "component").select("cycle", "node")
+        return self.members.join(by_merge(cycles), "component").select("cycle", "node")
 
     def cycles(self) -> DataFrame:
         """``cycle, members, length, path``: of the shortest cycles through the least node of a component, the least by names.
@@ -170,32 +179,32 @@ class Condensed:
         The path is then walked from the node, by the least name one level nearer.
         """
         cycles = stored(self.cyclic())
-        inner = self.members.join(cycles.select("component"), "component", "left_semi").select("id", "component", "node")
+        inner = self.members.join(by_merge(cycles.select("component")), "component", "left_semi").select("id", "component", "node")
         of = lambda name: inner.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"), F.col("node").alias(f"{name}_node"))
         inside = stored(
-            self.edges.join(of("src"), "src").join(of("dst"), "dst").where("_src = _dst")
+            self.edges.join(by_merge(of("src")), "src").join(by_merge(of("dst")), "dst").where("_src = _dst")
             .select("src", "dst", F.col("_src").alias("component"), "dst_node")
         )
         edges = split_edges(inside, "dst", self.hub_edges)
-        roots = stored(inner.join(cycles, "component").where("node = least").select("id", "component"))
+        roots = stored(inner.join(by_merge(cycles), "component").where("node = least").select("id", "component"))
         seen = [roots.withColumn("level", F.lit(0))]
         lengths, level = [], 0
         frontier = roots.select("id", F.col("component").alias("of"))
         while not frontier.isEmpty():
             level += 1
             reached = stored(along(frontier, *edges, "dst").select(F.col("src").alias("id"), "of").distinct())
-            closed = stored(reached.join(roots, "id", "left_semi").select(F.col("of").alias("component"), F.lit(level).alias("length")))
+            closed = stored(reached.join(by_merge(roots), "id", "left_semi").select(F.col("of").alias("component"), F.lit(level).alias("length")))
             lengths.append(closed)
             known = _together(seen).select("id")
             frontier = stored(
-                reached.join(known, "id", "left_anti").join(closed.select(F.col("component").alias("of")), "of", "left_anti").select("id", "of")
+                reached.join(by_merge(known), "id", "left_anti").join(by_merge(closed.select(F.col("component").alias("of"))), "of", "left_anti").select("id", "of")
             )
             seen.append(frontier.select("id", F.col("of").alias("component"), F.lit(level).alias("level")))
         if not lengths:
             return self.sizes.select(F.col("least").alias("cycle"), F.col("size").alias("members"), F.lit(0).alias("length"), F.lit("").alias("path")).limit(0)
         levels = stored(_together(seen).select(F.col("id").alias("dst"), "level"))
         found = _together(lengths)
-        walks = cycles.join(found, "component").join(roots, "component").select(
+        walks = cycles.join(by_merge(found), "component").join(by_merge(roots), "component").select(
             "component", "length", "id", F.col("least").alias("path"), "least", F.col("size").alias("members")
         )
         out, longest = [], level
@@ -203,10 +212,10 @@ class Condensed:
             walks = stored(walks)
             out.append(walks.where(F.col("length") == step).select(F.col("least").alias("cycle"), "members", "length", "path"))
             going = walks.where(F.col("length") > step)
-            onward = going.select(F.col("id").alias("src"), "component", "length").join(inside.select("src", "dst", "dst_node"), "src")
-            nearer = onward.join(levels, "dst").where(F.col("level") == F.col("length") - step)
+            onward = going.select(F.col("id").alias("src"), "component", "length").join(by_merge(inside.select("src", "dst", "dst_node")), "src")
+            nearer = onward.join(by_merge(levels), "dst").where(F.col("level") == F.col("length") - step)
             chosen = nearer.groupBy("component").agg(F.min(F.struct("dst_node", "dst")).alias("to"))
-            walks = going.join(chosen, "component").select(
+            walks = going.join(by_merge(chosen), "component").select(
                 "component", "length", F.col("to.dst").alias("id"), F.concat("path", F.lit(" -> "), "to.dst_node").alias("path"), "least", "members"
             )
         return _together(out)
@@ -220,12 +229,12 @@ class Condensed:
         """
         edges = split_edges(self.between, "dst", self.hub_edges)
         counts = self.between.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("open"))
-        below = self.sizes.select(F.col("component").alias("id")).join(counts, "id", "left_anti")
+        below = self.sizes.select(F.col("component").alias("id")).join(by_merge(counts), "id", "left_anti")
         open_counts, frontier, found, level = stored(counts), stored(below), [], 0
         while not frontier.isEmpty():
             found.append(frontier.select("id", F.lit(level).alias("depth")))
             less = along(frontier, *edges, "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("less"))
-            left = open_counts.join(less, "id", "left").select("id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"))
+            left = open_counts.join(by_merge(less), "id", "left").select("id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"))
             left = stored(left)
             frontier = left.where("open = 0").select("id")
             open_counts = left.where("open > 0")
@@ -233,7 +242,7 @@ class Condensed:
         if not found:
             return self.members.select("node", F.lit(0).alias("depth")).limit(0)
         by_component = _together(found).withColumnRenamed("id", "component")
-        return self.members.join(by_component, "component").select("node", "depth")
+        return self.members.join(by_merge(by_component), "component").select("node", "depth")
 
     def reach(self) -> DataFrame:
         """``node, reached``: number of other nodes that a node depends on, directly or not.
@@ -246,11 +255,11 @@ class Condensed:
         seen = [new]
         while not new.isEmpty():
             onward = along(new.withColumnRenamed("src", "origin"), *edges, "src").select(F.col("origin").alias("src"), F.col("dst").alias("id"))
-            new = stored(onward.distinct().join(_together(seen), ["src", "id"], "left_anti"))
+            new = stored(onward.distinct().join(by_merge(_together(seen)), ["src", "id"], "left_anti"))
             seen.append(new)
         sizes = self.sizes.select(F.col("component").alias("id"), "size")
-        sums = _together(seen).join(sizes, "id").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("below"))
-        own = self.members.join(self.sizes.select("component", "size"), "component").join(sums, "component", "left")
+        sums = _together(seen).join(by_merge(sizes), "id").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("below"))
+        own = self.members.join(by_merge(self.sizes.select("component", "size")), "component").join(by_merge(sums), "component", "left")
         return own.select("node", (F.coalesce("below", F.lit(0)) + F.col("size") - 1).alias("reached"))
 
 
