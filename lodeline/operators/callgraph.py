@@ -201,6 +201,7 @@ def call_levels(calls: DataFrame, targets: DataFrame, depth: int, direction: str
         raise ValueError("the depth is at least 1")
     at, to = ("dst", "src") if direction == "callers" else ("src", "dst")
     edges = calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")).dropna().distinct()
+    edges = stored(edges)  # every level reads them
     dealt = split_edges(edges, at)
     frontier = targets.select("target").dropna().distinct().withColumn("id", F.col("target"))
     seen = None
