@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodeline.session import stored
+
 GRAM = 3
 END_MARKS = "\0\0"
 # Grams of a query that are looked up, the rarest first; all if there are fewer.
@@ -28,9 +30,18 @@ def grams(text: Column) -> Column:
 
 
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``gram, <key>``: one row per text and gram."""
+    """``gram, <key>``: one row per text and gram.
+
+    The grams of a text are different as they are taken, so only the rows of keys
+    that come more than once are shuffled to be made distinct.
+    """
     known = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return known.select(F.explode(grams(F.concat(F.col(text), F.lit(END_MARKS)))).alias("gram"), F.col(key)).distinct()
+    posted = lambda rows: rows.select(F.explode(grams(F.concat(F.col(text), F.lit(END_MARKS)))).alias("gram"), F.col(key))
+    repeated = stored(known.groupBy(F.col(key).alias("_repeated")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_repeated"))
+    if repeated.isEmpty():
+        return posted(known)
+    same = F.col(key) == F.col("_repeated")
+    return posted(known.join(repeated, same, "left_anti")).union(posted(known.join(repeated, same, "left_semi")).distinct())
 
 
 def gram_counts(posted: DataFrame) -> DataFrame:
@@ -40,7 +51,7 @@ def gram_counts(posted: DataFrame) -> DataFrame:
 
 def update_postings(posted: DataFrame, changed: DataFrame, key: str, text: str) -> DataFrame:
     """Postings after texts have changed: the old ones of the changed keys go, those of texts that are not null come."""
-    kept = posted.join(changed.select(key).distinct(), key, "left_anti")
+    kept = posted.join(stored(changed.select(key).distinct()), key, "left_anti")
     return kept.select("gram", key).unionByName(postings(changed, key, text))
 
 
@@ -54,7 +65,7 @@ def candidates(queries: DataFrame, posted: DataFrame, counts: DataFrame, key: st
     counted = wanted.join(counts, "gram", "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("query").orderBy("n_texts", "gram"))
     picked = counted.withColumn("_place", place).where(F.col("_place") <= rarest)
-    picked = picked.withColumn("_picked", F.count("*").over(Window.partitionBy("query")))
+    picked = stored(picked.withColumn("_picked", F.count("*").over(Window.partitionBy("query"))))
     met = picked.join(posted, "gram").groupBy("query", key).agg(F.count("*").alias("_met"), F.first("_picked").alias("_picked"))
     return met.where(F.col("_met") == F.col("_picked")).select("query", key)
 
@@ -63,13 +74,15 @@ def search_texts(
     queries: DataFrame, texts: DataFrame, posted: DataFrame, counts: DataFrame, key: str, text: str, rarest: int = RAREST
 ) -> DataFrame:
     """``query, <key>`` of all texts that hold a query, the same as a scan finds."""
+    queries = stored(queries.select("query").distinct())
     found = candidates(queries, posted, counts, key, rarest)
     for length in range(1, GRAM):
         short = queries.select("query").where(F.length("query") == length).distinct().withColumn("_start", F.lower("query"))
         met = posted.withColumn("_start", F.substring("gram", 1, length)).join(short, "_start")
         found = found.unionByName(met.select("query", key).distinct())
-    holds = F.contains(F.lower(F.col(text)), F.lower(F.col("query")))
-    return texts.select(key, text).join(found, key).where(holds).select("query", key)
+    # A text is put in lower case once, not for each of its queries.
+    lower = texts.select(key, F.lower(F.col(text)).alias("_lower"))
+    return lower.join(found, key).where(F.contains("_lower", F.lower("query"))).select("query", key)
 
 
 def share_read(queries: DataFrame, texts: DataFrame, posted: DataFrame, counts: DataFrame, key: str, rarest: int = RAREST) -> DataFrame:
