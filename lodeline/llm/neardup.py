@@ -24,13 +24,14 @@ least of a component that has another. Sets are 64-bit hashes of the shingles.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.llm.common import n_words, utf8, written
@@ -149,6 +150,36 @@ def text_key():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+@contextmanager
+def bloom_joins(spark: SparkSession, keys: int) -> Iterator[None]:
+    """Joins run inside leave out, before they shuffle it, most of the side that has no match.
+
+    The Bloom filter is Spark's own: it is made from a side that is a table with a
+    comparison on it, has 16 bits a key and never more than 8 MB. What it lets
+    through is joined like any other row, so no result depends on it.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {
+        "enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t",
+        "expectedNumItems": str(max(keys, 1)), "numBits": str(min(max(16 * keys, 1 << 13), 1 << 26)),
+    }
+    before = {name + key: spark.conf.get(name + key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(name + key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``text`` of the documents with the ids ``rep``; where hashes of ids are equal, of others too."""
+    # The comparison leaves out nothing: `bloom_joins` needs one.
+    ids = reps.where("n > 0").select(F.xxhash64("rep").alias("_id"))
+    return docs.select(F.xxhash64("doc_id").alias("_id"), "text").join(ids, "_id", "left_semi").select("text")
+
+
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """``set_key, shingles`` of documents, each set once."""
 
@@ -261,19 +292,18 @@ def near_duplicates(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
     )
     members = classes.select("set_key", "n", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min(F.struct("set_key", "n")).alias("leader"), F.count("*").alias("_size")).where("_size > 1")
-    # Only members of buckets with others go on: one table of them, with the leader.
-    met = written(
-        members.join(buckets, "band").select("band", "set_key", "n", F.col("leader.set_key").alias("leader"), F.col("leader.n").alias("leader_n")),
-        "buckets",
-    )
-    led = met.where((F.col("set_key") != F.col("leader")) & _similar_sizes(F.col("n"), F.col("leader_n"), percent))
-    pairs = led.select(F.col("set_key").alias("u"), F.col("leader").alias("v")).distinct()
-
-    reps = written(met.select("set_key").distinct().join(classes.select("set_key", "rep", "signature"), "set_key"), "reps")
-    texts = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("_rep")))
-    full = full_sets(texts, words).dropDuplicates(["set_key"])
-    sets = written(full.join(reps.select("set_key", "signature"), "set_key"), "sets")
+    # Bands are counted alone (of `n`, so that both sides read the same shuffled classes),
+    # and only members of buckets with others go on as a table.
+    buckets = members.groupBy("band").agg(F.count("n").alias("_size")).where("_size > 1").select("band")
+    met = written(members.join(buckets, "band").select("band", "set_key", "n"), "buckets")
+    leaders = met.groupBy("band").agg(F.min(F.struct("set_key", "n")).alias("leader"))
+    led = met.join(leaders, "band").where((F.col("set_key") != F.col("leader.set_key")) & _similar_sizes(F.col("n"), F.col("leader.n"), percent))
+    pairs = led.select(F.col("set_key").alias("u"), F.col("leader.set_key").alias("v")).distinct()
+
+    reps = written(met.select("set_key").distinct().join(classes.select("set_key", "rep", "n", "signature"), "set_key"), "reps")
+    with bloom_joins(docs.sparkSession, reps.count()):
+        full = full_sets(texts_of(docs, reps), words).dropDuplicates(["set_key"])
+        sets = written(full.join(reps.select("set_key", "signature"), "set_key"), "sets")
     links = written(confirmed(pairs, sets, percent, need), "links")
 
     roots = written(components(links), "roots")
@@ -305,7 +335,10 @@ def near_duplicates(
     meets = F.col("_others") + F.when(F.col("_in_most"), 0).otherwise(F.col("_most"))
     dealt = large.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), meets - 1)))
     unit = F.struct("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-    units = dealt.select(unit.alias("unit"), "set_key", "root").join(sets, "set_key")
+    keys = rest.where(F.col("m") > PAIRED_MEMBERS).select("set_key")
+    with bloom_joins(docs.sparkSession, keys.count()):
+        dealt_sets = written(sets.join(keys, "set_key", "left_semi"), "dealt")
+    units = dealt.select(unit.alias("unit"), "set_key", "root").join(dealt_sets, "set_key")
 
     found = confirmed(more, sets, percent, need).union(block_links(units, percent, need))
     all_links = written(links.union(found), "links")

@@ -227,6 +227,39 @@ def test_a_bucket_of_one_component_and_a_stranger(spark, monkeypatch):
     assert copies and all(r["count"] <= 200 + 3 * (1 + 20 + 1) for r in copies)
 
 
+def test_only_texts_that_meet_others_are_shuffled(spark, monkeypatch, tmp_path):
+    """A filter stands before the shuffle of the texts, and no result depends on it."""
+    ready(spark)
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"]
+    before = [spark.conf.get(name) for name in names]
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base, f"own{i}"]) for i in range(3)]
+    docs = [(i, " ".join(f"d{i}.{k}" for k in range(20))) for i in range(300)]
+    # An id that comes twice with different texts, a null id, and equal rows.
+    docs += [(400, near[0]), (400, docs[7][1]), (None, near[1]), (500, near[2]), (500, near[2]), (600, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    plans, sets_of = [], neardup.full_sets
+
+    def seen(texts, words):
+        plans.append((texts._jdf.queryExecution().optimizedPlan().toString(), texts.count()))
+        return sets_of(texts, words)
+
+    monkeypatch.setattr(neardup, "full_sets", seen)
+    try:
+        spark.conf.set(names[0], "-1")
+        found = neardup.near_duplicates(spark.read.parquet(f"{tmp_path}/docs"))
+        got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in found.collect())
+        assert [spark.conf.get(name) for name in names] == ["-1", before[1]]
+    finally:
+        spark.conf.set(names[0], before[0])
+    least = {7: 7, 400: None, None: 400, 500: 400}
+    expected = [(i, least.get(i, i)) for i, _ in docs if i != 400] + [(400, 400), (400, 7)]
+    assert got == sorted((i is None, i, c) for i, c in expected)
+    # The two texts of id 400, that of no id, and the copies of 500.
+    assert [rows for _, rows in plans] == [5]
+    assert "might_contain" in plans[0][0]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     found = components(spark.createDataFrame(edges, "u bigint, v bigint"))
